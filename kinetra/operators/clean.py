@@ -72,18 +72,14 @@ def centre_on_joint(df: DataFrame, joint: int = 8, eps: float = 1e-5) -> DataFra
 
 def match_distribution(df: DataFrame, mean: float, std: float, seq: Sequence = SWING) -> DataFrame:
     """Shift all coordinates of a sample to a target mean and spread; flat samples become zero."""
-    df = zero_non_finite(df, ("x", "y"))
-    both = F.struct(F.count("x").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
-                    F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
-    stats = df.groupBy(*seq.keys).agg(both.alias("s"), F.max(seq.order).alias("last_frame"))
-    m = (F.col("s.mx") + F.col("s.my")) / 2
+    laid = seq.lay_out(zero_non_finite(df, ("x", "y")))
+    out = seq.attach(laid, {"_mx": F.avg("x"), "_my": F.avg("y"), "_vx": F.var_pop("x"), "_vy": F.var_pop("y")})
     # Spread of the pooled axes: mean of the variances plus the variance of the means.
-    v = (F.col("s.vx") + F.col("s.vy")) / 2 + F.pow((F.col("s.mx") - F.col("s.my")) / 2, 2)
-    stats = stats.select(*seq.keys, "last_frame", m.alias("_m"), F.sqrt(v).alias("_s"))
-    out = seq.spread(seq.lay_out(df), stats)
+    v = (F.col("_vx") + F.col("_vy")) / 2 + F.pow((F.col("_mx") - F.col("_my")) / 2, 2)
+    out = out.withColumns({"_m": (F.col("_mx") + F.col("_my")) / 2, "_s": F.sqrt(v)})
     new = {c: F.when(F.col("_s") < 1e-6, F.lit(0.0))
            .otherwise((F.col(c) - F.col("_m")) / (F.col("_s") + 1e-8) * std + mean) for c in ("x", "y")}
-    return seq.done(out.withColumns(new).drop("_m", "_s"))
+    return seq.done(out.withColumns(new).drop("_m", "_s", "_mx", "_my", "_vx", "_vy"))
 
 
 def primary_person(df: DataFrame) -> DataFrame:
@@ -92,18 +88,17 @@ def primary_person(df: DataFrame) -> DataFrame:
 
 def min_length(df: DataFrame, frames: int = 50, inclusive_drop: bool = True, seq: Sequence = SWING) -> DataFrame:
     """Drop whole sequences of at most (or fewer than) `frames` frames."""
-    sizes = df.groupBy(*seq.keys).agg(F.count_distinct(seq.order).alias("_n"), F.max(seq.order).alias("last_frame")) \
-        if "joint_idx" in df.columns else df.groupBy(*seq.keys).agg(F.count(F.lit(1)).alias("_n"), F.max(seq.order).alias("last_frame"))
-    keep = sizes.filter(F.col("_n") > frames if inclusive_drop else F.col("_n") >= frames)
-    return seq.done(seq.spread(seq.lay_out(df), keep).filter(F.col("_n").isNotNull()).drop("_n"))
+    out = seq.attach(seq.lay_out(df), {"_top": F.max(seq.order)})
+    keep = F.col("_top") + 1 > frames if inclusive_drop else F.col("_top") + 1 >= frames
+    return seq.done(out.filter(keep).drop("_top"))
 
 
 def reject_all_zero(df: DataFrame, seq: Sequence = SWING) -> tuple[DataFrame, DataFrame]:
     """(samples with some coordinate, ids whose every coordinate is zero)."""
-    flags = df.groupBy(*seq.keys).agg(
-        F.bool_and((F.col("x") == 0) & (F.col("y") == 0)).alias("_zero"), F.max(seq.order).alias("last_frame"))
-    kept = seq.done(seq.spread(seq.lay_out(df), flags).filter(~F.coalesce("_zero", F.lit(False))).drop("_zero"))
-    return kept, flags.filter("_zero").select(*seq.keys)
+    zero = F.bool_and((F.col("x") == 0) & (F.col("y") == 0))
+    out = seq.attach(seq.lay_out(df), {"_zero": zero})
+    kept = seq.done(out.filter(~F.coalesce("_zero", F.lit(False))).drop("_zero"))
+    return kept, df.groupBy(*seq.keys).agg(zero.alias("_zero")).filter("_zero").select(*seq.keys)
 
 
 def three_dimensional(df: DataFrame, seq: Sequence = SWING) -> DataFrame:
@@ -129,10 +124,7 @@ def normalised_flag(df: DataFrame, seq: Sequence = SWING) -> DataFrame:
 def fit_to_range(df: DataFrame, width: int, height: int, margin: float = 0.1, small: float = 2.0,
                  seq: Sequence = SWING) -> DataFrame:
     """Swings whose coordinates all lie within +-small are stretched over the image with a margin."""
-    r = df.groupBy(*seq.keys).agg(
-        F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"),
-        F.max(seq.order).alias("last_frame"))
-    out = seq.spread(seq.lay_out(df), r)
+    out = seq.attach(seq.lay_out(df), {"_x0": F.min("x"), "_x1": F.max("x"), "_y0": F.min("y"), "_y1": F.max("y")})
     fits = (F.abs("_x0") <= small) & (F.abs("_x1") <= small) & (F.abs("_y0") <= small) & (F.abs("_y1") <= small)
 
     def stretch(c: str, lo: str, hi: str, size: int) -> Column:

@@ -10,26 +10,20 @@ GROUP_LIMIT = 200_000
 
 def quantiles(
     df: DataFrame, keys: list[str], specs: dict[str, tuple[Column, float]],
-    hot: DataFrame | None = None, limit: int = GROUP_LIMIT, buckets: int = 128,
+    limit: int = GROUP_LIMIT, buckets: int = 128,
 ) -> DataFrame:
-    """One row per key with linear-interpolation quantiles of non-null values.
+    """One row per key with linear-interpolation quantiles of the non-null values.
 
-    `hot` lists the keys whose groups exceed `limit`; when it is not given they are counted. Hot
-    groups take the distributed rank selection, all others the built-in percentile.
+    Groups of more than `limit` rows take the distributed rank selection, all others the built-in
+    percentile. Give a settled table: it is read once per path.
     """
-    if hot is None:
-        hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys)
     small = df.join(hot, keys, "left_anti").groupBy(*keys).agg(
         *[F.percentile(e, F.lit(p)).alias(n) for n, (e, p) in specs.items()])
     large = rank_select(df.join(hot, keys, "left_semi"), keys, specs, buckets)
     return small.unionByName(large)
 
 
-def long_sequences(df: DataFrame, keys: list[str], order: str, limit: int = GROUP_LIMIT) -> DataFrame:
-    """Keys with more than `limit` rows, read off a dense order column (pushed down to the scan)."""
-    return df.filter(F.col(order) >= limit).select(*keys).distinct()
-
-
 def rank_select(
     df: DataFrame, keys: list[str], specs: dict[str, tuple[Column, float]], buckets: int,
 ) -> DataFrame:

@@ -46,9 +46,12 @@ def _states(rows: Column, name: str, start: Column) -> Column:
 
 
 def affine_scan(
-    df: DataFrame, seq: Sequence, steps: dict[str, Column], block: int = FOLD_BLOCK, levels: int = 2,
+    df: DataFrame, seq: Sequence, steps: dict[str, Column], block: int | None = None, levels: int = 2,
 ) -> DataFrame:
     """Add one state column per entry of `steps` (see `step`)."""
+    block = block or min(FOLD_BLOCK, seq.block)
+    if seq.longest is not None and seq.longest <= block:
+        levels = 0
     cols = [c for c in df.columns if c not in (BLK, CORE)]
     keys = list(seq.keys)
     rest = [c for c in cols if c not in (*keys, seq.order)]

@@ -17,12 +17,12 @@ def wide_name(joint: str, axis: str) -> str:
 
 def tidy_to_wide(
     df: DataFrame, joints: list[str] | None = None, axes: str = "xycXYZ", seq: Sequence | None = None,
-    row_order: str | None = None, keep: tuple[str, ...] = (),
+    row_order: str | None = None, extra: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row per frame with a column per joint axis; unused columns cost nothing.
 
     Rows laid out by `seq` are grouped inside their block without another shuffle. Of duplicate
-    (frame, joint) rows the last by `row_order` wins.
+    (frame, joint) rows the last by `row_order` wins. `extra` adds aggregates over all joints.
     """
     joints = joints or KP17
     keys = list(seq.keys) if seq else ["swing_id"]
@@ -37,7 +37,7 @@ def tidy_to_wide(
             v = F.when(F.col("joint_idx") == idx, F.col(src))
             agg = F.max(v) if row_order is None else F.max_by(F.col(src), F.when(F.col("joint_idx") == idx, F.col(row_order)))
             out.append(agg.alias(wide_name(j, a)))
-    return df.groupBy(*group).agg(*out, *[F.max(c).alias(c) for c in keep])
+    return df.groupBy(*group).agg(*out, *[e.alias(n) for n, e in (extra or {}).items()])
 
 
 def wide_to_long(df: DataFrame, keys: list[str], joints: list[str], axes: str = "xyc") -> DataFrame:
@@ -80,12 +80,11 @@ def remap_joints(df: DataFrame, vocab: str) -> DataFrame:
 
 def remap_detected(df: DataFrame, seq: Sequence = Sequence()) -> DataFrame:
     """Swings with a joint index of 17 or more are read as 18 joints, others as the 17 joints."""
-    top = df.groupBy(*seq.keys).agg((F.max("joint_idx") >= 17).alias("_op18"), F.max(seq.order).alias("last_frame"))
     pairs = [(i, KP17.index(j)) for i, j in enumerate(OPENPOSE18) if j in KP17]
     lookup = F.create_map(*[F.lit(x) for p in pairs for x in p])
-    out = seq.spread(seq.lay_out(df), top)
-    idx = F.when(F.col("_op18"), lookup[F.col("joint_idx")]).otherwise(F.col("joint_idx"))
-    return seq.done(out.withColumn("joint_idx", idx).drop("_op18").filter(F.col("joint_idx").isNotNull()))
+    out = seq.attach(seq.lay_out(df), {"_top": F.max("joint_idx")})
+    idx = F.when(F.col("_top") >= 17, lookup[F.col("joint_idx")]).otherwise(F.col("joint_idx"))
+    return seq.done(out.withColumn("joint_idx", idx).drop("_top").filter(F.col("joint_idx").isNotNull()))
 
 
 def rename_landmarks(df: DataFrame) -> DataFrame:

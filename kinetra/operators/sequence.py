@@ -1,18 +1,22 @@
 """Ordered-sequence building blocks that hold up when one key owns most of the rows.
 
-A sequence is a set of key columns plus a dense integer order column (frame 0..n-1). Rows are laid
-out in blocks of consecutive frames and shuffled on (keys, block), so a long swing is spread over
-many tasks and every window stays inside one block:
+A sequence is a set of key columns plus a dense integer order column (frame 0..n-1).
+
+When the longest sequence has been measured and fits a block, everything is a window over the keys
+and one shuffle serves all of them. Otherwise rows are laid out in blocks of consecutive frames and
+shuffled on (keys, block), so a long sequence is spread over many tasks:
 
 * neighbourhood operators (lag, rolling medians, convolution, run clean-up) get the rows next to a
   block border copied into the block as a halo;
 * running operators (last valid value, running sums) are computed per block and joined with one
-  carry row per block.
+  carry row per block;
+* per-sequence values come back to the rows by a join on (keys, block), never on a hot key alone.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import tempfile
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -20,17 +24,52 @@ BLK = "_blk"
 CORE = "_core"
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise a table that several branches read, in the folder the cluster names."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a shared folder")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 @dataclass(frozen=True)
 class Sequence:
     keys: tuple[str, ...] = ("swing_id",)
     order: str = "frame"
     block: int = 4096
+    # Rows of the longest sequence, where known; None takes the path for any length.
+    longest: int | None = None
 
     def on(self, *keys: str) -> Sequence:
-        return Sequence(keys, self.order, self.block)
+        return replace(self, keys=keys)
+
+    def measured(self, df: DataFrame) -> Sequence:
+        """One pass over the order column to learn the longest sequence."""
+        top = df.agg(F.max(self.order)).first()[0]
+        return replace(self, longest=0 if top is None else int(top) + 1)
 
-    def lay_out(self, df: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
-        """Assign blocks, copy border rows into the neighbouring blocks, shuffle once."""
+    @property
+    def fits(self) -> bool:
+        return self.longest is not None and self.longest <= self.block
+
+    @property
+    def part(self) -> list[str]:
+        return list(self.keys) if self.fits else [*self.keys, BLK]
+
+    def lay_out(self, df: DataFrame, before: int = 0, after: int = 0, gather: bool = False) -> DataFrame:
+        """Assign blocks, copy border rows into the neighbouring blocks, shuffle once.
+
+        Rows of measured sequences need no blocks: windows gather them by key, or `gather` does
+        where a finer grouping comes first.
+        """
+        if self.fits:
+            return df.repartition(*self.keys) if gather else df
         if max(before, after) > self.block:
             raise ValueError("a halo may not be longer than a block")
         pos = F.col(self.order).cast("long")
@@ -50,16 +89,15 @@ class Sequence:
         return out.repartition(*self.keys, BLK)
 
     def window(self, start: int | None = None, end: int | None = None):
-        w = Window.partitionBy(*self.keys, BLK).orderBy(self.order)
+        w = Window.partitionBy(*self.part).orderBy(self.order)
         return w if start is None else w.rowsBetween(start, end)
 
     def core(self, df: DataFrame) -> DataFrame:
-        """Drop the halo copies; the rows stay partitioned by (keys, block)."""
-        return df.filter(F.col(CORE)).drop(CORE)
+        """Drop the halo copies; the rows stay partitioned as laid out."""
+        return df.filter(F.col(CORE)).drop(CORE) if CORE in df.columns else df
 
     def done(self, df: DataFrame) -> DataFrame:
-        out = df.filter(F.col(CORE)) if CORE in df.columns else df
-        return out.drop(CORE, BLK)
+        return self.core(df).drop(BLK)
 
     def scan(
         self,
@@ -69,64 +107,89 @@ class Sequence:
         nxt: dict[str, Column] | None = None,
         total: dict[str, Column] | None = None,
     ) -> DataFrame:
-        """Add running columns over whole sequences to laid-out rows without halo.
+        """Add running columns over whole sequences to laid-out rows; halo copies are dropped.
 
         last: latest non-null value up to and including the row; prev: the same, row excluded;
         nxt: earliest non-null value from the row on; total: inclusive running sum.
         """
-        if CORE in df.columns:
-            df = self.core(df)
+        df = self.core(df)
         last, prev, nxt, total = last or {}, prev or {}, nxt or {}, total or {}
+        up = self.window(Window.unboundedPreceding, 0)
+        before = self.window(Window.unboundedPreceding, -1)
+        down = self.window(0, Window.unboundedFollowing)
         raw = {**last, **prev, **nxt, **total}
         src = df.select("*", *[e.alias(f"_v_{n}") for n, e in raw.items()])
 
         def v(name: str) -> Column:
             return F.col(f"_v_{name}")
 
+        out = src.select(
+            "*",
+            *[F.last(v(n), ignorenulls=True).over(up).alias(f"_l_{n}") for n in last],
+            *[F.last(v(n), ignorenulls=True).over(before).alias(f"_l_{n}") for n in prev],
+            *[F.first(v(n), ignorenulls=True).over(down).alias(f"_l_{n}") for n in nxt],
+            *[F.sum(v(n)).over(up).alias(f"_l_{n}") for n in total])
+        cols = [F.col(c) for c in df.columns]
+        if self.fits:
+            cols += [F.col(f"_l_{n}").alias(n) for n in [*last, *prev, *nxt]]
+            return out.select(*cols, *[F.coalesce(f"_l_{n}", F.lit(0)).alias(n) for n in total])
+
         at = F.col(self.order)
-        parts = []
-        for n in [*last, *prev]:
-            parts.append(F.max_by(v(n), F.when(v(n).isNotNull(), at)).alias(f"_c_{n}"))
-        for n in nxt:
-            parts.append(F.min_by(v(n), F.when(v(n).isNotNull(), at)).alias(f"_c_{n}"))
-        for n in total:
-            parts.append(F.sum(v(n)).alias(f"_c_{n}"))
+        parts = [F.max_by(v(n), F.when(v(n).isNotNull(), at)).alias(f"_c_{n}") for n in [*last, *prev]]
+        parts += [F.min_by(v(n), F.when(v(n).isNotNull(), at)).alias(f"_c_{n}") for n in nxt]
+        parts += [F.sum(v(n)).alias(f"_c_{n}") for n in total]
         summary = src.groupBy(*self.keys, BLK).agg(*parts)
-
         over_blocks = Window.partitionBy(*self.keys).orderBy(BLK)
         earlier = over_blocks.rowsBetween(Window.unboundedPreceding, -1)
         later = over_blocks.rowsBetween(1, Window.unboundedFollowing)
         carried = [F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in [*last, *prev]]
         carried += [F.first(f"_c_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in nxt]
         carried += [F.sum(f"_c_{n}").over(earlier).alias(f"_c_{n}") for n in total]
-        # Sequences that fit one block carry nothing: the join side is then empty and AQE drops it.
+        # Sequences of one block carry nothing: the join side is then empty and AQE drops it.
         carry = summary.select(*self.keys, BLK, *carried).dropna("all", subset=[f"_c_{n}" for n in raw])
-
-        up = self.window(Window.unboundedPreceding, 0)
-        before = self.window(Window.unboundedPreceding, -1)
-        down = self.window(0, Window.unboundedFollowing)
-        out = src
-        out = out.select(
-            "*",
-            *[F.last(v(n), ignorenulls=True).over(up).alias(f"_l_{n}") for n in last],
-            *[F.last(v(n), ignorenulls=True).over(before).alias(f"_l_{n}") for n in prev],
-            *[F.first(v(n), ignorenulls=True).over(down).alias(f"_l_{n}") for n in nxt],
-            *[F.sum(v(n)).over(up).alias(f"_l_{n}") for n in total],
-        ).join(carry, [*self.keys, BLK], "left")
-        cols = [F.col(c) for c in df.columns]
+        out = out.join(carry, [*self.keys, BLK], "left")
         for n in [*last, *prev, *nxt]:
             cols.append(F.coalesce(f"_l_{n}", f"_c_{n}").alias(n))
         for n in total:
             cols.append((F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0))).alias(n))
         return out.select(*cols)
 
-    def spread(self, frames: DataFrame, summary: DataFrame, last: str = "last_frame") -> DataFrame:
-        """Join per-sequence values to laid-out frames on (keys, block), so a hot key stays split.
-
-        The summary names the last frame of each sequence and is repeated once per block.
+    def attach(
+        self, laid: DataFrame, aggs: dict[str, Column] | None = None,
+        quantiles: dict[str, tuple[Column, float]] | None = None,
+    ) -> DataFrame:
+        """Add aggregates of the whole sequence to each of its laid-out rows; halo copies drop."""
+        from kinetra.operators import quantiles as q
+
+        aggs, quantiles = aggs or {}, quantiles or {}
+        laid = self.core(laid)
+        if self.fits:
+            whole = Window.partitionBy(*self.keys)
+            return laid.select(
+                "*", *[a.over(whole).alias(n) for n, a in aggs.items()],
+                *[F.percentile(e, F.lit(p)).over(whole).alias(n) for n, (e, p) in quantiles.items()])
+        keys = list(self.keys)
+        # The rows feed the summary and the join back: settle them once.
+        laid = cut_lineage(laid)
+        summary = laid.groupBy(*keys).agg(
+            F.max(self.order).alias("_last"), *[a.alias(n) for n, a in aggs.items()])
+        if quantiles:
+            summary = summary.join(q.quantiles(laid, keys, quantiles), keys)
+        return self.spread(laid, summary, "_last")
+
+    def summarise(self, laid: DataFrame, aggs: dict[str, Column]) -> DataFrame:
+        """One row per sequence."""
+        return self.core(laid).groupBy(*self.keys).agg(*[a.alias(n) for n, a in aggs.items()])
+
+    def spread(self, laid: DataFrame, summary: DataFrame, last: str) -> DataFrame:
+        """Join per-sequence values to laid-out rows on (keys, block), so a hot key stays split.
+
+        `last` names the column with the last frame of each sequence.
         """
+        if self.fits:
+            return laid.join(summary.drop(last), list(self.keys), "left")
         blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col(last).cast("long") / self.block)))
-        return frames.join(summary.withColumn(BLK, blocks).drop(last), [*self.keys, BLK], "left")
+        return laid.join(summary.withColumn(BLK, blocks).drop(last), [*self.keys, BLK], "left")
 
 
 def number_rows(

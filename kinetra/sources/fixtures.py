@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from kinetra.operators.sequence import number_rows
+from kinetra.operators.sequence import Sequence, number_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def _d(v: float) -> Column:
     return F.lit(float(v))
 
 
+def sequence(spark: SparkSession, sf_dir: str, *keys: str) -> Sequence:
+    """The swings' layout, with the longest one measured on the base table."""
+    sizes = table(spark, sf_dir, "events").groupBy("user_id").count()
+    return Sequence(keys or ("swing_id",), longest=sizes.agg(F.max("count")).first()[0])
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value", "props")
     out = number_rows(ev, ["user_id"], [F.col("ts"), F.col("event_id")], F.to_date("ts"), "frame", total="n")
