@@ -1,0 +1,17 @@
+"""Every operator as a named query over the test tables."""
+
+from kinetra.catalog import registry
+
+
+def _load() -> None:
+    from kinetra.catalog import motion  # noqa: F401
+
+
+def queries():
+    _load()
+    return dict(registry.QUERIES)
+
+
+def oracle_sql():
+    _load()
+    return dict(registry.ORACLES)
