@@ -4,7 +4,7 @@ from kinetra.catalog import registry
 
 
 def _load() -> None:
-    from kinetra.catalog import motion  # noqa: F401
+    from kinetra.catalog import motion, swing  # noqa: F401
 
 
 def queries():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kinetra.operators.sequence import Sequence
@@ -63,9 +65,12 @@ def first_where(cond: Column, order: str = "frame") -> Column:
 
 
 def first_max(value: Column, order: str = "frame", among: Column | None = None) -> Column:
-    """Row position of the largest value, the first one on ties; NULLs are skipped."""
+    """Row position of the largest value, the first one on ties; NULLs are skipped.
+
+    Values equal to nine decimals tie: flat stretches of smoothed series differ by rounding alone.
+    """
     ok = value.isNotNull() if among is None else value.isNotNull() & among
-    return F.max_by(F.col(order), F.when(ok, F.struct(value.alias("v"), (-F.col(order)).alias("o"))))
+    return F.max_by(F.col(order), F.when(ok, F.struct(F.round(value, 9).alias("v"), (-F.col(order)).alias("o"))))
 
 
 def strict_crossing(wrist: str, mid: str, w) -> Column:
@@ -91,7 +96,7 @@ def find_impact(laid: DataFrame, seq: Sequence, cond: Column, wrist: str, out: s
 def continuous_directions(laid: DataFrame, seq: Sequence, vectors: dict[str, tuple[str, str, str]]) -> DataFrame:
     """Flip vectors that point against the previous output; gaps and right angles start afresh.
 
-    The sign is the parity of reversals since the last fresh start.
+    The sign is the parity of reversals since the last fresh start; <name>_flip tells where it is odd.
     """
     w = seq.window()
 
@@ -111,15 +116,21 @@ def continuous_directions(laid: DataFrame, seq: Sequence, vectors: dict[str, tup
         # A vector with a gap is left alone, as is the one after it.
         for c in cols:
             new[c] = F.when(odd & valid(*cols), -F.col(c)).otherwise(F.col(c))
+        new[f"{n}_flip"] = odd & valid(*cols)
     return laid.withColumns(new).drop(*[f"_{k}_{n}" for k in ("d", "neg", "base") for n in vectors])
 
 
+def signed_angle(b: Column, a: Column, flipped: Column) -> Column:
+    """atan2(b, a) where a flipped vector keeps the sign of its zeros, which the built-in drops."""
+    return F.when(flipped & (b == 0) & (a <= 0), -math.pi).otherwise(F.atan2(b, a))
+
+
 def unwrapped(laid: DataFrame, seq: Sequence, angles: list[str], gaps: str = "skip") -> DataFrame:
     """Remove full turns between successive angles (radians) and convert to degrees.
 
     gaps="skip" compares with the last valid angle; "stop" leaves everything after a gap missing.
     """
-    pi = 3.141592653589793
+    pi = math.pi
     laid = seq.scan(laid, prev={f"_p_{a}": F.col(a) for a in angles})
     corr = {}
     for a in angles:
@@ -146,11 +157,11 @@ def xfactor_series(laid: DataFrame, seq: Sequence, clip: bool, gaps: str = "skip
     laid = laid.withColumns(vec)
     laid = continuous_directions(laid, seq, {n: (f"{n}_X", f"{n}_Y", f"{n}_Z") for n in ("sh", "pe")})
     names = {p: "xf_" + p.replace("-", "_") for p in PLANES}
-    angle = {f"{n}_{names[p]}": F.atan2(F.col(f"{n}_{b}"), F.col(f"{n}_{a}"))
+    angle = {f"{n}_{names[p]}": signed_angle(F.col(f"{n}_{b}"), F.col(f"{n}_{a}"), F.col(f"{n}_flip"))
              for n in ("sh", "pe") for p, (a, b) in PLANES.items()}
     laid = unwrapped(laid.withColumns(angle), seq, list(angle), gaps)
     laid = laid.withColumns({c: F.col(f"sh_{c}") - F.col(f"pe_{c}") for c in names.values()})
-    laid = laid.drop(*vec, *angle)
+    laid = laid.drop(*vec, *angle, "sh_flip", "pe_flip")
     reach = 2 * (window // 2)
     laid = seq.core(median_then_mean(widen(laid, seq, reach, reach), list(names.values()), seq, window))
     return laid.withColumns({c: F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col(c))) for c in names.values()}) if clip else laid
