@@ -172,25 +172,17 @@ class Sequence:
         # The rows feed the summary and the join back: settle them once.
         laid = cut_lineage(laid)
         summary = laid.groupBy(*keys).agg(
-            F.max(self.order).alias("_last"), *[a.alias(n) for n, a in aggs.items()])
+            F.min(BLK).alias("_from"), F.max(BLK).alias("_to"), *[a.alias(n) for n, a in aggs.items()])
         if quantiles:
             summary = summary.join(q.quantiles(laid, keys, quantiles), keys)
-        return self.spread(laid, summary, "_last")
+        # The values are repeated once per block and joined on (keys, block): a hot key stays split.
+        summary = summary.select("*", F.explode(F.sequence("_from", "_to")).alias(BLK)).drop("_from", "_to")
+        return laid.join(summary, [*keys, BLK], "left")
 
     def summarise(self, laid: DataFrame, aggs: dict[str, Column]) -> DataFrame:
         """One row per sequence."""
         return self.core(laid).groupBy(*self.keys).agg(*[a.alias(n) for n, a in aggs.items()])
 
-    def spread(self, laid: DataFrame, summary: DataFrame, last: str) -> DataFrame:
-        """Join per-sequence values to laid-out rows on (keys, block), so a hot key stays split.
-
-        `last` names the column with the last frame of each sequence.
-        """
-        if self.fits:
-            return laid.join(summary.drop(last), list(self.keys), "left")
-        blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col(last).cast("long") / self.block)))
-        return laid.join(summary.withColumn(BLK, blocks).drop(last), [*self.keys, BLK], "left")
-
 
 def number_rows(
     df: DataFrame, keys: list[str], order: list[Column], slice_: Column,
