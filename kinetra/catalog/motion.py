@@ -212,7 +212,7 @@ def _(spark, sf):
 FROM wide GROUP BY 1""")
 def _(spark, sf):
     w = reshape.tidy_to_wide(masked(spark, sf), ["Nose"], "X").withColumn("seen", F.when(F.col("Nose_X3").isNotNull(), True))
-    return reshape.frame_map(w, ["swing_id"], ["seen"])
+    return reshape.frame_map(w, ["swing_id"], ["seen"]).select("swing_id", "document")
 
 
 @query("rsh9_flatten_document", "WITH $FRAMES SELECT swing_id, frame, r6(v) AS v FROM frames")

@@ -117,13 +117,12 @@ def flat_numbers(cells: Column) -> Column:
     return F.when((n > 0) & (n % 3 == 0), chunks(3)).when((n > 0) & (n % 2 == 0), chunks(2)).otherwise(zero)
 
 
-def assemble_tensor(df: DataFrame, keys: list[str], frames_per_row: int | None = None) -> DataFrame:
+def assemble_tensor(df: DataFrame, keys: list[str], frames_per_row: int = 4096) -> DataFrame:
     """Pose rows to keypoint[1][T][V][2] and keypoint_score[1][T][V] per sample.
 
-    A sample row holds its whole clip by definition; longer recordings are cut beforehand (static
-    trim, clip segmentation). `frames_per_row` splits a sample into rows of that many frames.
+    A recording longer than `frames_per_row` gives several rows, numbered by `part`.
     """
-    part = (F.floor(F.col("frame") / frames_per_row) if frames_per_row else F.lit(0)).cast("int").alias("part")
+    part = F.floor(F.col("frame") / frames_per_row).cast("int").alias("part")
     frame = df.groupBy(*keys, part, "frame").agg(
         F.sort_array(F.collect_list(F.struct("joint_idx", "x", "y", F.coalesce("conf", F.lit(1.0)).alias("conf")))).alias("_j"))
     out = frame.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(F.struct("frame", "_j"))).alias("_f"))
@@ -133,12 +132,16 @@ def assemble_tensor(df: DataFrame, keys: list[str], frames_per_row: int | None =
                       F.size("_f").alias("total_frames"))
 
 
-def frame_map(df: DataFrame, keys: list[str], cols: list[str], frame: str = "frame") -> DataFrame:
-    """Rows to {"<frame>": {col: value or null}} as JSON text, in frame order."""
+def frame_map(df: DataFrame, keys: list[str], cols: list[str], frame: str = "frame", frames_per_row: int = 4096) -> DataFrame:
+    """Rows to {"<frame>": {col: value or null}} as JSON text, in frame order.
+
+    A sequence longer than `frames_per_row` gives several maps, numbered by `part`.
+    """
+    part = F.floor(F.col(frame) / frames_per_row).cast("int").alias("part")
     entry = F.struct(F.col(frame).alias("_o"), F.col(frame).cast("string").alias("key"), F.struct(*cols).alias("value"))
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+    rows = df.groupBy(*keys, part).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
     m = F.map_from_entries(F.transform("_e", lambda e: F.struct(e["key"], e["value"])))
-    return rows.select(*keys, F.to_json(m, {"ignoreNullFields": "false"}).alias("document"))
+    return rows.select(*keys, "part", F.to_json(m, {"ignoreNullFields": "false"}).alias("document"))
 
 
 def pick_timeseries(doc: Column) -> Column:

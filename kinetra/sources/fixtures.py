@@ -158,8 +158,11 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status events of upload jobs; one job per user and day of month group."""
-    ev = table(spark, sf_dir, "events")
+    return jobs_of(table(spark, sf_dir, "events"))
+
+
+def jobs_of(ev: DataFrame) -> DataFrame:
+    """Status events of upload jobs; each user has seven."""
     # Stage of a job that stands for each event type.
     stage = (F.when(F.col("event_type") == "signup", "PENDING").when(F.col("event_type") == "view", "PROCESSING")
              .when(F.col("event_type") == "purchase", "COMPLETED").when(F.col("event_type") == "click", "GETTING")

@@ -42,10 +42,22 @@ def pose_json(spark: SparkSession, root: str, first_person: bool = False) -> Dat
     return rows.filter("person_idx = 0") if first_person else rows
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Add `frame`: the place of a row in its file. Splits of a large file are numbered apart."""
+    from kinetra.operators.sequence import number_rows
+
+    out = number_rows(rows, ["swing_id"], [F.col("_at")], F.col("_split"), "frame")
+    return out.withColumn("frame", F.col("frame").cast("int")).drop("_at", "_split")
+
+
+# A row's split and its place in the read order, which follows the file within a split.
+_ORDER = (F.monotonically_increasing_id, "_metadata.file_block_start")
+
+
 def skeleton_csv(spark: SparkSession, path: str) -> DataFrame:
     """Wide skeleton rows; comma or tab separated, byte-order marks and blanks in the header removed.
 
-    All files of one read share a header. Rows keep the order of `frame` where the file has it.
+    All files of one read share a header; `frame` is the row's place where the file has none.
     """
     def read(sep: str) -> DataFrame:
         return spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8").csv(path)
@@ -53,8 +65,10 @@ def skeleton_csv(spark: SparkSession, path: str) -> DataFrame:
     df = read(",")
     if len(df.columns) == 1:
         df = read("\t")
-    df = df.select("*", stem(_path()).alias("swing_id"))
-    return df.toDF(*[c.strip().replace("﻿", "") for c in df.columns])
+    names = [c.strip().replace("\ufeff", "") for c in df.columns]
+    df = df.select("*", stem(_path()).alias("swing_id"), _ORDER[0]().alias("_at"), F.col(_ORDER[1]).alias("_split"))
+    df = df.toDF(*names, "swing_id", "_at", "_split")
+    return df.drop("_at", "_split") if "frame" in names else _numbered(df)
 
 
 def check_columns(df: DataFrame) -> None:
@@ -65,12 +79,9 @@ def check_columns(df: DataFrame) -> None:
 
 def flat_csv(spark: SparkSession, path: str) -> DataFrame:
     """Headerless rows x1,y1,c1,...; one text file per swing, one line per frame."""
-    text = spark.read.text(path).select("value", stem(_path()).alias("swing_id"), F.col("_metadata.file_block_start").alias("_b"),
-                                        F.monotonically_increasing_id().alias("_m"))
-    from pyspark.sql import Window
-    # Lines of one file keep their order: block start, then position in the block.
-    w = Window.partitionBy("swing_id").orderBy("_b", "_m")
-    rows = text.withColumn("frame", F.row_number().over(w) - 1)
+    text = spark.read.text(path).select("value", stem(_path()).alias("swing_id"), _ORDER[0]().alias("_at"),
+                                        F.col(_ORDER[1]).alias("_split"))
+    rows = _numbered(text)
     joints = reshape.flat_numbers(F.split("value", ","))
     return rows.select("swing_id", "frame", F.posexplode(joints).alias("joint_idx", "_j")).select("swing_id", "frame", "joint_idx", "_j.*")
 
