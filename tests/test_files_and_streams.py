@@ -2,9 +2,9 @@
 
 import json
 import os
+from datetime import datetime, timedelta
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,9 +136,9 @@ def test_live_filter_equals_batch(spark, tmp_path, method):
 
 def test_wait_for_both_stream(spark, tmp_path):
     """A result in time completes the job; without one the row comes out partial after the watermark."""
-    ts = pd.Timestamp("2024-01-01")
-    a = [("a", ts), ("b", ts), ("late", ts + pd.Timedelta(hours=3))]
-    b = [("a", ts + pd.Timedelta(seconds=20), 1), ("b", ts + pd.Timedelta(seconds=50), 2), ("late", ts + pd.Timedelta(hours=3), 3)]
+    ts = datetime(2024, 1, 1)
+    a = [("a", ts), ("b", ts), ("late", ts + timedelta(hours=3))]
+    b = [("a", ts + timedelta(seconds=20), 1), ("b", ts + timedelta(seconds=50), 2), ("late", ts + timedelta(hours=3), 3)]
     sa, sb = "job_id string, ts timestamp", "job_id string, ts timestamp, payload int"
     spark.createDataFrame(a, sa).coalesce(1).write.parquet(f"{tmp_path}/a")
     spark.createDataFrame(b, sb).coalesce(1).write.parquet(f"{tmp_path}/b")
@@ -150,7 +150,7 @@ def test_wait_for_both_stream(spark, tmp_path):
 
 
 def test_notify_once_stream(spark, tmp_path):
-    ts = pd.Timestamp("2024-01-01")
+    ts = datetime(2024, 1, 1)
     schema = "job_id string, owner string, status string, ts timestamp"
     spark.createDataFrame([("a", "u", "COMPLETED", ts), ("a", "u", "COMPLETED", ts), ("b", "x", "COMPLETED", ts), ("c", "u", "FAILED", ts)], schema) \
         .coalesce(1).write.parquet(f"{tmp_path}/in")
