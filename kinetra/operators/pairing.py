@@ -91,22 +91,55 @@ def depth_patch(points: DataFrame, depth: DataFrame, keys: list[str], radius: in
 
     points(keys.., joint_idx, x, y); depth(keys.., px, py, depth).
     """
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                        for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1)])
+    # A square touches at most four tiles of its own size: points meet pixels by tile.
+    tile = 2 * radius + 1
     p = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
-        *keys, "joint_idx", F.bround("x", 0).cast("int").alias("_x"), F.bround("y", 0).cast("int").alias("_y"), F.inline(offsets))
-    p = p.select(*keys, "joint_idx", (F.col("_x") + F.col("dx")).alias("px"), (F.col("_y") + F.col("dy")).alias("py"))
+        *keys, "joint_idx", F.bround("x", 0).cast("int").alias("_x"), F.bround("y", 0).cast("int").alias("_y"))
+    for c, t in (("_x", "_tx"), ("_y", "_ty")):
+        p = p.withColumn(t, F.explode(F.sequence(F.floor((F.col(c) - radius) / tile), F.floor((F.col(c) + radius) / tile))))
+    d = F.col("depth")
     inside = (F.col("px") >= 0) & (F.col("py") >= 0)
     if width:
         inside = inside & (F.col("px") < width)
     if height:
         inside = inside & (F.col("py") < height)
-    d = F.col("depth")
-    good = depth.filter(d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf")) & (d > 0))
-    return p.filter(inside).join(good, [*keys, "px", "py"]).groupBy(*keys, "joint_idx").agg(
+    good = depth.filter(inside & d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf")) & (d > 0)).select(
+        *keys, "px", "py", "depth", F.floor(F.col("px") / tile).alias("_tx"), F.floor(F.col("py") / tile).alias("_ty"))
+    near = (F.abs(F.col("px") - F.col("_x")) <= radius) & (F.abs(F.col("py") - F.col("_y")) <= radius)
+    return p.join(good, [*keys, "_tx", "_ty"]).filter(near).groupBy(*keys, "joint_idx").agg(
         F.percentile("depth", F.lit(0.5)).alias("depth"))
 
 
+def depth_patch_maps(points: DataFrame, maps: DataFrame, keys: list[str], radius: int = 2) -> DataFrame:
+    """As `depth_patch`, read straight from stored maps: maps(keys.., content) holds one .npy each.
+
+    The joints of a frame travel to its map and no pixel becomes a row.
+    """
+    joints = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy(*keys).agg(
+        F.collect_list(F.struct("joint_idx", F.bround("x", 0).cast("int").alias("px"), F.bround("y", 0).cast("int").alias("py"))).alias("_j"))
+
+    def read(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+        for pdf in batches:
+            rows = []
+            for *key, found, content in pdf[[*keys, "_j", "content"]].itertuples(index=False, name=None):
+                a = np.load(io.BytesIO(content)).astype("float64")
+                for j in found:
+                    x, y = j["px"], j["py"]
+                    p = a[max(y - radius, 0):max(y + radius + 1, 0), max(x - radius, 0):max(x + radius + 1, 0)]
+                    p = p[np.isfinite(p) & (p > 0)]
+                    if p.size:
+                        rows.append((*key, j["joint_idx"], float(np.median(p))))
+            yield pd.DataFrame(rows, columns=[*keys, "joint_idx", "depth"])
+
+    types = dict(points.dtypes)
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["joint_idx int", "depth double"])
+    return joints.join(maps.select(*keys, "content"), keys).mapInPandas(read, schema)
+
+
 def match_predictions(annotations: DataFrame, predictions: DataFrame) -> DataFrame:
     """Prediction of each annotation id: equal id, else the first (by seq) whose id contains it.
 

@@ -193,22 +193,16 @@ def number_rows(
     `slice_` is any value that never decreases along `order` (a day, the high bits of a hash):
     rows are numbered inside (key, slice) and shifted by the size of the earlier slices.
     """
-    src = df.withColumn("_slice", slice_)
-    sizes = src.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_slice") if keys else Window.partitionBy(F.lit(0)).orderBy("_slice")
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    sizes = sizes.select(
-        *keys, "_slice",
-        F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(whole).alias("_total"))
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_slice"]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    local = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)) - 1
-    left = src.withColumn("_local", local)
-    out = left.alias("a").join(sizes.alias("b"), cond)
-    cols = [F.col(f"a.{c}") for c in df.columns] + [(F.col("_local") + F.col("_before")).cast("long").alias(name)]
+    # One struct key (equal also where a field is NULL): the windows and the join share its shuffle.
+    src = df.withColumn("_group_key", F.struct(*keys, slice_.alias("_slice")))
+    sizes = src.groupBy("_group_key").agg(F.count(F.lit(1)).alias("_n"))
+    group = [F.col(f"_group_key.{k}") for k in keys] or [F.lit(0)]
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("_group_key._slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_group_key", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total"))
+    local = src.withColumn("_local", F.row_number().over(Window.partitionBy("_group_key").orderBy(*order)) - 1)
+    out = local.join(sizes, "_group_key")
+    cols = [F.col(c) for c in df.columns] + [(F.col("_local") + F.col("_before")).cast("long").alias(name)]
     if total:
         cols.append(F.col("_total").alias(total))
     return out.select(*cols)

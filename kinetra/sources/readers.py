@@ -119,10 +119,15 @@ def depth_npy(spark: SparkSession, path: str) -> DataFrame:
                 py, px = np.indices(a.shape)
                 yield pd.DataFrame({"swing_id": swing, "frame": frame, "py": py.ravel(), "px": px.ravel(), "depth": a.ravel()})
 
+    return depth_maps(spark, path).mapInPandas(parse, "swing_id string, frame int, py int, px int, depth double")
+
+
+def depth_maps(spark: SparkSession, path: str) -> DataFrame:
+    """(swing_id, frame, content) of <swing>/%06d.npy maps, contents unread."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(path)
     p = F.url_decode("path")
-    src = files.select(F.element_at(F.split(p, "/"), -2).alias("swing_id"), stem(p).try_cast("int").alias("frame"), "content")
-    return src.filter(F.col("frame").isNotNull()).mapInPandas(parse, "swing_id string, frame int, py int, px int, depth double")
+    return files.select(F.element_at(F.split(p, "/"), -2).alias("swing_id"), stem(p).try_cast("int").alias("frame"), "content") \
+        .filter(F.col("frame").isNotNull())
 
 
 def media_inventory(spark: SparkSession, root: str, pattern: str = "*.mp4", leaf: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetra.operators.clean import mask_missing
+from kinetra.operators import pairing
 from kinetra.operators.sequence import Sequence
 from kinetra.plans import metrics as M
 from kinetra.schema import KP17, Params
@@ -78,6 +79,23 @@ def test_small_scans(spark, tmp_path):
     assert readers.predictions(spark, f"{tmp_path}/pred").first().scores == [0.1, 0.9]
 
 
+def test_depth_patch_forms_agree(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    os.makedirs(tmp_path / "s1")
+    for f in range(3):
+        a = rng.random((20, 30)) * 3
+        a[rng.random((20, 30)) < 0.3] = 0
+        a[0, 0] = np.nan
+        np.save(tmp_path / "s1" / f"{f:06d}.npy", a)
+    pts = spark.createDataFrame([("s1", f, j, float(x), float(y)) for f in range(3) for j, (x, y) in enumerate(
+        [(0, 0), (10.5, 7.5), (29, 19), (31, 5), (200, 5)])], "swing_id string, frame int, joint_idx int, x double, y double")
+    long = pairing.depth_patch(pts, readers.depth_npy(spark, str(tmp_path)), ["swing_id", "frame"])
+    maps = pairing.depth_patch_maps(pts, readers.depth_maps(spark, str(tmp_path)), ["swing_id", "frame"])
+    a, b = (sorted(map(tuple, d.select("frame", "joint_idx", "depth").collect())) for d in (long, maps))
+    assert [r[:2] for r in a] == [r[:2] for r in b] and len(a) == 12
+    np.testing.assert_allclose([r[2] for r in a], [r[2] for r in b])
+
+
 def test_sinks(spark, sf, tmp_path):
     s = fx.samples(spark, sf).withColumn("split", F.when(F.col("id") % 2 == 0, "train").otherwise("test"))
     writers.annotation_set(s, f"{tmp_path}/ann")
