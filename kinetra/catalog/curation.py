@@ -488,7 +488,7 @@ def _(spark, sf):
 
 
 @query("agg16_value_counts", f"""WITH t AS (SELECT 'image.action' AS field, event_type AS value FROM events UNION ALL SELECT 'image.evaluation', {SPELL} FROM events UNION ALL SELECT 'image.hitting', 'hit' FROM events WHERE event_id % 4 <> 0
- UNION ALL SELECT 'image.date', '20240101' FROM events UNION ALL SELECT 'environment.time', CASE WHEN event_id % 3 = 0 THEN 'day' ELSE 'night' END FROM events UNION ALL SELECT 'environment.location', 'range' FROM events
+ UNION ALL SELECT 'environment.time', CASE WHEN event_id % 3 = 0 THEN 'day' ELSE 'night' END FROM events UNION ALL SELECT 'environment.location', 'range' FROM events
  UNION ALL SELECT 'actor.sex', CASE WHEN event_id % 2 = 0 THEN 'M' ELSE 'F' END FROM events UNION ALL SELECT 'actor.age', (20 + event_id % 30)::VARCHAR FROM events WHERE event_id % 6 <> 0)
 SELECT field, value, count(*) AS n FROM t GROUP BY 1, 2""")
 def _(spark, sf):

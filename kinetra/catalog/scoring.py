@@ -226,3 +226,14 @@ def _(spark, sf):
     both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
     out, _ = V.pca_2d(train, both)
     return out.select("id", "split", "label", r6(F.col("projection")[0]).alias("x"), r6(F.col("projection")[1]).alias("y"))
+
+
+@query("plan_fusion_report")
+def _(spark, sf):
+    from kinetra.plans import fusion
+    k = F.col("id").cast("int")
+    video = fx.emb_a(spark, sf).withColumns({"label": (F.col("label") >= 3).cast("int"),
+                                             "split": F.when(k % 5 == 0, "test").when(k % 5 == 1, "valid").otherwise("train")})
+    feats = fusion.fused_features(video, fx.emb_clips(spark, sf).select("id", "clip", "vec"))
+    out = fusion.report(fusion.classify(feats, 48, 16))
+    return out.select("n", r6("accuracy").alias("accuracy"), r6("roc_auc").alias("roc_auc"), r6("average_precision").alias("average_precision"))

@@ -492,6 +492,24 @@ def _(spark, sf):
     return r.select("swing_id", *[r6(c).alias(c) for c in ("min_x", "max_y", "mean_x")], r6(F.col("scale") * 1000).alias("scale"))
 
 
+_HASHED = "(swing_id * 7919 + 31) % 10007"
+
+
+@query("plan_training_set", _TRIM + f""", t AS (SELECT swing_id, min(CASE WHEN c = 1 THEN frame END) AS a, max(CASE WHEN c = 1 THEN frame END) AS b, max(frame) AS l FROM m9 GROUP BY 1),
+e AS (SELECT swing_id, CASE WHEN a IS NOT NULL AND l >= 2 AND greatest(a - 3, 0) < least(b + 3, l) THEN least(b + 3, l) - greatest(a - 3, 0) + 1 ELSE l + 1 END AS n FROM t),
+k AS (SELECT swing_id, n, CASE swing_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS label FROM e WHERE n > 50),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_HASHED}, swing_id) - 1 AS q, count(*) OVER (PARTITION BY label) AS c FROM k)
+SELECT swing_id AS frame_dir, label, n AS total_frames, CASE WHEN q < greatest(1, floor(c * 0.2e0)) THEN 'xsub_val' ELSE 'xsub_train' END AS split FROM r""")
+def _(spark, sf):
+    from kinetra.operators.sample import Order
+    from kinetra.plans.training import training_rows
+    pose = fx.pose(spark, sf)
+    labels = fx.table(spark, sf, "events").select(F.col("user_id").alias("swing_id")).distinct().withColumn("label", (F.col("swing_id") % 5).cast("int"))
+    order = Order.by((F.col("swing_id") * 7919 + 31) % 10007, "swing_id")
+    rows = training_rows(pose, labels, fx.sequence(spark, sf), 0.2, order=order, three_class=True)
+    return rows.select("frame_dir", "label", "total_frames", "split")
+
+
 # ---- dispatch ----------------------------------------------------------------------------------
 
 @query("udf3_run_all_document")

@@ -314,7 +314,7 @@ def value_counts(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
 
 # Metadata fields that are counted.
 META_FIELDS = [
-    "image.date", "image.action", "image.evaluation", "image.hitting", "environment.time", "environment.location",
+    "image.action", "image.evaluation", "image.hitting", "environment.time", "environment.location",
     "environment.weather", "actor.grade", "actor.sex", "actor.age", "actor.size", "actor.height",
 ]
 
