@@ -164,7 +164,11 @@ def xfactor_series(laid: DataFrame, seq: Sequence, clip: bool, gaps: str = "skip
     laid = laid.drop(*vec, *angle, "sh_flip", "pe_flip")
     reach = 2 * (window // 2)
     laid = seq.core(median_then_mean(widen(laid, seq, reach, reach), list(names.values()), seq, window))
-    return laid.withColumns({c: F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col(c))) for c in names.values()}) if clip else laid
+    if not clip:
+        return laid
+    # greatest and least skip NULL: a missing angle stays missing.
+    return laid.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col(c))))
+                             for c in names.values()})
 
 
 def choose_plane(laid: DataFrame, seq: Sequence, impact: str = "impact") -> DataFrame:

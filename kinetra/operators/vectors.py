@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -88,23 +90,9 @@ def pca_2d(fit: DataFrame, apply: DataFrame, vec: str = "vec", k: int = 2) -> tu
 
 
 def scatter(emb: DataFrame, vec: str) -> np.ndarray:
-    """Sum of outer products: one D x D block per task, added up by Spark."""
-    def partial(batches):
-        total = None
-        for pdf in batches:
-            x = np.stack(pdf["_v"].to_numpy()) if len(pdf) else None
-            if x is not None:
-                total = x.T @ x if total is None else total + x.T @ x
-        if total is not None:
-            import pandas as pd
-            i, j = np.indices(total.shape)
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
-
-    rows = emb.select(F.transform(vec, lambda x: x.cast("double")).alias("_v")).mapInPandas(partial, "i int, j int, s double")
-    cells = rows.groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
-    out = np.zeros((cells["i"].max() + 1,) * 2)
-    out[cells["i"], cells["j"]] = cells["s"]
-    return out
+    """Sum of outer products of the rows, added up in a tree over the tasks."""
+    rows = emb.select(array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("_v"))
+    return RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "_v")).computeGramianMatrix().toArray()
 
 
 def lda_1d(fit: DataFrame, apply: DataFrame, vec: str = "vec", label: str = "label") -> DataFrame:

@@ -65,7 +65,7 @@ def com_shift(pose: DataFrame, p: Params, seq: Sequence) -> MetricResult:
     before = F.col("frame") <= F.col("impact")
     if p.dimension == "3d":
         laid = K.widen(laid, seq, 1, 0)
-        laid = K.choose_plane(K.xfactor_series(laid, seq, clip=False), seq)
+        laid = K.choose_plane(K.xfactor_series(laid, seq, clip=False, gaps=p.angle_gaps), seq)
         top_of = F.abs("xf")
     else:
         laid = laid.withColumns({"plane": F.lit("2D"), "xf": F.lit(None).cast("double")})
@@ -241,7 +241,7 @@ def xfactor(pose: DataFrame, p: Params, seq: Sequence) -> MetricResult:
     laid = laid.withColumn("_rise", K.above_and_rising("RWrist_X3", "stance_mid_x", seq.window()))
     laid = K.find_impact(laid, seq, F.col("_rise"), "RWrist_X3")
     laid = K.widen(laid, seq, 1, 0)
-    laid = K.choose_plane(K.xfactor_series(laid, seq, clip=True), seq)
+    laid = K.choose_plane(K.xfactor_series(laid, seq, clip=True, gaps=p.angle_gaps), seq)
     before = F.col("frame") <= F.col("impact")
     out = seq.summarise(laid, {
         "chosen_plane": F.max("plane"), "xfactor_max_deg": F.max(F.when(before, F.abs("xf"))),

@@ -112,6 +112,8 @@ class Params:
     shoulder_width_m: float | None = None
     height_m: float | None = None
     sway_outward_ratio: float = 0.08
+    # After a missing frame, line angles go on from the last valid one ("skip") or end ("stop").
+    angle_gaps: str = "skip"
     image_width: int = 1920
     image_height: int = 1080
     # Frames per block: a swing longer than this is spread over several tasks.

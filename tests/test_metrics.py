@@ -63,6 +63,14 @@ def test_impact_falls_back(spark):
     assert [r.impact_frame for r in s] == [1, 3]
 
 
+def test_angles_can_stop_at_a_gap(pose):
+    from dataclasses import replace
+    p = Params()
+    keep = M.xfactor(pose, p, Sequence(longest=100)).frames.filter("xf_X_Z is null").count()
+    stop = M.xfactor(pose, replace(p, angle_gaps="stop"), Sequence(longest=100)).frames.filter("xf_X_Z is null").count()
+    assert stop > keep
+
+
 def test_sequences_of_one_frame(spark):
     df = spark.createDataFrame([(0, 0, 0, j, float(j), 1.0, 2.0) for j in range(17)],
                                "swing_id int, frame int, person_idx int, joint_idx int, X3 double, Y3 double, Z3 double")
