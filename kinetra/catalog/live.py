@@ -24,6 +24,13 @@ def _(spark, sf):
     return run.run_complete(spark, jobs.latest_status(stream))
 
 
+@query("str1_irregular_steps", """WITH $JOBS, s AS (SELECT job_id, event_id, status, lag(status) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS before FROM jobs),
+p AS (SELECT *, list_position(['PENDING', 'PROCESSING', 'COMPLETED', 'GETTING'], status) AS b, list_position(['PENDING', 'PROCESSING', 'COMPLETED', 'GETTING'], before) AS a FROM s)
+SELECT job_id, event_id, before, status FROM p WHERE NOT CASE WHEN status = 'FAILED' THEN before IS NOT NULL WHEN before IS NULL THEN status = 'PENDING' WHEN before = 'FAILED' THEN status = 'PENDING' ELSE b - a IN (0, 1) END""")
+def _(spark, sf):
+    return jobs.irregular_steps(fx.jobs(spark, sf), F.to_date("ts"))
+
+
 _BOTH = """WITH $JOBS, a AS (SELECT job_id, event_id, ts FROM jobs WHERE status = 'PENDING'), b AS (SELECT job_id, ts, event_id AS payload FROM jobs WHERE status = 'COMPLETED')
 SELECT a.event_id, a.job_id, b.payload, CASE WHEN b.payload IS NOT NULL THEN 'complete' ELSE 'partial' END AS state FROM a LEFT JOIN b ON a.job_id = b.job_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 90000 SECOND"""
 

@@ -519,6 +519,13 @@ def _(spark, sf):
     return M.summary_document(results, ["swing_id"], "3d")
 
 
+@query("snk7_frame_documents", """WITH $CLEAN""" + _COM3 + """ SELECT swing_id, 0 AS part, 'com' AS metric, '{' || string_agg('"' || frame || '":{"known":' || CASE WHEN cx IS NULL THEN 'null' ELSE 'true' END || '}', ',' ORDER BY frame) || '}' AS document FROM c GROUP BY 1""")
+def _(spark, sf):
+    r = M.com_speed(masked(spark, sf), P3, fx.sequence(spark, sf))
+    known = r.frames.select("swing_id", "frame", F.when(F.col("com_x").isNotNull(), True).alias("known"))
+    return M.frame_documents({"com": M.MetricResult(r.summary, known)}, ["swing_id"])
+
+
 @query("udf4_by_dimension", """WITH $CLEAN, g AS (SELECT *, swing_id % 3 = 0 AS flat FROM clean),
 c AS (SELECT swing_id, frame, flat, CASE WHEN flat THEN avg(CASE WHEN x IS NOT NULL THEN x END) ELSE avg(X3) END AS cx, CASE WHEN flat THEN avg(y) ELSE avg(Y3) END AS cy,
  CASE WHEN flat THEN 0 ELSE avg(Z3) END AS cz FROM g GROUP BY 1, 2, 3)""" + _V3 + """

@@ -127,7 +127,7 @@ def curves(rows: DataFrame, score: str, label: str) -> DataFrame:
     t = score_table(rows, score, label)
     p = rows.filter(F.col(score).isNotNull()).agg(F.count(F.when(F.col(label) == 1, 1))).scalar()
     q = rows.filter(F.col(score).isNotNull()).agg(F.count(F.when(F.col(label) == 0, 1))).scalar()
-    return t.select("score", (F.col("tp") / p).alias("tpr"), (F.col("fp") / q).alias("fpr"),
+    return t.select("score", (F.col("tp") / F.nullif(p, F.lit(0))).alias("tpr"), (F.col("fp") / F.nullif(q, F.lit(0))).alias("fpr"),
                     (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
@@ -138,7 +138,9 @@ def auc_scores(rows: DataFrame, score: str, label: str) -> DataFrame:
     sums = t.agg(
         F.sum(F.col("neg") * (above + F.col("pos") / 2)).alias("_u"), F.sum("pos").alias("_p"), F.sum("neg").alias("_q"),
         F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_a"))
-    return sums.select((F.col("_u") / (F.col("_p") * F.col("_q"))).alias("roc_auc"), (F.col("_a") / F.col("_p")).alias("average_precision"))
+    # With one class only the areas are not defined.
+    return sums.select((F.col("_u") / F.nullif(F.col("_p") * F.col("_q"), F.lit(0))).alias("roc_auc"),
+                       (F.col("_a") / F.nullif(F.col("_p"), F.lit(0))).alias("average_precision"))
 
 
 def score_statistics(preds: DataFrame, scores: str = "scores") -> DataFrame:
@@ -161,4 +163,5 @@ def class_weights(rows: DataFrame, label: str, classes: int) -> DataFrame:
 def positive_weight(rows: DataFrame, label: str = "label") -> DataFrame:
     """Negatives per positive and the reverse, for a weighted loss."""
     t, f = F.count(F.when(F.col(label) == 1, 1)), F.count(F.when(F.col(label) == 0, 1))
-    return rows.agg(t.alias("n_true"), f.alias("n_false"), (f / t).alias("false_per_true"), (t / f).alias("true_per_false"))
+    return rows.agg(t.alias("n_true"), f.alias("n_false"), (f / F.nullif(t, F.lit(0))).alias("false_per_true"),
+                    (t / F.nullif(f, F.lit(0))).alias("true_per_false"))

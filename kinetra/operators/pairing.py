@@ -165,6 +165,11 @@ def match_predictions(annotations: DataFrame, predictions: DataFrame) -> DataFra
     return out.withColumn("pred", F.when(F.col("_hit"), F.col("_eq")).otherwise(F.col("_in"))).drop("_eq", "_hit", "_in")
 
 
+def match_by_position(annotations: DataFrame, predictions: DataFrame, position: str = "seq") -> DataFrame:
+    """Predictions without ids: the one at the annotation's place in the list."""
+    return annotations.join(predictions.select(position, "pred"), position, "left")
+
+
 def resume(items: DataFrame, manifest: DataFrame, path: str = "video_path") -> DataFrame:
     """Items not yet done; failed ones come back."""
     return items.join(manifest.filter(F.col("status") == "done").select(path), path, "left_anti")

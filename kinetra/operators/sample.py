@@ -62,7 +62,7 @@ def oversample(df: DataFrame, label: str = "label", small: int = 0, order: Order
     """Repeat the small label to the size of the other: whole copies, then a first part."""
     n_small, n_other = _count(df, F.col(label) == small), _count(df, F.col(label) != small)
     out = ranked(df.withColumn("_g", F.col(label) == small), ["_g"], order or Order.hashed())
-    whole = F.floor(n_other / n_small)
+    whole = F.floor(n_other / F.nullif(n_small, F.lit(0)))
     copies = F.when(F.col("_g") & (n_other > n_small), whole + (F.col("_rank") < n_other - whole * n_small).cast("long")).otherwise(1)
     return out.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("copy"))
 
@@ -79,7 +79,7 @@ def bootstrap(df: DataFrame, label: str = "label", small: int = 0, order: Order
     n_small = _count(df, F.col(label) == small)
     draws = both.filter(~F.col("_g")).select(F.col("_rank").alias("_draw"))
     value = pick if pick is not None else F.xxhash64("_draw", F.lit(seed))
-    draws = draws.select("_draw", F.pmod(value, n_small).alias("_rank"))
+    draws = draws.select("_draw", F.pmod(value, F.nullif(n_small, F.lit(0))).alias("_rank"))
     return draws.join(pool, "_rank").select(*df.columns, F.col("_draw").alias("draw"))
 
 

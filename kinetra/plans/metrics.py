@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kinetra.functions import rules
 from kinetra.operators import kinematics as K
 from kinetra.operators.clean import primary_person, speed_units, three_dimensional, unit_scale
-from kinetra.operators.reshape import tidy_to_wide
+from kinetra.operators.reshape import frame_map, tidy_to_wide
 from kinetra.operators.sequence import Sequence
 from kinetra.schema import Params
 
@@ -346,3 +346,13 @@ def summary_document(results: dict[str, MetricResult], keys: list[str], dimensio
     metrics = F.struct(*[F.struct(F.col(n).alias("summary")).alias(n) for n in results])
     doc = F.struct(F.col(keys[0]).cast("string").alias("job_id"), F.lit(dimension).alias("dimension"), metrics.alias("metrics"))
     return parts.select(*keys, F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
+
+
+def frame_documents(results: dict[str, MetricResult], keys: list[str]) -> DataFrame:
+    """Per swing and metric the frame map {"<frame>": {column: value or null}}, in numbered parts."""
+    out = None
+    for name, r in results.items():
+        cols = [c for c in r.frames.columns if c not in (*keys, "frame")]
+        part = frame_map(r.frames, keys, cols).withColumn("metric", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from kinetra.operators.sequence import Sequence, number_rows
+
 # Order of the stages of a job.
 STAGES = ("PENDING", "PROCESSING", "COMPLETED", "GETTING")
 
@@ -21,6 +23,23 @@ def latest_status(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("updates"))
 
 
+def irregular_steps(events: DataFrame, slice_: Column) -> DataFrame:
+    """Updates that neither stay, advance by one stage nor fail: (job_id, event_id, before, status).
+
+    A job starts at the first stage, also after a failure. `slice_` is a coarse time (a day).
+    """
+    src = number_rows(events, ["job_id"], [F.col("ts"), F.col("event_id")], slice_, "_k")
+    seq = Sequence(("job_id",), "_k")
+    laid = seq.lay_out(src, before=1)
+    laid = seq.done(laid.withColumn("before", F.lag("status").over(seq.window())))
+    place = F.create_map(*[x for i, s in enumerate(STAGES) for x in (F.lit(s), F.lit(i))])
+    now, was = F.try_element_at(place, F.col("status")), F.try_element_at(place, F.col("before"))
+    first = F.col("before").isNull()
+    fine = F.when(F.col("status") == "FAILED", ~first).when(first, F.col("status") == STAGES[0]) \
+        .otherwise(F.coalesce((now - was).isin(0, 1), F.col("status") == STAGES[0]))
+    return laid.filter(~fine).select("job_id", "event_id", "before", "status")
+
+
 def wait_for_both(first: DataFrame, second: DataFrame, seconds: int = 30, late: str = "10 minutes") -> DataFrame:
     """Each first result with the second that arrives within the time, else marked partial.
 
