@@ -571,6 +571,13 @@ def _(spark, sf):
     return out.select("id", "bin", "augmented", r6(F.col("vec")[0]).alias("v0"), F.size("vec").alias("width"))
 
 
+@query("smp4_augment_counts", """WITH $EMB_A, b AS (SELECT (label >= 3)::INT AS bin FROM emb_a) SELECT bin, false AS augmented, count(*) AS n FROM b GROUP BY 1
+UNION ALL SELECT 0, true, CAST(floor(count(*) * 1.5e0) AS BIGINT) FROM b WHERE bin = 0""")
+def _(spark, sf):
+    e = fx.emb_a(spark, sf).withColumn("bin", (F.col("label") >= 3).cast("int"))
+    return SM.augment_with_noise(e, "vec", "bin", ratio=1.5).groupBy("bin", "augmented").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("smp5_stratified_holdout", f"""WITH $SAMPLES, r AS (SELECT id, label5, {_rank('label5')} AS r, count(*) OVER (PARTITION BY label5) AS n FROM samples)
 SELECT id, CASE WHEN r < greatest(1, floor(n * 0.15e0)) THEN 'val' ELSE 'train' END AS split FROM r""")
 def _(spark, sf):

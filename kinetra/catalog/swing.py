@@ -512,11 +512,21 @@ def _(spark, sf):
 
 # ---- dispatch ----------------------------------------------------------------------------------
 
-@query("udf3_run_all_document")
+@query("udf3_run_all_document", _HEAD + _COM3 + _V3 + """
+SELECT swing_id::VARCHAR AS job_id, '3d' AS dimension, r6(avg(com_speed)) AS mean_com_speed, max(wrist) AS selected_wrist, max(impact) AS head_impact, 'mm/s' AS unit FROM sp JOIN hs USING (swing_id) GROUP BY swing_id""")
 def _(spark, sf):
-    pose = masked(spark, sf)
-    results, errors = M.run_all(pose, P3, fx.sequence(spark, sf), ["com_speed", "head_speed", "swing_speed"])
-    return M.summary_document(results, ["swing_id"], "3d")
+    results, _ = M.run_all(masked(spark, sf), P3, fx.sequence(spark, sf), ["com_speed", "head_speed"])
+    doc = M.summary_document(results, ["swing_id"], "3d")
+
+    def at(path: str):
+        return F.get_json_object("document", f"$.{path}")
+
+    return doc.select(
+        at("job_id").alias("job_id"), at("dimension").alias("dimension"),
+        r6(at("metrics.com_speed.summary.mean_com_speed").cast("double")).alias("mean_com_speed"),
+        at("metrics.head_speed.summary.selected_wrist").alias("selected_wrist"),
+        at("metrics.head_speed.summary.impact_frame").cast("int").alias("head_impact"),
+        at("metrics.com_speed.summary.unit").alias("unit"))
 
 
 @query("snk7_frame_documents", """WITH $CLEAN""" + _COM3 + """ SELECT swing_id, 0 AS part, 'com' AS metric, '{' || string_agg('"' || frame || '":{"known":' || CASE WHEN cx IS NULL THEN 'null' ELSE 'true' END || '}', ',' ORDER BY frame) || '}' AS document FROM c GROUP BY 1""")
