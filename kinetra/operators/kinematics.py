@@ -109,7 +109,7 @@ def continuous_directions(laid: DataFrame, seq: Sequence, vectors: dict[str, tup
     laid = laid.select("*", *[dot(cols).alias(f"_d_{n}") for n, cols in vectors.items()])
     laid = seq.scan(laid, total={f"_neg_{n}": F.when(F.col(f"_d_{n}") < 0, 1).otherwise(0) for n in vectors})
     laid = seq.scan(laid, last={
-        f"_base_{n}": F.when(F.col(f"_d_{n}").isNull() | (F.col(f"_d_{n}") == 0), F.col(f"_neg_{n}")) for n in vectors})
+        f"_base_{n}": F.when(F.col(f"_d_{n}").isNull() | (F.col(f"_d_{n}") == 0), F.col(f"_neg_{n}")) for n in vectors}, settle=True)
     new = {}
     for n, cols in vectors.items():
         odd = (F.col(f"_neg_{n}") - F.col(f"_base_{n}")) % 2 == 1
@@ -131,7 +131,7 @@ def unwrapped(laid: DataFrame, seq: Sequence, angles: list[str], gaps: str = "sk
     gaps="skip" compares with the last valid angle; "stop" leaves everything after a gap missing.
     """
     pi = math.pi
-    laid = seq.scan(laid, prev={f"_p_{a}": F.col(a) for a in angles})
+    laid = seq.scan(laid, prev={f"_p_{a}": F.col(a) for a in angles}, settle=True)
     corr = {}
     for a in angles:
         step = F.col(a) - F.col(f"_p_{a}")
@@ -140,7 +140,7 @@ def unwrapped(laid: DataFrame, seq: Sequence, angles: list[str], gaps: str = "sk
         m = F.when((m == -pi) & (step > 0), pi).otherwise(m)
         corr[a] = F.when(F.abs(step) < pi, 0.0).otherwise(m - step)
     laid = seq.scan(laid, total={**{f"_c_{a}": corr[a] for a in angles},
-                                 **{f"_g_{a}": F.col(a).isNull().cast("int") for a in angles}})
+                                 **{f"_g_{a}": F.col(a).isNull().cast("int") for a in angles}}, settle=True)
     new = {a: F.degrees(F.col(a) + F.col(f"_c_{a}")) for a in angles}
     if gaps == "stop":
         new = {a: F.when(F.col(f"_g_{a}") == 0, e) for a, e in new.items()}

@@ -106,17 +106,23 @@ class Sequence:
         prev: dict[str, Column] | None = None,
         nxt: dict[str, Column] | None = None,
         total: dict[str, Column] | None = None,
+        settle: bool = False,
     ) -> DataFrame:
         """Add running columns over whole sequences to laid-out rows; halo copies are dropped.
 
         last: latest non-null value up to and including the row; prev: the same, row excluded;
-        nxt: earliest non-null value from the row on; total: inclusive running sum.
+        nxt: earliest non-null value from the row on; total: inclusive running sum. In blocks the rows
+        are read twice: `settle` materialises them first where they come from another scan.
         """
         df = self.core(df)
+        if settle and not self.fits:
+            df = cut_lineage(df)
         last, prev, nxt, total = last or {}, prev or {}, nxt or {}, total or {}
         up = self.window(Window.unboundedPreceding, 0)
         before = self.window(Window.unboundedPreceding, -1)
-        down = self.window(0, Window.unboundedFollowing)
+        # Looking ahead is looking back in reverse order: a frame that ends at the last row would be
+        # walked again for every row.
+        down = Window.partitionBy(*self.part).orderBy(F.col(self.order).desc()).rowsBetween(Window.unboundedPreceding, 0)
         raw = {**last, **prev, **nxt, **total}
         src = df.select("*", *[e.alias(f"_v_{n}") for n, e in raw.items()])
 
@@ -127,7 +133,7 @@ class Sequence:
             "*",
             *[F.last(v(n), ignorenulls=True).over(up).alias(f"_l_{n}") for n in last],
             *[F.last(v(n), ignorenulls=True).over(before).alias(f"_l_{n}") for n in prev],
-            *[F.first(v(n), ignorenulls=True).over(down).alias(f"_l_{n}") for n in nxt],
+            *[F.last(v(n), ignorenulls=True).over(down).alias(f"_l_{n}") for n in nxt],
             *[F.sum(v(n)).over(up).alias(f"_l_{n}") for n in total])
         cols = [F.col(c) for c in df.columns]
         if self.fits:
@@ -141,9 +147,9 @@ class Sequence:
         summary = src.groupBy(*self.keys, BLK).agg(*parts)
         over_blocks = Window.partitionBy(*self.keys).orderBy(BLK)
         earlier = over_blocks.rowsBetween(Window.unboundedPreceding, -1)
-        later = over_blocks.rowsBetween(1, Window.unboundedFollowing)
+        later = Window.partitionBy(*self.keys).orderBy(F.col(BLK).desc()).rowsBetween(Window.unboundedPreceding, -1)
         carried = [F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in [*last, *prev]]
-        carried += [F.first(f"_c_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in nxt]
+        carried += [F.last(f"_c_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in nxt]
         carried += [F.sum(f"_c_{n}").over(earlier).alias(f"_c_{n}") for n in total]
         # Sequences of one block carry nothing: the join side is then empty and AQE drops it.
         carry = summary.select(*self.keys, BLK, *carried).dropna("all", subset=[f"_c_{n}" for n in raw])
