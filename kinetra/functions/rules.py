@@ -21,9 +21,10 @@ HEAD_SPEEDS = [
     ("Female Amateur", 78), ("Male Amateur", 93), ("LPGA Tour Pro", 94),
     ("PGA Tour Pro (avg male pro)", 114), ("Long Driver", 135), ("World Record", 157),
 ]
-# Class names.
+# Class names by number of classes, and of the three lower classes alone.
 CLASS_NAMES = {
     5: ["worst", "bad", "normal", "good", "best"], 3: ["bad", "normal", "good"], 2: ["false", "true"],
+    "lower": ["worst", "bad", "normal"],
 }
 
 
@@ -97,7 +98,7 @@ def to_two(label: Column, alternative: bool = False) -> Column:
         else F.when(label.isNull(), None).when(label >= 2, 1).otherwise(0)
 
 
-def class_name(label: Column, classes: int = 5) -> Column:
+def class_name(label: Column, classes: int | str = 5) -> Column:
     out = None
     for i, n in enumerate(CLASS_NAMES[classes]):
         out = F.when(label == i, n) if out is None else out.when(label == i, n)

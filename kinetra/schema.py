@@ -72,7 +72,7 @@ INTRINSICS_BODY = T.StructType([
     T.StructField("coeffs", T.ArrayType(T.DoubleType())),
 ])
 # Key names under which camera intrinsics are accepted, in order.
-INTRINSICS_KEYS = ("color_intrinsics", "intrinsics", "depth_intrinsics", "camera_intrinsics")
+INTRINSICS_KEYS = ("color_intrinsics", "intrinsics", "intrinsics_color", "camera_intrinsics")
 
 PREDICTION = T.StructType([
     T.StructField("id", T.StringType()),
