@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinetra.llm import chat, exact_dedup, mixing, url_filter
+from kinetra.llm import chat, exact_dedup, importance, mixing, packing, pii, url_filter
 
 URL_RULES = (
     ("com", "/", "allow"),
@@ -16,6 +17,8 @@ URL_RULES = (
     ("net", "/fr/", "block"),
 )
 SOURCE_WEIGHTS = (5, 2, 1)
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +64,18 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@_query("op4_best_fit_packing")
+def op4_best_fit_packing(spark, sf_dir):
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER, RANKS, limit=2048, columns=(F.crc32("ids").alias("ids_crc32"),))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@_query("op5_importance_resampling")
+def op5_importance_resampling(spark, sf_dir):
+    drawn = importance.resample_by_importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return drawn.select("doc_id", "log_weight", "gumbel_key")
+
+
 _WEIGHT = "CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END"
 
 
@@ -106,6 +121,11 @@ def op8_chat_perspectives(spark, sf_dir):
     return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
 
 
+@_query("op9_bootstrapped_pii")
+def op9_bootstrapped_pii(spark, sf_dir):
+    return pii.span_report(pii.personal_data(_table(spark, sf_dir, "documents")))
+
+
 def queries():
     return dict(QUERIES)
 
