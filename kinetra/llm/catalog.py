@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinetra.llm import chat, exact_dedup, importance, mixing, packing, pii, url_filter
+from kinetra.llm import chat, exact_dedup, importance, mixing, ngram_join, packing, pii, url_filter
 
 URL_RULES = (
     ("com", "/", "allow"),
@@ -40,6 +40,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 
+@_query("op1_ngram_jaccard_join")
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"), width=3, keep=(90, 100))
+
+
 @_query("op2_url_filter", rf"""
 WITH r(h, p, v) AS (VALUES {_RULE_ROWS}),
 a AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
