@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinetra.llm import chat, exact_dedup, importance, mixing, ngram_join, packing, pii, url_filter
+from kinetra.llm import chat, exact_dedup, importance, line_dedup, mixing, ngram_join, packing, pii, url_filter
 
 URL_RULES = (
     ("com", "/", "allow"),
@@ -131,6 +131,11 @@ def op9_bootstrapped_pii(spark, sf_dir):
     return pii.span_report(pii.personal_data(_table(spark, sf_dir, "documents")))
 
 
+@_query("op10_line_dedup")
+def op10_line_dedup(spark, sf_dir):
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"), keep=(80, 100))
+
+
 def queries():
     return dict(QUERIES)
 

@@ -43,3 +43,15 @@ def free_name(df: DataFrame, base: str) -> str:
 
 def quoted(name: str) -> Column:
     return F.col("`" + re.sub("`", "``", name) + "`")
+
+
+def roughly_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, cells: int = 1 << 19) -> DataFrame:
+    """Rows of `df` whose key hashes to a cell that a key of `wanted` hashes to: all that match, and few others.
+
+    It spares the shuffle most rows before an exact join. What is broadcast are cell numbers, `cells` at most; more
+    keys than cells make it let more pass.
+    """
+    cell = free_name(df, "cell")
+    hit = wanted.select(F.pmod(F.xxhash64(wanted_key), F.lit(cells)).alias(cell)).distinct()
+    mine = free_name(df, "mycell")
+    return (df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(cells))).join(F.broadcast(hit), F.col(mine) == F.col(cell), "left_semi").drop(mine))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinetra.llm.common import free_name, require
+from kinetra.llm.common import free_name, require, roughly_in
 from kinetra.llm.components import connected_components
 from kinetra.operators.sequence import cut_lineage
 
@@ -205,7 +205,9 @@ def similar_documents(docs: DataFrame, width: int = 3, keep: tuple[int, int] = (
     lowest = F.lit(-2 ** 63).cast("long")
     wanted = (light.join(meets.select(F.col("cls").alias("w_cls")).distinct(), F.col("cls") == F.col("w_cls"))
               .groupBy("cls").agg(F.min(F.struct(F.coalesce("doc_id", lowest).alias("w_id"), F.col("mark").alias("w_mark"))).alias("w")).select("w.*").distinct())
-    sets = cut_lineage(source.join(wanted, (F.coalesce("doc_id", lowest) == F.col("w_id")) & (F.col("mark") == F.col("w_mark")), "left_semi")
+    wanted = cut_lineage(wanted)
+    near = roughly_in(source, F.coalesce("doc_id", lowest), wanted, F.col("w_id"))
+    sets = cut_lineage(near.join(wanted, (F.coalesce("doc_id", lowest) == F.col("w_id")) & (F.col("mark") == F.col("w_mark")), "left_semi")
                        .select("text").mapInArrow(_whole_sets(width), "cls long, tokens array<long>"))
 
     links = None
