@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinetra.llm import chat, exact_dedup, importance, line_dedup, mixing, ngram_join, packing, pii, url_filter
+from kinetra.llm import bm25, chat, exact_dedup, importance, line_dedup, mixing, ngram_join, packing, pii, url_filter
 
 URL_RULES = (
     ("com", "/", "allow"),
@@ -81,6 +81,24 @@ def op5_importance_resampling(spark, sf_dir):
     return drawn.select("doc_id", "log_weight", "gumbel_key")
 
 
+@_query("op6_bm25_top_k", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS term FROM w) GROUP BY doc_id, term),
+s AS (SELECT count(*) AS n, CAST(sum(len(words)) AS DOUBLE) / count(*) AS mean FROM w),
+i AS (SELECT term, ln(CAST(1 AS DOUBLE) + ((SELECT n FROM s) - count(*) + CAST(0.5 AS DOUBLE)) / (count(*) + CAST(0.5 AS DOUBLE))) AS idf FROM p GROUP BY term),
+d AS (SELECT p.doc_id, p.term, p.tf * CAST(2.2 AS DOUBLE)
+             / (p.tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * len(w.words) / (SELECT mean FROM s))) AS part
+      FROM p JOIN w USING (doc_id)),
+q AS (SELECT p.doc_id AS query_id, p.term, i.idf * p.tf AS weight FROM p JOIN i USING (term) WHERE p.doc_id % 20 = 0),
+f AS (SELECT query_id, d.doc_id, sum(CAST(floor(weight * part * 1000000 + CAST(0.5 AS DOUBLE)) AS BIGINT)) AS score FROM q JOIN d USING (term) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM f WHERE score >= 1)
+SELECT query_id, CAST(k AS INTEGER) AS rank, doc_id, CAST(score AS DOUBLE) / CAST(1000000 AS DOUBLE) AS score FROM r WHERE k <= 10""")
+def op6_bm25_top_k(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return bm25.top_documents(docs, docs.where(F.col("doc_id") % 20 == 0), k=10)
+
+
 _WEIGHT = "CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END"
 
 
