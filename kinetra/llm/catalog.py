@@ -115,12 +115,12 @@ t AS (SELECT source, CAST(n AS BIGINT) AS source_size,
 c AS (SELECT d.*, t.source_size, t.target,
              sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT c.*, nth, CAST(nth * source_size + upto AS DOUBLE) / target AS finish FROM c, (VALUES (0), (1)) AS v(nth) WHERE size > 0),
-q AS (SELECT *, sum(size) OVER (ORDER BY finish, nth, key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM p),
-k AS (SELECT doc_id, sum(size) AS taken FROM q WHERE run <= (SELECT sum(size) FROM d) * CAST(1.5 AS DOUBLE) GROUP BY doc_id)
-SELECT c.doc_id, c.size, c.source_size, c.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken FROM c LEFT JOIN k USING (doc_id)""")
+k AS (SELECT doc_id, key, source, upto, count(*) FILTER (CAST(nth * source_size + upto AS DOUBLE) / target * target - size / CAST(2 AS DOUBLE) <= target) * size AS taken
+      FROM c, (VALUES (0), (1)) AS v(nth) WHERE size > 0 GROUP BY doc_id, key, source, upto, size)
+SELECT c.doc_id, c.size, c.source_size, c.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken
+FROM c LEFT JOIN k ON c.doc_id = k.doc_id AND c.upto = k.upto AND c.size > 0""")
 def op7_mix_sources(spark, sf_dir):
-    return (mixing.mix_sources(_table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
+    return (mixing.mix_sources(_table(spark, sf_dir, "documents"), weights=SOURCE_WEIGHTS)
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 

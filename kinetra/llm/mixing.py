@@ -38,79 +38,68 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], budget: float, most
     return s.select("source", "source_size", F.coalesce(F.least(F.col("full"), F.col("level") * F.col("weight")), F.col("full")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.5, most: int = 2, seed: str = "mix",
-                slice_rows: int = SLICE) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken for each row of `docs` (doc_id, text, source).
+def schedule(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.5, most: int = 2, seed: str = "mix",
+             slice_rows: int = SLICE) -> DataFrame:
+    """doc_id, source, size, source_size, target and finish, an array of each pass's virtual finish time, for each row of `docs`.
 
     Each source lays its documents out in an order shuffled by a seeded hash, `most` passes one after the other. A
-    document's virtual finish time is the words of its source up to its own last one over the source's target.
-    All passes are sorted by finish time, and the schedule is cut where the words reach the total budget. `taken`
-    counts the words of a document's passes before the cut.
-
-    The running sums are two-level: sources are cut into slices of the hash, the schedule into slices of finish
-    time, both as many as the row counts ask for. Only the slice that the budget falls into is ranked; the rows of
-    a hot source spread over its slices.
+    document's virtual finish time is the words of its source up to its own last one over the source's target. All
+    sources are served at the rate of their targets, so the whole schedule has served the total budget at time 1.
 
-    Null text has size 0; documents of size 0 take nothing. A null source is a source of its own. Repeated rows are
-    taken one by one, each up to `most` times. No rows in, no rows out.
+    The running sums are two-level: a source is cut into slices of the hash, as many as its rows ask for, so that the
+    rows of a hot source spread over tasks; slices add what the earlier ones of their source hold.
     """
     require(docs, "doc_id", "text", "source")
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     rows = cut_lineage(rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))))
     targets = source_targets(rows, weights, budget, most)
-    counts = rows.groupBy("source").agg(F.count("*").alias("n"))
-    per_source = (targets.join(counts.withColumnRenamed("source", "c_source"), F.col("source").eqNullSafe(F.col("c_source"))).drop("c_source")
-                  .withColumn("slices", F.ceil(F.col("n") / slice_rows).cast("long")))
-    per_source = cut_lineage(per_source.withColumnRenamed("source", "s_source"))
-
+    counts = rows.groupBy(F.col("source").alias("c_source")).agg(F.count("*").alias("n"))
+    per_source = cut_lineage(targets.join(counts, F.col("source").eqNullSafe(F.col("c_source")))
+                             .select(F.col("source").alias("s_source"), "source_size", "target", F.ceil(F.col("n") / slice_rows).cast("long").alias("slices")))
     place = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(2 ** 32)) * F.col("slices"))
     sliced = (rows.join(per_source, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
               .withColumn("slice", place.cast("long")))
-    sums = sliced.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = (sums.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
-            .select(F.col("source").alias("a_source"), F.col("slice").alias("a_slice"), "ahead"))
+    sums = (sliced.groupBy("source", "slice").agg(F.sum("size").alias("words"))
+            .select(F.col("source").alias("a_source"), F.col("slice").alias("a_slice"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead")))
     inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (sliced.withColumn("within", F.sum("size").over(inside))
-              .join(sums, F.col("source").eqNullSafe(F.col("a_source")) & (F.col("slice") == F.col("a_slice")))
-              .withColumn("upto", F.col("ahead") + F.col("within"))
-              .select("doc_id", "source", "size", "key", "source_size", "target", "upto", F.monotonically_increasing_id().alias("row")))
-    placed = cut_lineage(placed)
-
-    def finish(nth: Column) -> Column:
-        return F.when(F.col("target") > 0, (nth * F.col("source_size") + F.col("upto")) / F.col("target")).otherwise(F.lit(0.0))
-
-    passes = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.struct(i.alias("nth"), finish(i).alias("finish")))
-    schedule = (placed.where("size > 0").withColumn("pass", F.explode(passes))
-                .select("row", "doc_id", "size", "key", "pass.nth", "pass.finish"))
-    steps = max(1, placed.count() // slice_rows)
-    # Finish times of words within the budget end near 1; what lies beyond 2 needs no finer slices.
-    schedule = schedule.withColumn("step", F.floor(F.least(F.col("finish"), F.lit(2.0)) * steps).cast("long"))
-    total = F.sum("words").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
-    limit = rows.agg(F.sum("size").alias("all")).first()["all"] or 0
-    limit = limit * budget
-    ends = schedule.groupBy("step").agg(F.sum("size").alias("words")).withColumn("base", F.coalesce(total, F.lit(0)))
-    cut = ends.where(F.col("base") + F.col("words") > F.lit(limit)).agg(F.min(F.struct("step", "base")).alias("cut")).first()["cut"]
-    if cut is None:
-        inside_cut = schedule.withColumn("in", F.lit(True))
-    else:
-        running = Window.partitionBy("step").orderBy("finish", "nth", "key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-        edge = (schedule.where(F.col("step") == cut["step"]).withColumn("sum", F.lit(cut["base"]) + F.sum("size").over(running))
-                .where(F.col("sum") <= F.lit(limit)).drop("sum"))
-        inside_cut = schedule.where(F.col("step") < cut["step"]).unionByName(edge)
-    taken = inside_cut.groupBy("row").agg(F.sum("size").alias("taken")).withColumnRenamed("row", "t_row")
-    return (placed.join(taken, F.col("row") == F.col("t_row"), "left")
-            .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+    upto = F.col("ahead") + F.col("within")
+    passes = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.when(
+        F.col("target") > 0, (i * F.col("source_size") + upto) / F.col("target")).otherwise(F.lit(0.0)))
+    return (sliced.withColumn("within", F.sum("size").over(inside))
+            .join(sums, F.col("source").eqNullSafe(F.col("a_source")) & (F.col("slice") == F.col("a_slice")))
+            .select("doc_id", "source", "size", "source_size", "target", passes.alias("finish")))
+
+
+def _inside(finish: Column) -> Column:
+    """Whether most of a document's words are served before the budget is: at time 1."""
+    return (finish * F.col("target") - F.col("size") / 2 <= F.col("target")) & (F.col("size") > 0)
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken for each row of `docs` (doc_id, text, source).
+
+    `taken` counts the words of those of a document's passes that the schedule serves before the total budget is used
+    up; the one pass of each source that the cut falls into is in if most of it lies before the cut, which leaves
+    each source within half a document of its target. Options are those of `schedule`.
+
+    Null text has size 0; documents of size 0 take nothing. A null source is a source of its own. Repeated rows are
+    taken one by one, each up to `most` times. Other columns are ignored. No rows in, no rows out.
+    """
+    served = F.size(F.filter("finish", _inside))
+    return schedule(docs, **options).select("doc_id", "source", "size", "source_size", "target", (served * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that the mix takes, each as often as it does, with the columns of `docs`.
+    """The rows of `docs` that the mix takes, each as often as it does, range-sorted by virtual finish time.
 
-    Rows that share a doc_id and a source take the greatest number of passes among them.
+    Written to files, they are the mixed stream: every stretch has the sources in about the proportions of their
+    targets. Columns are those of `docs`. Rows that share a doc_id and a source are each taken as the one with most passes.
     """
-    ident, source, times = (free_name(docs, x) for x in ("ident", "src", "times"))
-    passes = (mix_sources(docs, **options).where("taken > 0")
+    ident, source, finish = (free_name(docs, x) for x in ("ident", "src", "finish"))
+    served = (schedule(docs, **options).select("doc_id", "source", F.filter("finish", _inside).alias("served")).where("size(served) > 0")
               .groupBy(F.col("doc_id").alias(ident), F.col("source").alias(source))
-              .agg(F.max(F.col("taken") / F.col("size")).cast("int").alias(times)))
-    return (docs.join(passes, F.col("doc_id").eqNullSafe(F.col(ident)) & F.col("source").eqNullSafe(F.col(source)))
-            .withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(ident, source, times))
+              .agg(F.max(F.struct(F.size("served"), "served"))["served"].alias(finish)))
+    taken = (docs.join(served, F.col("doc_id").eqNullSafe(F.col(ident)) & F.col("source").eqNullSafe(F.col(source)))
+             .withColumn(finish, F.explode(finish)))
+    return taken.repartitionByRange(F.col(finish), F.xxhash64(ident)).sortWithinPartitions(finish).drop(ident, source, finish)

@@ -8,7 +8,7 @@ from math import sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinetra.llm.common import free_name, require, roughly_in
 from kinetra.llm.components import connected_components
@@ -161,15 +161,39 @@ def _filtered(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     return both.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third")).select("a", "b").distinct()
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, keep: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of sets that link, by their whole sets."""
-    side = lambda x: sets.select(F.col("cls").alias(f"{x}_cls"), F.col("tokens").alias(f"{x}_tokens"))
+def _compared(pairs: DataFrame, sets: DataFrame, keep: tuple[int, int]) -> DataFrame:
+    """a, b, whether they link by their whole sets, b's size and the tokens that only one has."""
+    side = lambda x: (roughly_in(sets, F.col("cls"), pairs, F.col(x))
+                      .select(F.col("cls").alias(f"{x}_cls"), F.col("tokens").alias(f"{x}_tokens")))
     both = pairs.join(side("a"), F.col("a") == F.col("a_cls")).join(side("b"), F.col("b") == F.col("b_cls"))
-    common = F.size(F.array_intersect("a_tokens", "b_tokens")).cast("long")
-    return both.where(common * (keep[0] + keep[1]) >= keep[0] * (F.size("a_tokens") + F.size("b_tokens"))).select("a", "b")
+    total = (F.size("a_tokens") + F.size("b_tokens")).cast("long")
+    both = both.withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")).cast("long")).withColumn("total", total)
+    return both.select("a", "b", (F.col("common") * (keep[0] + keep[1]) >= keep[0] * F.col("total")).alias("linked"),
+                       F.size("b_tokens").cast("long").alias("n"),
+                       F.concat(F.array_except("a_tokens", "b_tokens"), F.array_except("b_tokens", "a_tokens")).alias("differs"))
 
 
-def similar_documents(docs: DataFrame, width: int = 3, keep: tuple[int, int] = (90, 100), stars: int = 2) -> DataFrame:
+def _by_difference(compared: DataFrame, groups: DataFrame, keep: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of different components that were compared to the same set and may link.
+
+    Sets x and y that differ from a set l by dx and dy tokens differ by dx + dy less twice the tokens that their
+    differences share. Linked to l are all that could link without sharing any, so the others must share some:
+    rarest first, differences meet in an early place or are too far apart.
+    """
+    rows = compared.select(F.col("a").alias("l"), F.col("b").alias("x"), "n", F.size("differs").cast("long").alias("d"), F.explode("differs").alias("token"))
+    times = rows.groupBy("l", "token").agg(F.count("*").alias("times")).select(F.col("l").alias("t_l"), F.col("token").alias("t_token"), "times")
+    rows = rows.join(times, (F.col("l") == F.col("t_l")) & (F.col("token") == F.col("t_token"))).drop("t_l", "t_token")
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("l", "x").orderBy("times", "token"))).where("times > 1")
+    rows = rows.join(groups, F.col("x") == F.col("node"), "left").withColumn("component", F.coalesce("component", "x")).drop("node", "times")
+    side = lambda s: rows.select(*[F.col(c).alias(f"{s}_{c}") for c in ("l", "x", "n", "d", "token", "pos", "component")])
+    p, q = side("p"), side("q")
+    shared = 1 + F.least(F.col("p_d") - F.col("p_pos"), F.col("q_d") - F.col("q_pos"))
+    near = (F.col("p_d") + F.col("q_d") - 2 * shared) * (keep[1] + keep[0]) <= (F.col("p_n") + F.col("q_n")) * (keep[1] - keep[0])
+    return p.join(q, (F.col("p_l") == F.col("q_l")) & (F.col("p_token") == F.col("q_token")) & (F.col("p_component") < F.col("q_component")) & near) \
+        .select(F.col("p_x").alias("a"), F.col("q_x").alias("b"))
+
+
+def similar_documents(docs: DataFrame, width: int = 3, keep: tuple[int, int] = (90, 100), crowd: int = 16) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of `docs` (doc_id, text).
 
     A document's set holds its distinct runs of `width` words (its whole sequence, if shorter); sets link when
@@ -184,9 +208,10 @@ def similar_documents(docs: DataFrame, width: int = 3, keep: tuple[int, int] = (
 
     Sets that meet under the first order and pass the length and positional filters are candidates if they also meet
     under the two others; candidates are verified on whole sets. A crowded token is not expanded into all its pairs:
-    `stars` times each token's sets are compared to its most central one that is in another component, then
-    the pairs that are still in different components. So components are exact and groups of near copies cost about
-    one comparison a member.
+    its sets are first compared to its most central one. Then pairs still in different components follow: those
+    compared to the same set with `crowd` followers or more by an index of what they differ from it in (those that
+    share no difference would have linked to it), all others directly. So components are exact, and a group of near
+    copies costs about one comparison a member and one for each pair that shares its own changes.
 
     Null, empty and wordless texts: no shingles, component_id is their own doc_id. Null doc_ids are never the smallest.
     Repeated rows are in one class. Other columns are ignored. No rows in, no rows out.
@@ -203,45 +228,46 @@ def similar_documents(docs: DataFrame, width: int = 3, keep: tuple[int, int] = (
     meets = cut_lineage(meets.join(crowds, F.col("token") == F.col("c_token")).drop("c_token"))
 
     lowest = F.lit(-2 ** 63).cast("long")
-    wanted = (light.join(meets.select(F.col("cls").alias("w_cls")).distinct(), F.col("cls") == F.col("w_cls"))
-              .groupBy("cls").agg(F.min(F.struct(F.coalesce("doc_id", lowest).alias("w_id"), F.col("mark").alias("w_mark"))).alias("w")).select("w.*").distinct())
-    wanted = cut_lineage(wanted)
-    near = roughly_in(source, F.coalesce("doc_id", lowest), wanted, F.col("w_id"))
-    sets = cut_lineage(near.join(wanted, (F.coalesce("doc_id", lowest) == F.col("w_id")) & (F.col("mark") == F.col("w_mark")), "left_semi")
-                       .select("text").mapInArrow(_whole_sets(width), "cls long, tokens array<long>"))
-
-    links = None
-    groups = None
-    for turn in range(stars + 1):
-        if groups is None:
-            now = meets.withColumn("component", F.col("cls"))
-        else:
-            now = meets.join(groups, F.col("cls") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "cls"))
-        if turn:
-            # What is left of a token when its sets are in more than one component.
-            open_ = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(F.col("token").alias("o_token"))
-            now = now.join(open_, F.col("token") == F.col("o_token")).drop("o_token")
-        if turn < stars:
-            if turn == 0:
-                lead = now.groupBy("token").agg(F.min(F.struct("pos", "n", "cls", "component")).alias("s"))
-            else:
-                # The component of the first star is settled; the next leads the most central set of the others.
-                first = now.groupBy("token").agg(F.min(F.struct("pos", "n", "cls", "component")).alias("f")).select(F.col("token").alias("f_token"), F.col("f.component").alias("f_component"))
-                rest = now.join(first, (F.col("token") == F.col("f_token")) & (F.col("component") != F.col("f_component"))).drop("f_token", "f_component")
-                lead = rest.groupBy("token").agg(F.min(F.struct("pos", "n", "cls", "component")).alias("s"))
-            other = lead.select(F.col("token").alias("l_token"), F.col("s.pos").alias("l_pos"), F.col("s.n").alias("l_n"),
-                                F.col("s.cls").alias("l_cls"), F.col("s.component").alias("l_component"))
-            apart = (F.col("token") == F.col("l_token")) & (F.col("component") != F.col("l_component"))
-        else:
-            other = now.select(F.col("token").alias("l_token"), F.col("pos").alias("l_pos"), F.col("n").alias("l_n"),
-                               F.col("cls").alias("l_cls"), F.col("component").alias("l_component"))
-            # Each pair once, whichever components the two are in.
-            apart = (F.col("token") == F.col("l_token")) & (F.col("component") < F.col("l_component"))
-        pairs = (now.join(other, apart & _may_link(F.col("n"), F.col("l_n"), F.col("pos"), F.col("l_pos"), keep))
-                 .select("part", F.least("cls", "l_cls").alias("a"), F.greatest("cls", "l_cls").alias("b")).distinct())
-        found = cut_lineage(_linked(_filtered(pairs, profiles), sets, keep))
-        links = found if links is None else links.unionByName(found)
-        groups = connected_components(links)
+    meeting = meets.select(F.col("cls").alias("w_cls")).distinct()
+    stands = cut_lineage(light.join(meeting, F.col("cls") == F.col("w_cls")).groupBy("cls")
+                         .agg(F.min(F.struct(F.coalesce("doc_id", lowest).alias("w_id"), F.col("mark").alias("w_mark"))).alias("w")).select("cls", "w.*"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Whole sets are made again from the texts of the documents that stand for the pairs' classes."""
+        inside = pairs.select(F.col("a").alias("i_cls")).unionByName(pairs.select(F.col("b").alias("i_cls"))).distinct()
+        wanted = cut_lineage(stands.join(inside, F.col("cls") == F.col("i_cls")).select("w_id", "w_mark").distinct())
+        near = roughly_in(source, F.coalesce("doc_id", lowest), wanted, F.col("w_id"))
+        here = (F.coalesce("doc_id", lowest) == F.col("w_id")) & (F.col("mark") == F.col("w_mark"))
+        sets = cut_lineage(near.join(wanted, here, "left_semi").select("text").mapInArrow(_whole_sets(width), "cls long, tokens array<long>"))
+        return _compared(pairs, sets, keep)
+
+    # Each token's most central set, the one with the fewest tokens that others lack, is compared to all others there.
+    lead = (meets.groupBy("token").agg(F.min(F.struct("pos", "n", "cls")).alias("s"))
+            .select(F.col("token").alias("l_token"), F.col("s.pos").alias("l_pos"), F.col("s.n").alias("l_n"), F.col("s.cls").alias("l_cls")))
+    led = meets.join(lead, F.col("token") == F.col("l_token")).drop("l_token")
+    led = led.withColumn("may", _may_link(F.col("n"), F.col("l_n"), F.col("pos"), F.col("l_pos"), keep) & (F.col("cls") != F.col("l_cls")))
+    pairs = cut_lineage(_filtered(led.where("may").select("part", F.col("l_cls").alias("a"), F.col("cls").alias("b")).distinct(), profiles))
+    crowded = pairs.groupBy(F.col("a").alias("c_a")).agg(F.count("*").alias("c_n")).where(F.col("c_n") >= crowd).select("c_a")
+    stars = compared(pairs).join(crowded, F.col("a") == F.col("c_a"), "left")
+    stars = cut_lineage(stars.select("a", "b", "linked", "n", F.when(F.col("c_a").isNotNull(), F.col("differs")).alias("differs")))
+    links = stars.where("linked").select("a", "b")
+    groups = cut_lineage(connected_components(links))
+
+    # Sets compared to the same crowded one meet by what they differ in; all other pairs of a token directly.
+    around = stars.where("differs is not null")
+    follows = around.select(F.col("a").alias("f_a"), F.col("b").alias("f_b"))
+    now = (led.join(follows, (F.col("l_cls") == F.col("f_a")) & (F.col("cls") == F.col("f_b")), "left")
+           .select("part", "token", "n", "pos", "cls", (F.col("f_a").isNotNull() | (F.col("cls") == F.col("l_cls"))).alias("known"))
+           .join(groups, F.col("cls") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cls")).drop("node"))
+    spread = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(F.col("token").alias("s_token"))
+    now = cut_lineage(now.join(spread, F.col("token") == F.col("s_token")).drop("s_token"))
+    p, q = (now.select(*[F.col(c).alias(f"{x}_{c}") for c in ("part", "token", "n", "pos", "cls", "known", "component")]) for x in "pq")
+    direct = (p.join(q, (F.col("p_token") == F.col("q_token")) & (F.col("p_component") < F.col("q_component")) & ~(F.col("p_known") & F.col("q_known"))
+                     & _may_link(F.col("p_n"), F.col("q_n"), F.col("p_pos"), F.col("q_pos"), keep))
+              .select(F.col("p_part").alias("part"), F.col("p_cls").alias("a"), F.col("q_cls").alias("b")).distinct())
+    pairs = cut_lineage(_filtered(direct, profiles).unionByName(_by_difference(around, groups, keep)).distinct())
+    more = cut_lineage(compared(pairs).where("linked").select("a", "b"))
+    groups = connected_components(links.unionByName(more))
     classes = light.groupBy("cls").agg(F.min("doc_id").alias("low"))
     named = classes.join(groups, F.col("cls") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cls"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id")).withColumnRenamed("component", "c_component")

@@ -77,15 +77,25 @@ def got(spark, rows, **options):
     return sorted(map(tuple, df.collect()))
 
 
-@pytest.mark.parametrize("seed, width, keep", [(1, 3, (90, 100)), (2, 5, (80, 100)), (3, 3, (90, 100)), (4, 1, (75, 100))])
-def test_components_match_brute_force(spark, seed, width, keep):
+@pytest.mark.parametrize("seed, width, keep, crowd", [(1, 3, (90, 100), 3), (2, 5, (80, 100), 16), (4, 1, (75, 100), 2)])
+def test_components_match_brute_force(spark, seed, width, keep, crowd):
     rows = corpus(seed)
-    assert got(spark, rows, width=width, keep=keep) == expected(rows, width, keep)
-
-
-def test_without_stars_the_pairs_alone_give_the_same(spark):
-    rows = corpus(5, 120)
-    assert got(spark, rows, stars=0) == expected(rows, 3, (90, 100))
+    assert got(spark, rows, width=width, keep=keep, crowd=crowd) == expected(rows, width, keep)
+
+
+def test_chains_in_a_crowd_match_brute_force(spark):
+    rnd = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    texts = [list(base)]
+    for i in range(200):  # copies of the text or of earlier copies, each with a few changes
+        w = list(rnd.choice(texts) if rnd.random() < 0.5 else base)
+        for _ in range(rnd.randint(1, 4)):
+            w[rnd.randrange(len(w))] = f"n{rnd.randrange(3000)}"
+        texts.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    want = expected(rows, 3, (90, 100))
+    assert len({c for _, _, c in want}) > 10
+    assert got(spark, rows, crowd=4) == want == got(spark, rows, crowd=10 ** 9)
 
 
 def test_edge_rows(spark):
