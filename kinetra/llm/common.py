@@ -45,13 +45,33 @@ def quoted(name: str) -> Column:
     return F.col("`" + re.sub("`", "``", name) + "`")
 
 
-def roughly_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, cells: int = 1 << 19) -> DataFrame:
+def roughly_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, cells: int = 1 << 19, how: str = "left_semi") -> DataFrame:
     """Rows of `df` whose key hashes to a cell that a key of `wanted` hashes to: all that match, and few others.
 
     It spares the shuffle most rows before an exact join. What is broadcast are cell numbers, `cells` at most; more
-    keys than cells make it let more pass.
+    keys than cells make it let more pass. With `left_anti`, the other rows, none of which match.
     """
     cell = free_name(df, "cell")
     hit = wanted.select(F.pmod(F.xxhash64(wanted_key), F.lit(cells)).alias(cell)).distinct()
     mine = free_name(df, "mycell")
-    return (df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(cells))).join(F.broadcast(hit), F.col(mine) == F.col(cell), "left_semi").drop(mine))
+    return (df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(cells))).join(F.broadcast(hit), F.col(mine) == F.col(cell), how).drop(mine))
+
+
+def settle(docs: DataFrame, key: Column, doubted: DataFrame, doubted_key: Column, exact) -> DataFrame:
+    """`docs` after `exact`, a filter by a join that can only drop rows whose key is in `doubted`.
+
+    Only rows that share a cell with a doubted key go through it; the others stay where they are, without a shuffle.
+    """
+    sure = roughly_in(docs, key, doubted, doubted_key, how="left_anti")
+    return sure.unionByName(exact(roughly_in(docs, key, doubted, doubted_key)))
+
+
+def give_back() -> None:
+    """At the end of a Python task: memory that Arrow and the allocator hold but don't use goes back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinetra.llm.common import free_name, require, unspaced
+from kinetra.llm.common import free_name, require, settle, unspaced
+from kinetra.operators.sequence import cut_lineage
 
 
 #: One code point more outweighs any doc_id; a missing doc_id comes after all others.
@@ -60,9 +61,14 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """
     none = F.lit(-2 ** 63).cast("long")
     ident, sha, k_id, k_sha = (free_name(docs, x) for x in ("ident", "sha", "keptident", "keptsha"))
-    kept = (exact_duplicates(docs).where("kept")
-            .select(F.coalesce("doc_id", none).alias(k_id), F.col("text_sha256").alias(k_sha)))
-    marked = (docs.withColumn(ident, F.coalesce(F.col("doc_id").cast("long"), none))
-              .withColumn(sha, F.sha2(unspaced(F.col("text")), 256)))
-    both = marked.join(kept, (F.col(ident) == F.col(k_id)) & (F.col(sha) == F.col(k_sha)), "left_semi")
-    return both.dropDuplicates([ident, sha]).drop(ident, sha)
+    found = cut_lineage(exact_duplicates(docs).where("not kept or group_size > 1")
+                        .select(F.coalesce("doc_id", none).alias(k_id), F.col("text_sha256").alias(k_sha), "kept"))
+
+    def exact(rows: DataFrame) -> DataFrame:
+        kept = found.where("kept").drop("kept")
+        marked = rows.withColumn(ident, F.coalesce(F.col("doc_id").cast("long"), none)).withColumn(sha, F.sha2(unspaced(F.col("text")), 256))
+        alone = marked.join(found.select(F.col(k_sha)).distinct(), F.col(sha) == F.col(k_sha), "left_anti")
+        return (alone.unionByName(marked.join(kept, (F.col(ident) == F.col(k_id)) & (F.col(sha) == F.col(k_sha)), "left_semi").dropDuplicates([ident, sha]))
+                .drop(ident, sha))
+
+    return settle(docs, F.coalesce(F.col("doc_id").cast("long"), none), found, F.col(k_id), exact)

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kinetra.llm.common import free_name, require
+from kinetra.llm.common import free_name, give_back, require, settle
 from kinetra.operators.sequence import cut_lineage
 
 #: Hash buckets of single tokens; token pairs have as many.
@@ -50,6 +50,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(raw, f, 1)
             if wanted.as_py():
                 np.add.at(target, f, 1)
+    words.clear()
+    give_back()
     at = np.flatnonzero(raw)
     if len(at):
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
@@ -76,6 +78,8 @@ def _scorer(ratios: np.ndarray):
         for batch in batches:
             weight = np.array([ratios[features(t.as_py(), words)].sum() for t in batch.column(2)], dtype=float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weight)], ["doc_id", "mark", "log_weight"])
+        words.clear()
+        give_back()
     return score
 
 
@@ -102,9 +106,11 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float |
     return low
 
 
-def resample_by_importance(docs: DataFrame, labels: DataFrame, target=None, recall: float = 0.999, labelled: int = LABELLED,
-                           seed: int = 17) -> DataFrame:
-    """doc_id, mark, log_weight and gumbel_key of the documents drawn from `docs` (doc_id, text) to look like the target.
+def importance_keys(docs: DataFrame, labels: DataFrame, target=None, recall: float = 0.999, labelled: int = LABELLED,
+                    seed: int = 17) -> tuple[DataFrame, float | None]:
+    """doc_id, mark, log_weight and gumbel_key of all `docs` (doc_id, text), and the key from which on they are drawn.
+
+    Drawn documents look like the target.
 
     Text becomes hashed lower-case words, punctuation runs and neighbouring pairs. The raw model counts them over all
     documents, the target model over the labelled documents that `target` (a condition on `labels`; quality 1 and not
@@ -142,16 +148,26 @@ def resample_by_importance(docs: DataFrame, labels: DataFrame, target=None, reca
     targets = known.where("wanted")
     n_targets, n_known, n = targets.count(), known.count(), scored.count()
     if not n_targets:
-        return scored
+        return scored, None
     least = kth_largest(targets, "log_weight", max(1, int(np.ceil(n_targets * recall))))
     share = known.where(F.col("log_weight") >= F.lit(least - np.log(np.log(max(n, 3))))).count() / n_known
     share = min(1.0, share + 3 * (share * (1 - share) / n_known) ** 0.5)
     cut = kth_largest(scored, "gumbel_key", int(np.ceil(share * n)))
-    return scored.where(F.col("gumbel_key") >= F.lit(cut))
+    return scored, cut
+
+
+def resample_by_importance(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """doc_id, mark, log_weight and gumbel_key of the documents that `importance_keys` draws; options are the same."""
+    scored, cut = importance_keys(docs, labels, **options)
+    return scored if cut is None else scored.where(F.col("gumbel_key") >= F.lit(cut))
 
 
 def drop_unlike_target(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that `resample_by_importance` draws, with all their columns, whatever they are called."""
+    scored, cut = importance_keys(docs, labels, **options)
+    if cut is None:
+        return docs
     ident, mark = free_name(docs, "ident"), free_name(docs, "mark")
-    drawn = resample_by_importance(docs, labels, **options).select(F.col("doc_id").alias(ident), F.col("mark").alias(mark))
-    return docs.join(drawn, F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (F.xxhash64("text") == F.col(mark)), "left_semi")
+    gone = scored.where(F.col("gumbel_key") < F.lit(cut)).select(F.col("doc_id").alias(ident), F.col("mark").alias(mark)).distinct()
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (F.xxhash64("text") == F.col(mark))
+    return settle(docs, F.col("doc_id").cast("long"), gone, F.col(ident), lambda rows: rows.join(gone, here, "left_anti"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinetra.llm.common import free_name, require, roughly_in
+from kinetra.llm.common import free_name, give_back, require, roughly_in, settle
 from kinetra.llm.components import connected_components
 from kinetra.operators.sequence import cut_lineage
 
@@ -99,6 +99,8 @@ def _token_rows(width: int, keep: tuple[int, int]):
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32())
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds)), tokens],
                                              ["doc_id", "mark", "cls", "n", "part", "main", "sure", "tokens"])
+        words.clear()
+        give_back()
     return rows
 
 
@@ -115,6 +117,8 @@ def _whole_sets(width: int):
             if names:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))], ["cls", "tokens"])
+        words.clear()
+        give_back()
     return rows
 
 
@@ -280,6 +284,7 @@ def similar_documents(docs: DataFrame, width: int = 3, keep: tuple[int, int] = (
 def drop_similar_documents(docs: DataFrame, width: int = 5, keep: tuple[int, int] = (80, 100)) -> DataFrame:
     """The rows of `docs` whose doc_id names their component, with all their columns; rows without doc_id stay."""
     ident = free_name(docs, "ident")
-    gone = (similar_documents(docs, width, keep).where("component_id is not null and doc_id <> component_id")
-            .select(F.col("doc_id").alias(ident)).distinct())
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col(ident), "left_anti")
+    gone = cut_lineage(similar_documents(docs, width, keep).where("component_id is not null and doc_id <> component_id")
+                       .select(F.col("doc_id").alias(ident)).distinct())
+    key = F.col("doc_id").cast("long")
+    return settle(docs, key, gone, F.col(ident), lambda rows: rows.join(gone, key == F.col(ident), "left_anti"))

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kinetra.llm.common import require
+from kinetra.llm.common import give_back, require
 
 #: Words whose ids a task remembers, and the longest text that is remembered or given to the fast encoder.
 REMEMBERED, LONG_WORD = 200_000, 400
@@ -100,6 +100,9 @@ def _pieces(tokenizer: str, ranks: str | None, limit: int, end: int):
                     rows, held = [], 0
         if rows:
             yield out()
+        rows.clear()
+        enc.clear()
+        give_back()
     return cut
 
 
