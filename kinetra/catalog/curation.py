@@ -606,7 +606,7 @@ def _(spark, sf):
 
 
 @query("smp10_balanced_sequences", f"""WITH $FILES, g AS (SELECT swing_id AS id, CAST(swing_id % 3 = 0 AS INT) AS label FROM files GROUP BY 1), r AS (SELECT *, {_rank('label')} AS r FROM g),
-k AS (SELECT * FROM r WHERE r < (SELECT least(min(c), 20000) FROM (SELECT count(*) c FROM g GROUP BY label))),
+k AS (SELECT * FROM r WHERE r < (SELECT min(c) FROM (SELECT count(*) c FROM g GROUP BY label))),
 w AS (SELECT k.label, k.r, f.frame, f.stem, count(*) OVER (PARTITION BY f.swing_id ORDER BY f.frame ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS c FROM files f JOIN k ON k.id = f.swing_id),
 s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY r, frame) AS q FROM w WHERE c = 5)
 SELECT label, stem AS first_file FROM s WHERE q <= (SELECT min(c) FROM (SELECT count(*) c FROM s GROUP BY label))""")

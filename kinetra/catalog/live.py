@@ -80,17 +80,33 @@ def _(spark, sf):
     return out.groupBy("group", "cluster").agg(F.count(F.lit(1)).alias("boxes"), r6(F.min("x1")).alias("x1"), r6(F.max("x2")).alias("x2"))
 
 
-@query("snk2_records", """WITH $FRAMES SELECT swing_id, CAST(0 AS INT) AS part, '[' || string_agg('{"frame":' || frame || ',"event_id":' || event_id || '}', ',' ORDER BY frame) || ']' AS text FROM frames GROUP BY 1""")
+@query("snk2_records", """WITH $FRAMES SELECT swing_id, '[' || string_agg('{"frame":' || frame || ',"event_id":' || event_id || '}', ',' ORDER BY frame) || ']' AS text FROM frames GROUP BY 1""")
 def _(spark, sf):
     return writers.oriented(fx.frames(spark, sf), ["swing_id"], "frame", ["frame", "event_id"], "records")
 
 
-@query("snk2_columns", """WITH $FRAMES, c AS (SELECT swing_id, 0 AS part, '{"n":{' || string_agg('"' || frame || '":' || n, ',' ORDER BY frame) || '}' AS text FROM frames GROUP BY 1
- UNION ALL SELECT swing_id, 1, ',"event_id":{' || string_agg('"' || frame || '":' || event_id, ',' ORDER BY frame) || '}}' FROM frames GROUP BY 1) SELECT * FROM c""")
+@query("snk2_columns", """WITH $FRAMES SELECT swing_id, '{"n":{' || string_agg('"' || frame || '":' || n, ',' ORDER BY frame) || '},"event_id":{'
+ || string_agg('"' || frame || '":' || event_id, ',' ORDER BY frame) || '}}' AS text FROM frames GROUP BY 1""")
 def _(spark, sf):
     return writers.oriented(fx.frames(spark, sf), ["swing_id"], "frame", ["n", "event_id"], "columns")
 
 
-@query("snk2_split", """WITH $FRAMES SELECT swing_id, CAST(0 AS INT) AS part, '{"columns":["frame","event_type"],"data":[' || string_agg('[' || frame || ',"' || event_type || '"]', ',' ORDER BY frame) || ']}' AS text FROM frames GROUP BY 1""")
+@query("snk2_split", """WITH $FRAMES SELECT swing_id, '{"columns":["frame","event_type"],"data":[' || string_agg('[' || frame || ',"' || event_type || '"]', ',' ORDER BY frame) || ']}' AS text FROM frames GROUP BY 1""")
 def _(spark, sf):
     return writers.oriented(fx.frames(spark, sf), ["swing_id"], "frame", ["frame", "event_type"], "split")
+
+
+@query("snk2_index", """WITH $FRAMES SELECT swing_id, '{' || string_agg('"' || frame || '":{"n":' || n || ',"event_id":' || event_id || '}', ',' ORDER BY frame) || '}' AS text FROM frames GROUP BY 1""")
+def _(spark, sf):
+    return writers.oriented(fx.frames(spark, sf), ["swing_id"], "frame", ["n", "event_id"], "index")
+
+
+@query("snk2_values", """WITH $FRAMES SELECT swing_id, '[' || string_agg('[' || n || ',"' || event_type || '"]', ',' ORDER BY frame) || ']' AS text FROM frames GROUP BY 1""")
+def _(spark, sf):
+    return writers.oriented(fx.frames(spark, sf), ["swing_id"], "frame", ["n", "event_type"], "values")
+
+
+@query("snk2_table", """WITH $FRAMES SELECT swing_id, '{"schema":{"fields":[{"name":"n","type":"integer"},{"name":"event_type","type":"string"}]},"data":['
+ || string_agg('{"n":' || n || ',"event_type":"' || event_type || '"}', ',' ORDER BY frame) || ']}' AS text FROM frames GROUP BY 1""")
+def _(spark, sf):
+    return writers.oriented(fx.frames(spark, sf), ["swing_id"], "frame", ["n", "event_type"], "table")

@@ -60,9 +60,10 @@ def _(spark, sf):
     return out(clean.zero_low_confidence(fx.pose(spark, sf), 0.45), "swing_id frame joint_idx", "x conf")
 
 
-@query("prj9_normalise_to_image", "WITH $CLEAN SELECT swing_id, frame, joint_idx, r6(x / 1920) AS x, r6(y / 1080) AS y FROM clean")
+@query("prj9_normalise_to_image", "WITH $CLEAN SELECT swing_id, frame, joint_idx, x / 1920 AS x, y / 1080 AS y FROM clean")
 def _(spark, sf):
-    return out(clean.normalise_to_image(masked(spark, sf)), "swing_id frame joint_idx", "x y")
+    # Plain quotients: both engines divide alike, but round halves differently.
+    return clean.normalise_to_image(masked(spark, sf)).select("swing_id", "frame", "joint_idx", "x", "y")
 
 
 @query("prj10_centre_on_joint", """WITH $POSE,
@@ -98,14 +99,23 @@ def _(spark, sf):
     return clean.min_length(fx.frames(spark, sf), 60, True, fx.sequence(spark, sf)).select("swing_id", "frame")
 
 
-@query("prj18_reject_all_zero", """WITH $POSE, z AS (SELECT * FROM pose WHERE joint_idx = 3),
-k AS (SELECT swing_id, frame FROM z GROUP BY 1, 2 HAVING bool_and(x = 0 AND y = 0))
-SELECT swing_id, frame, true AS rejected FROM k
-UNION ALL SELECT swing_id, frame, false FROM z WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.swing_id = z.swing_id AND k.frame = z.frame)""")
+@query("prj17_min_length_with_gaps", """WITH $FRAMES, g AS (SELECT swing_id, frame FROM frames WHERE frame % 3 <> 1), k AS (SELECT swing_id FROM g GROUP BY 1 HAVING count(*) >= 45)
+SELECT swing_id, frame FROM g WHERE swing_id IN (SELECT swing_id FROM k)""")
 def _(spark, sf):
-    df = fx.pose(spark, sf).filter("joint_idx = 3")
-    kept, gone = clean.reject_all_zero(df, Sequence(("swing_id", "frame"), "joint_idx", longest=17))
-    return gone.withColumn("rejected", F.lit(True)).unionByName(kept.select("swing_id", "frame", F.lit(False).alias("rejected")))
+    return clean.min_length(fx.frames(spark, sf).filter("frame % 3 <> 1"), 45, False, fx.sequence(spark, sf)).select("swing_id", "frame")
+
+
+@query("prj18_reject_all_zero", """WITH $POSE, z AS (SELECT swing_id, frame, joint_idx, CASE WHEN swing_id % 5 = 0 THEN 0 ELSE x END AS x, CASE WHEN swing_id % 5 = 0 THEN 0 ELSE y END AS y FROM pose),
+k AS (SELECT swing_id FROM z GROUP BY 1 HAVING bool_and(x = 0 AND y = 0))
+SELECT swing_id, count(*) AS n, swing_id IN (SELECT swing_id FROM k) AS rejected FROM z GROUP BY 1""")
+def _(spark, sf):
+    blank = F.col("swing_id") % 5 == 0
+    df = fx.pose(spark, sf).withColumns({c: F.when(blank, F.lit(0.0)).otherwise(F.col(c)) for c in ("x", "y")})
+    kept, gone = clean.reject_all_zero(df, fx.sequence(spark, sf))
+    sizes = df.groupBy("swing_id").agg(F.count(F.lit(1)).alias("n"))
+    left = kept.groupBy("swing_id").agg(F.count(F.lit(1)).alias("n"))
+    return (gone.join(sizes, "swing_id").select("swing_id", "n", F.lit(True).alias("rejected"))
+            .unionByName(left.select("swing_id", "n", F.lit(False).alias("rejected"))))
 
 
 @query("prj22_unit_scale", """SELECT l_orderkey, l_linenumber, l_partkey, r6(l_quantity * CASE l_suppkey % 4 WHEN 1 THEN 0.01 WHEN 2 THEN 0.001 ELSE 1 END) AS metres
@@ -199,13 +209,20 @@ def _(spark, sf):
     return out(w, "swing_id frame", "Neck_x MidHip_y")
 
 
+def weighted(frames):
+    """Sum over all frames and joints of value * frame * joint, both counted from 1: any cell out of place shows."""
+    return F.aggregate(F.transform(frames, lambda f, t: F.aggregate(
+        F.transform(f, lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, v: a + v) * (t + 1)), F.lit(0.0), lambda a, v: a + v)
+
+
 @query("rsh7_assemble_tensor", """WITH $POSE SELECT swing_id, CAST(max(frame) + 1 AS BIGINT) AS total_frames, 17 AS joints,
- r6(sum(CASE WHEN joint_idx = 4 AND frame = 7 THEN x END)) AS probe FROM pose GROUP BY 1""")
+ r6(sum(CAST(x AS FLOAT)::DOUBLE * (frame + 1) * (joint_idx + 1)) / 1000000) AS xs, r6(sum(CAST(conf AS FLOAT)::DOUBLE * (frame + 1) * (joint_idx + 1)) / 1000000) AS scores FROM pose GROUP BY 1""")
 def _(spark, sf):
     t = reshape.assemble_tensor(fx.pose(spark, sf), ["swing_id"])
     return t.select("swing_id", F.col("total_frames").cast("long").alias("total_frames"),
                     F.size(F.col("keypoint")[0][0]).alias("joints"),
-                    r6(F.col("keypoint")[0][7][4][0].cast("double")).alias("probe"))
+                    r6(weighted(F.transform(F.col("keypoint")[0], lambda f: F.transform(f, lambda j: j[0].cast("double")))) / 1000000).alias("xs"),
+                    r6(weighted(F.transform(F.col("keypoint_score")[0], lambda f: F.transform(f, lambda c: c.cast("double")))) / 1000000).alias("scores"))
 
 
 @query("rsh8_frame_map", """WITH $WIDE SELECT swing_id, '{' || string_agg('"' || frame || '":{"seen":' || CASE WHEN Nose_X IS NULL THEN 'null' ELSE 'true' END || '}', ',' ORDER BY frame) || '}' AS document

@@ -529,7 +529,7 @@ def _(spark, sf):
         at("metrics.com_speed.summary.unit").alias("unit"))
 
 
-@query("snk7_frame_documents", """WITH $CLEAN""" + _COM3 + """ SELECT swing_id, 0 AS part, 'com' AS metric, '{' || string_agg('"' || frame || '":{"known":' || CASE WHEN cx IS NULL THEN 'null' ELSE 'true' END || '}', ',' ORDER BY frame) || '}' AS document FROM c GROUP BY 1""")
+@query("snk7_frame_documents", """WITH $CLEAN""" + _COM3 + """ SELECT swing_id, 'com' AS metric, '{' || string_agg('"' || frame || '":{"known":' || CASE WHEN cx IS NULL THEN 'null' ELSE 'true' END || '}', ',' ORDER BY frame) || '}' AS document FROM c GROUP BY 1""")
 def _(spark, sf):
     r = M.com_speed(masked(spark, sf), P3, fx.sequence(spark, sf))
     known = r.frames.select("swing_id", "frame", F.when(F.col("com_x").isNotNull(), True).alias("known"))

@@ -87,10 +87,10 @@ def primary_person(df: DataFrame) -> DataFrame:
 
 
 def min_length(df: DataFrame, frames: int = 50, inclusive_drop: bool = True, seq: Sequence = SWING) -> DataFrame:
-    """Drop whole sequences of at most (or fewer than) `frames` frames."""
-    out = seq.attach(seq.lay_out(df), {"_top": F.max(seq.order)})
-    keep = F.col("_top") + 1 > frames if inclusive_drop else F.col("_top") + 1 >= frames
-    return seq.done(out.filter(keep).drop("_top"))
+    """Drop whole sequences that have rows at no more (or fewer) than `frames` frames."""
+    n = df.select(*seq.keys, seq.order).distinct().groupBy(*seq.keys).agg(F.count(F.lit(1)).alias("_n"))
+    long_ = n.filter(F.col("_n") > frames if inclusive_drop else F.col("_n") >= frames)
+    return df.join(long_.select(*seq.keys), list(seq.keys), "left_semi")
 
 
 def reject_all_zero(df: DataFrame, seq: Sequence = SWING) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from kinetra.operators.sequence import Sequence
 def clip_statistics(pose: DataFrame, keys: tuple[str, ...] = ("swing_id",), by: tuple[str, ...] = ("split", "label")) -> DataFrame:
     """Per clip statistics, then their mean per group (frames with the sample deviation)."""
     clip = pose.groupBy(*keys, *by).agg(
-        (F.max("frame") + 1).alias("frames"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"),
+        F.count_distinct("frame").alias("frames"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"),
         F.stddev_pop("y").alias("sy"), F.avg("conf").alias("mc"), F.stddev_pop("conf").alias("sc"))
     return clip.groupBy(*by).agg(
         F.avg("frames").alias("frames_mean"), F.stddev_samp("frames").alias("frames_std"), F.avg("mx").alias("mean_x"),

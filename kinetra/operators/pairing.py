@@ -67,16 +67,15 @@ def match_depth_frames(frames: DataFrame, maps: DataFrame) -> DataFrame:
     frames(swing_id, frame); maps(swing_id, name, position) with `position` the sorted place.
     """
     stems = maps.withColumn("stem", stem(F.col("name")))
-    exact = stems.filter(F.col("stem").rlike(r"^\d{6}$")).select(
-        "swing_id", F.col("stem").try_cast("int").alias("frame"), F.col("name").alias("exact"))
-    out = frames.join(exact, ["swing_id", "frame"], "left")
+    exact = stems.filter(F.col("stem").rlike(r"^(\d{6}|[1-9]\d{6,})$")).select("swing_id", F.col("stem").alias("_padded"), F.col("name").alias("exact"))
+    out = frames.withColumns({"_padded": F.format_string("%06d", "frame"), "_s": F.col("frame").cast("string")})
+    out = out.join(exact, ["swing_id", "_padded"], "left").drop("_padded")
     # Numbers a name contains, as join keys: every digit substring without a leading zero.
     digits = F.sequence(F.lit(1), F.greatest(F.length("stem"), F.lit(1)))
     subs = F.flatten(F.transform(digits, lambda i: F.transform(digits, lambda n: F.substring("stem", i, n))))
-    nums = F.array_distinct(F.filter(subs, lambda s: s.rlike(r"^(0|[1-9]\d{0,8})$")))
-    inside = stems.select("swing_id", "name", F.explode(nums).alias("_s")).groupBy(
-        "swing_id", F.col("_s").try_cast("int").alias("frame")).agg(F.min("name").alias("inside"))
-    out = out.join(inside, ["swing_id", "frame"], "left")
+    nums = F.array_distinct(F.filter(subs, lambda s: s.rlike(r"^(0|[1-9]\d*)$")))
+    inside = stems.select("swing_id", "name", F.explode(nums).alias("_s")).groupBy("swing_id", "_s").agg(F.min("name").alias("inside"))
+    out = out.join(inside, ["swing_id", "_s"], "left").drop("_s")
     place = maps.select("swing_id", F.col("position").alias("frame"), F.col("name").alias("place"))
     out = out.join(place, ["swing_id", "frame"], "left")
     name = F.coalesce("exact", "inside", "place")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinetra.operators.sequence import BLK, CORE, Sequence
@@ -117,31 +120,27 @@ def flat_numbers(cells: Column) -> Column:
     return F.when((n > 0) & (n % 3 == 0), chunks(3)).when((n > 0) & (n % 2 == 0), chunks(2)).otherwise(zero)
 
 
-def assemble_tensor(df: DataFrame, keys: list[str], frames_per_row: int = 4096) -> DataFrame:
-    """Pose rows to keypoint[1][T][V][2] and keypoint_score[1][T][V] per sample.
+def _whole(rows: DataFrame, keys: list[str], frame: str, entry: Column, block: int) -> DataFrame:
+    """keys and `_e`, the entries of all frames in order; blocks of frames are sorted first and then joined up."""
+    blocks = rows.groupBy(*keys, F.floor(F.col(frame) / block).alias("_b")).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+    return blocks.groupBy(*keys).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_e"))), lambda p: p["_e"])).alias("_e"))
 
-    A recording longer than `frames_per_row` gives several rows, numbered by `part`.
-    """
-    part = F.floor(F.col("frame") / frames_per_row).cast("int").alias("part")
-    frame = df.groupBy(*keys, part, "frame").agg(
-        F.sort_array(F.collect_list(F.struct("joint_idx", "x", "y", F.coalesce("conf", F.lit(1.0)).alias("conf")))).alias("_j"))
-    out = frame.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(F.struct("frame", "_j"))).alias("_f"))
-    xy = F.transform("_f", lambda f: F.transform(f["_j"], lambda j: F.array(j["x"].cast("float"), j["y"].cast("float"))))
-    sc = F.transform("_f", lambda f: F.transform(f["_j"], lambda j: j["conf"].cast("float")))
-    return out.select(*keys, "part", F.array(xy).alias("keypoint"), F.array(sc).alias("keypoint_score"),
-                      F.size("_f").alias("total_frames"))
 
+def assemble_tensor(df: DataFrame, keys: list[str], block: int = 4096) -> DataFrame:
+    """Pose rows to keypoint[1][T][V][2] and keypoint_score[1][T][V], one row per sample of any length."""
+    frame = df.groupBy(*keys, "frame").agg(
+        F.sort_array(F.collect_list(F.struct("joint_idx", "x", "y", F.coalesce("conf", F.lit(1.0)).alias("conf")))).alias("_j"))
+    out = _whole(frame, keys, "frame", F.struct("frame", "_j"), block)
+    xy = F.transform("_e", lambda f: F.transform(f["_j"], lambda j: F.array(j["x"].cast("float"), j["y"].cast("float"))))
+    sc = F.transform("_e", lambda f: F.transform(f["_j"], lambda j: j["conf"].cast("float")))
+    return out.select(*keys, F.array(xy).alias("keypoint"), F.array(sc).alias("keypoint_score"), F.size("_e").alias("total_frames"))
 
-def frame_map(df: DataFrame, keys: list[str], cols: list[str], frame: str = "frame", frames_per_row: int = 4096) -> DataFrame:
-    """Rows to {"<frame>": {col: value or null}} as JSON text, in frame order.
 
-    A sequence longer than `frames_per_row` gives several maps, numbered by `part`.
-    """
-    part = F.floor(F.col(frame) / frames_per_row).cast("int").alias("part")
+def frame_map(df: DataFrame, keys: list[str], cols: list[str], frame: str = "frame", block: int = 4096) -> DataFrame:
+    """Rows to one {"<frame>": {col: value or null}} per sequence as JSON text, in frame order."""
     entry = F.struct(F.col(frame).alias("_o"), F.col(frame).cast("string").alias("key"), F.struct(*cols).alias("value"))
-    rows = df.groupBy(*keys, part).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
     m = F.map_from_entries(F.transform("_e", lambda e: F.struct(e["key"], e["value"])))
-    return rows.select(*keys, "part", F.to_json(m, {"ignoreNullFields": "false"}).alias("document"))
+    return _whole(df, keys, frame, entry, block).select(*keys, F.to_json(m, {"ignoreNullFields": "false"}).alias("document"))
 
 
 def pick_timeseries(doc: Column) -> Column:
@@ -172,49 +171,36 @@ def person_points(annotations: Column, strict: bool = False) -> Column:
     return F.when((n > 0) & numeric & (n % 3 == 0), triples).when(is_pairs & (F.size(pairs) > 0), from_pairs)
 
 
+# How axis columns may end.
+_AXIS_NAME = re.compile(r"(?P<joint>.+?)(?:_(?P<deep>[XYZ])3D|__(?P<double>[xyz])|_(?P<upper>[XYZ])|_(?P<lower>[xyz]))")
+_FAMILY_OF = {"deep": "_X3D", "double": "__x", "upper": "_X", "lower": "_x"}
+
+
 def resolve_axes(columns: list[str], prefer_2d: bool = False) -> dict[str, dict[str, str]]:
-    """Which columns hold x, y, z of each joint, read from name suffixes by priority.
+    """Which columns hold x, y, z of each joint.
 
-    A longer suffix of the same letter wins over its tail, so `Nose__x` is joint Nose.
+    Every name is read once into joint, family and axis; a joint takes its best family that has x and y. The longest
+    ending counts, so `Nose__x` is joint Nose.
     """
-    # Accepted suffixes per axis, first match wins.
-    three = [("_X3D", "_Y3D", "_Z3D"), ("__x", "__y", "__z"), ("_X", "_Y", "_Z"), ("_x", "_y", "_z")]
-    two = [("__x", "__y", "__z"), ("_x", "_y", "_z"), ("_X", "_Y", "_Z"), ("_X3D", "_Y3D", "_Z3D")]
-    found: dict[str, dict[str, str]] = {}
-    have = set(columns)
-    for col in columns:
-        if col.lower() in ("frame", "time", "timestamp"):
-            continue
-        for sx, sy, sz in two if prefer_2d else three:
-            if not col.endswith(sx):
-                continue
-            joint = col[: -len(sx)]
-            if joint + sy in have:
-                axes = found.setdefault(joint, {})
-                axes["x"], axes["y"] = joint + sx, joint + sy
-                if joint + sz in have:
-                    axes["z"] = joint + sz
-                break
-    return found
+    best = ["__x", "_x", "_X", "_X3D"] if prefer_2d else ["_X3D", "__x", "_X", "_x"]
+    read: dict[str, dict[str, dict[str, str]]] = defaultdict(lambda: defaultdict(dict))
+    for name in columns:
+        if m := _AXIS_NAME.fullmatch(name):
+            kind = m.lastgroup
+            read[m["joint"]][_FAMILY_OF[kind]][m[kind].lower()] = name
+    whole = {joint: [f for f in best if {"x", "y"} <= families.get(f, {}).keys()] for joint, families in read.items()}
+    return {joint: dict(sorted(read[joint][usable[0]].items())) for joint, usable in whole.items() if usable}
 
 
-# Joint names by lower-case base name.
+# Joint names by lower-case base name, and what measured quantities are called.
 CANONICAL = {n.lower(): n for n in [*KP17, "Neck", "Chest", "MidHip"]}
+QUANTITIES = {"x": "x", "y": "y", "c": "c", "conf": "c", "score": "c"}
 
 
 def canonical_names(columns: list[str]) -> dict[str, str]:
     """Old to new name of joint columns; other columns are left out."""
-    # Accepted endings and what they become.
-    endings = [("_conf", "_c"), ("_score", "_c"), ("_c", "_c"), ("_x", "_x"), ("_y", "_y")]
-    out = {}
-    for col in columns:
-        low = col.lower()
-        for end, new in endings:
-            if low.endswith(end):
-                base = low[: -len(end)]
-                out[col] = CANONICAL.get(base, base.capitalize()) + new
-                break
-    return out
+    split = {name: name.lower().rpartition("_") for name in columns}
+    return {name: f"{CANONICAL.get(base, base.capitalize())}_{QUANTITIES[q]}" for name, (base, bar, q) in split.items() if bar and q in QUANTITIES}
 
 
 def sanitise(df: DataFrame, keep: list[str] = ()) -> DataFrame:

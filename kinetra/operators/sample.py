@@ -152,10 +152,13 @@ def resplit(df: DataFrame, ratio: float, label: str = "label", order: Order | No
     return stratified_holdout(df.drop("split"), ratio, label, order, ("xsub_train", "xsub_val"))
 
 
-def balanced_groups(groups: DataFrame, label: str = "label", limit: int = 20000, order: Order | None = None) -> DataFrame:
-    """Equally many groups (swings) of each label, at most `limit`; keeps the rank as `group_rank`."""
+def balanced_groups(groups: DataFrame, label: str = "label", limit: int | None = None, order: Order | None = None) -> DataFrame:
+    """Equally many groups (swings) of each label; keeps the rank as `group_rank`.
+
+    `limit` bounds them where a classifier is fitted on a bounded sample.
+    """
     sizes = groups.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    least = sizes.agg(F.least(F.min("_c"), F.lit(limit))).scalar()
+    least = sizes.agg(F.min("_c") if limit is None else F.least(F.min("_c"), F.lit(limit))).scalar()
     out = ranked(groups, [label], order or Order.hashed())
     return out.filter(F.col("_rank") < least).withColumnRenamed("_rank", "group_rank").drop("_n")
 

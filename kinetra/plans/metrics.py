@@ -349,7 +349,7 @@ def summary_document(results: dict[str, MetricResult], keys: list[str], dimensio
 
 
 def frame_documents(results: dict[str, MetricResult], keys: list[str]) -> DataFrame:
-    """Per swing and metric the frame map {"<frame>": {column: value or null}}, in numbered parts."""
+    """Per swing and metric one frame map {"<frame>": {column: value or null}}."""
     out = None
     for name, r in results.items():
         cols = [c for c in r.frames.columns if c not in (*keys, "frame")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -24,7 +25,7 @@ def label_json(spark: SparkSession, root: str, marker: str = "[라벨]") -> Data
     return df.withColumn("path", _path()).filter(F.col("path").contains(marker))
 
 
-def pose_json(spark: SparkSession, root: str, first_person: bool = False) -> DataFrame:
+def pose_json(spark: SparkSession, root: str, first_person: bool = False, prefix: int = 9) -> DataFrame:
     """Pose rows of frame files; a folder is a swing and its files in name order are the frames.
 
     Files without people give no rows but keep their frame number.
@@ -35,8 +36,8 @@ def pose_json(spark: SparkSession, root: str, first_person: bool = False) -> Dat
           .option("pathGlobFilter", "*.json").json(root))
     parts = F.split(_path(), "/")
     df = df.select("people", F.element_at(parts, -2).alias("swing_id"), F.element_at(parts, -1).alias("file"))
-    # All but the last three digits of a name slice a long recording.
-    slice_ = F.regexp_replace("file", r"\d{1,3}\D*$", "")
+    # A prefix of one length rises with the names, padded or not, and slices a long recording.
+    slice_ = F.substring("file", 1, prefix)
     names = number_rows(df, ["swing_id"], [F.col("file")], slice_, "frame").withColumn("frame", F.col("frame").cast("int"))
     rows = reshape.people_to_rows(names, ["swing_id", "frame"])
     return rows.filter("person_idx = 0") if first_person else rows
@@ -156,18 +157,23 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
                      F.coalesce("pred_scores", "pred_score").alias("scores"))
 
 
+# Names that stand for both training and validation.
+BOTH_SPLITS = ("trainval", "train_and_val", "both")
+
+
 def split_names(split: str) -> list[str]:
-    """Names in 'a,b' or 'a+b'; trainval stands for train and val."""
-    names = [p.strip() for p in split.replace("+", ",").split(",") if p.strip()]
-    return [n for p in names for n in (["train", "val"] if p == "trainval" else [p])]
+    """The splits that 'a,b' or 'a+b' names, in order."""
+    out: dict[str, None] = {}
+    for name in re.findall(r"[^,+\s]+", split):
+        out |= dict.fromkeys(("train", "val") if name.lower() in BOTH_SPLITS else (name,))
+    return list(out)
 
 
 def annotation_set(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """Annotation rows of the named splits (partitions pruned); an unknown split reads everything."""
+    """Annotation rows of the named splits, also as xsub_<name> (partitions pruned); unknown splits read everything."""
     df = spark.read.parquet(path)
     if not split:
         return df
-    wanted = split_names(split)
-    known = {r[0] for r in df.select("split").distinct().collect()}
-    picked = [n for n in wanted if n in known]
-    return df.filter(F.col("split").isin(picked)) if picked else df
+    picked = df.filter(F.col("split").isin([f"{p}{n}" for n in split_names(split) for p in ("", "xsub_")]))
+    # Only the folders of those splits are looked into.
+    return df if picked.isEmpty() else picked

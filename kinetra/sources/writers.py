@@ -20,10 +20,9 @@ def records_json(df: DataFrame, path: str) -> None:
 
 
 def oriented(df: DataFrame, keys: list[str], order: str, cols: list[str], orient: str = "records", block: int = 4096) -> DataFrame:
-    """JSON text of each table in a pandas orientation, as (keys, part, text).
+    """JSON text of each table in a pandas orientation, as (keys, text): one valid document per key.
 
-    The parts of a key in order form one document; a part holds at most `block` rows, so a table of
-    any length is written by many tasks. `order` is the dense row number of a table.
+    Texts of `block` rows each are made by many tasks and then joined up. `order` is the dense row number of a table.
     """
     if orient not in ORIENTS:
         raise ValueError(f"unsupported orient: {orient}")
@@ -58,29 +57,26 @@ def _table_type(t: str) -> str:
         "boolean" if t == "boolean" else "string"
 
 
+def _joined(name: str) -> Column:
+    """Texts of the collected (_o, name) entries in order, separated by commas."""
+    return F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("_o", name))), lambda r: r[name]))
+
+
 def _parts(entries: DataFrame, keys: list[str], head: str, tail: str, block: int) -> DataFrame:
-    rows = entries.groupBy(*keys, F.floor(F.col("_o") / block).cast("int").alias("part")).agg(
-        F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("_o", "_e"))), lambda r: r["_e"])).alias("_t"))
-    ends = rows.groupBy(*keys).agg(F.max("part").alias("_last"))
-    out = rows.join(ends, keys)
-    text = F.concat(F.when(F.col("part") == 0, F.lit(head)).otherwise(F.lit(",")), F.col("_t"),
-                    F.when(F.col("part") == F.col("_last"), F.lit(tail)).otherwise(F.lit("")))
-    return out.select(*keys, "part", text.alias("text"))
+    blocks = entries.groupBy(*keys, F.floor(F.col("_o") / block).alias("_b")).agg(_joined("_e").alias("_t")).withColumnRenamed("_b", "_o")
+    return blocks.groupBy(*keys).agg(F.concat(F.lit(head), _joined("_t"), F.lit(tail)).alias("text"))
 
 
 def _columns(df: DataFrame, keys: list[str], order: str, cols: list[str], block: int) -> DataFrame:
-    """{"col": {"row": value}}: the parts run through the columns, and through the blocks of each."""
+    """{"col": {"row": value}}: blocks of rows of a column, then columns, then the document."""
     tall = df.select(*keys, F.col(order).alias("_o"), F.inline(F.array(*[
         F.struct(F.lit(i).alias("_c"), F.lit(c).alias("_name"), _scalar(F.col(c)).alias("_v")) for i, c in enumerate(cols)])))
     entry = F.concat(F.lit('"'), F.col("_o").cast("string"), F.lit('":'), F.col("_v"))
-    rows = tall.withColumn("_e", entry).groupBy(*keys, "_c", "_name", F.floor(F.col("_o") / block).cast("int").alias("_b")).agg(
-        F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("_o", "_e"))), lambda r: r["_e"])).alias("_t"))
-    ends = rows.groupBy(*keys).agg(F.max("_b").alias("_last"))
-    out = rows.join(ends, keys)
-    first, last = F.col("_b") == 0, F.col("_b") == F.col("_last")
-    head = F.when(first, F.concat(F.when(F.col("_c") == 0, F.lit("{")).otherwise(F.lit(",")), F.lit('"'), F.col("_name"), F.lit('":{'))).otherwise(F.lit(","))
-    tail = F.when(last, F.when(F.col("_c") == len(cols) - 1, F.lit("}}")).otherwise(F.lit("}"))).otherwise(F.lit(""))
-    return out.select(*keys, (F.col("_c") * (F.col("_last") + 1) + F.col("_b")).alias("part"), F.concat(head, "_t", tail).alias("text"))
+    blocks = (tall.withColumn("_e", entry).groupBy(*keys, "_c", "_name", F.floor(F.col("_o") / block).alias("_b"))
+              .agg(_joined("_e").alias("_t")).withColumnRenamed("_b", "_o"))
+    columns = blocks.groupBy(*keys, "_c", "_name").agg(_joined("_t").alias("_t"))
+    columns = columns.select(*keys, F.col("_c").alias("_o"), F.concat(F.lit('"'), "_name", F.lit('":{'), "_t", F.lit("}")).alias("_t"))
+    return columns.groupBy(*keys).agg(F.concat(F.lit("{"), _joined("_t"), F.lit("}")).alias("text"))
 
 
 def with_source(df: DataFrame, source: Column) -> DataFrame:

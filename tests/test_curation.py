@@ -222,11 +222,12 @@ def test_flat_numbers(spark):
 
 
 @pytest.mark.parametrize("orient", writers.ORIENTS)
-def test_json_orients_in_parts(spark, orient):
+def test_json_orients_over_blocks(spark, orient):
     rows = [("a", i, i * 0.5 if i % 3 else None, f"t{i}\"") for i in range(7)] + [("b", 0, 1.0, "u")]
     df = spark.createDataFrame(rows, "k string, i int, v double, s string")
-    parts = writers.oriented(df, ["k"], "i", ["v", "s"], orient, block=3).orderBy("k", "part").collect()
-    doc = json.loads("".join(p.text for p in parts if p.k == "a"))
+    texts = {r.k: r.text for r in writers.oriented(df, ["k"], "i", ["v", "s"], orient, block=3).collect()}
+    assert len(texts) == 2 and json.loads(texts["b"])
+    doc = json.loads(texts["a"])
     want = [{"v": v, "s": s} for k, _, v, s in rows if k == "a"]
     if orient == "records":
         assert doc == want
@@ -247,3 +248,21 @@ def test_natural_order(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string")
     got = [r.n for r in df.orderBy(sets.natural_key(F.col("n")), "n").collect()]
     assert got == ["a009", "a9", "a9b", "a10", "b2"]
+
+
+def test_recordings_of_any_length_give_one_row(spark):
+    rows = [(s, f, j, float(f), 1.0, 0.5) for s, n in (("long", 4100), ("short", 2)) for f in range(n) for j in range(2)]
+    df = spark.createDataFrame(rows, "swing_id string, frame int, joint_idx int, x double, y double, conf double")
+    got = {r.swing_id: r for r in reshape.assemble_tensor(df, ["swing_id"], block=1000).collect()}
+    assert got["long"].total_frames == 4100 and got["short"].total_frames == 2
+    assert [f[1][0] for f in got["long"].keypoint[0]] == [float(i) for i in range(4100)]
+    docs = {r.swing_id: json.loads(r.document) for r in reshape.frame_map(df.filter("joint_idx = 0"), ["swing_id"], ["x"], block=1000).collect()}
+    assert list(docs["long"]) == [str(i) for i in range(4100)] and docs["long"]["4099"] == {"x": 4099.0}
+
+
+def test_depth_names_of_any_number_of_digits(spark):
+    frames = spark.createDataFrame([("s", 1000000), ("s", 7), ("s", 12345678901)], "swing_id string, frame long")
+    maps = spark.createDataFrame([("s", "1000000.npy", 0), ("s", "0001000000x.npy", 1), ("s", "000007.npy", 2), ("s", "d12345678901.npy", 3), ("s", "0000007.npy", 4)],
+                                 "swing_id string, name string, position long")
+    got = {r.frame: (r.name, r.how) for r in P.match_depth_frames(frames, maps).collect()}
+    assert got == {1000000: ("1000000.npy", "exact"), 7: ("000007.npy", "exact"), 12345678901: ("d12345678901.npy", "contains")}

@@ -102,6 +102,7 @@ def test_sinks(spark, sf, tmp_path):
     assert readers.annotation_set(spark, f"{tmp_path}/ann", "train+nothing").count() == s.filter("split = 'train'").count()
     assert readers.annotation_set(spark, f"{tmp_path}/ann", "nothing").count() == s.count()
     assert readers.split_names("trainval,test") == ["train", "val", "test"]
+    assert readers.split_names("both") == readers.split_names("train + val") == readers.split_names("train_and_val") == ["train", "val"]
     writers.split_lists(s, f"{tmp_path}/ids", s.filter("id < 10"))
     assert spark.read.text(f"{tmp_path}/ids/split=train").count() == s.filter("split = 'train' and id >= 10").count()
     docs = fx.meta(spark, sf).withColumn("e", F.get_json_object("doc", "$.image.evaluation"))
