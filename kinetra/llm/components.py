@@ -17,15 +17,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     both = cut_lineage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
     while True:
-        near = (both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near")))
-        better = (labels.join(near, F.col("node") == F.col("a"), "left")
-                  .select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old")))
-        better = cut_lineage(better)
-        jump = better.select(F.col("node").alias("j_node"), F.col("label").alias("j_label"))
-        after = cut_lineage(better.join(jump, F.col("label") == F.col("j_node"), "left")
-                            .select("node", F.coalesce("j_label", "label").alias("label"), "old"))
-        labels = after.select("node", "label")
-        if after.where("label <> old").isEmpty():
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        better = cut_lineage(near.join(labels, F.col("a") == F.col("node"))
+                             .select("node", F.least("label", "near").alias("label"), F.col("label").alias("old")))
+        if better.where("label <> old").isEmpty():
             return labels.select("node", F.col("label").alias("component"))
+        jump = better.select(F.col("node").alias("j_node"), F.col("label").alias("j_label"))
+        labels = cut_lineage(better.join(jump, F.col("label") == F.col("j_node")).select("node", F.col("j_label").alias("label")))

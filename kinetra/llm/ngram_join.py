@@ -178,22 +178,23 @@ def _compared(pairs: DataFrame, sets: DataFrame, keep: tuple[int, int]) -> DataF
 
 
 def _by_difference(compared: DataFrame, groups: DataFrame, keep: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of different components that were compared to the same set and may link.
+    """Pairs (a, b) of different components that were compared to the same set, not both linked to it, and may link.
 
     Sets x and y that differ from a set l by dx and dy tokens differ by dx + dy less twice the tokens that their
     differences share. Linked to l are all that could link without sharing any, so the others must share some:
     rarest first, differences meet in an early place or are too far apart.
     """
-    rows = compared.select(F.col("a").alias("l"), F.col("b").alias("x"), "n", F.size("differs").cast("long").alias("d"), F.explode("differs").alias("token"))
+    rows = compared.select(F.col("a").alias("l"), F.col("b").alias("x"), "n", "linked", F.size("differs").cast("long").alias("d"), F.explode("differs").alias("token"))
     times = rows.groupBy("l", "token").agg(F.count("*").alias("times")).select(F.col("l").alias("t_l"), F.col("token").alias("t_token"), "times")
     rows = rows.join(times, (F.col("l") == F.col("t_l")) & (F.col("token") == F.col("t_token"))).drop("t_l", "t_token")
     rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("l", "x").orderBy("times", "token"))).where("times > 1")
     rows = rows.join(groups, F.col("x") == F.col("node"), "left").withColumn("component", F.coalesce("component", "x")).drop("node", "times")
-    side = lambda s: rows.select(*[F.col(c).alias(f"{s}_{c}") for c in ("l", "x", "n", "d", "token", "pos", "component")])
+    side = lambda s: rows.select(*[F.col(c).alias(f"{s}_{c}") for c in ("l", "x", "n", "d", "token", "pos", "component", "linked")])
     p, q = side("p"), side("q")
     shared = 1 + F.least(F.col("p_d") - F.col("p_pos"), F.col("q_d") - F.col("q_pos"))
     near = (F.col("p_d") + F.col("q_d") - 2 * shared) * (keep[1] + keep[0]) <= (F.col("p_n") + F.col("q_n")) * (keep[1] - keep[0])
-    return p.join(q, (F.col("p_l") == F.col("q_l")) & (F.col("p_token") == F.col("q_token")) & (F.col("p_component") < F.col("q_component")) & near) \
+    return p.join(q, (F.col("p_l") == F.col("q_l")) & (F.col("p_token") == F.col("q_token")) & (F.col("p_component") < F.col("q_component"))
+                  & ~(F.col("p_linked") & F.col("q_linked")) & near) \
         .select(F.col("p_x").alias("a"), F.col("q_x").alias("b"))
 
 
@@ -212,7 +213,7 @@ def similar_documents(docs: DataFrame, width: int = 3, keep: tuple[int, int] = (
 
     Sets that meet under the first order and pass the length and positional filters are candidates if they also meet
     under the two others; candidates are verified on whole sets. A crowded token is not expanded into all its pairs:
-    its sets are first compared to its most central one. Then pairs still in different components follow: those
+    its sets are first compared to its most central one. Then pairs that this doesn't connect follow: those
     compared to the same set with `crowd` followers or more by an index of what they differ from it in (those that
     share no difference would have linked to it), all others directly. So components are exact, and a group of near
     copies costs about one comparison a member and one for each pair that shares its own changes.
@@ -255,7 +256,9 @@ def similar_documents(docs: DataFrame, width: int = 3, keep: tuple[int, int] = (
     stars = compared(pairs).join(crowded, F.col("a") == F.col("c_a"), "left")
     stars = cut_lineage(stars.select("a", "b", "linked", "n", F.when(F.col("c_a").isNotNull(), F.col("differs")).alias("differs")))
     links = stars.where("linked").select("a", "b")
-    groups = cut_lineage(connected_components(links))
+    # Enough to leave out most pairs that are connected by now: a linked set goes by one leader's name, a leader by its own.
+    groups = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+    groups = cut_lineage(groups.join(links.select(F.col("a").alias("lead")).distinct(), F.col("node") == F.col("lead"), "left_anti"))
 
     # Sets compared to the same crowded one meet by what they differ in; all other pairs of a token directly.
     around = stars.where("differs is not null")
