@@ -158,8 +158,9 @@ def _profiles(rows: DataFrame, keep: tuple[int, int]) -> DataFrame:
 
 def _filtered(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """The pairs (part, a, b) whose prefixes meet under the other orders too."""
-    side = lambda x: profiles.select(F.col("part").alias(f"{x}_part"), F.col("cls").alias(f"{x}_cls"),
-                                     F.col("second").alias(f"{x}_second"), F.col("third").alias(f"{x}_third"))
+    side = lambda x: (roughly_in(profiles, F.col("cls"), pairs, F.col(x))
+                      .select(F.col("part").alias(f"{x}_part"), F.col("cls").alias(f"{x}_cls"),
+                              F.col("second").alias(f"{x}_second"), F.col("third").alias(f"{x}_third")))
     both = (pairs.join(side("a"), (F.col("part") == F.col("a_part")) & (F.col("a") == F.col("a_cls")))
             .join(side("b"), (F.col("part") == F.col("b_part")) & (F.col("b") == F.col("b_cls"))))
     return both.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third")).select("a", "b").distinct()
@@ -212,11 +213,11 @@ def similar_documents(docs: DataFrame, width: int = 3, keep: tuple[int, int] = (
     Tokens that one set alone has take up places of a prefix, but are never sent on.
 
     Sets that meet under the first order and pass the length and positional filters are candidates if they also meet
-    under the two others; candidates are verified on whole sets. A crowded token is not expanded into all its pairs:
-    its sets are first compared to its most central one. Then pairs that this doesn't connect follow: those
-    compared to the same set with `crowd` followers or more by an index of what they differ from it in (those that
-    share no difference would have linked to it), all others directly. So components are exact, and a group of near
-    copies costs about one comparison a member and one for each pair that shares its own changes.
+    under the two others; candidates are verified on whole sets. A token with more than `crowd` sets is not expanded
+    into all its pairs: its sets are first compared to its most central one. Then pairs that this doesn't connect
+    follow: those compared to the same set with `crowd` followers or more by an index of what they differ from it in
+    (those that share no difference would have linked to it), all others directly. So components are exact, and a group
+    of near copies costs about one comparison a member and one for each pair that shares its own changes.
 
     Null, empty and wordless texts: no shingles, component_id is their own doc_id. Null doc_ids are never the smallest.
     Repeated rows are in one class. Other columns are ignored. No rows in, no rows out.
@@ -229,11 +230,17 @@ def similar_documents(docs: DataFrame, width: int = 3, keep: tuple[int, int] = (
     profiles = cut_lineage(_profiles(rows.where("n > 0"), keep))
 
     meets = profiles.select("part", "cls", "n", F.inline("first"))
-    crowds = meets.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").select(F.col("token").alias("c_token"))
-    meets = cut_lineage(meets.join(crowds, F.col("token") == F.col("c_token")).drop("c_token"))
+    sizes = meets.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").select(F.col("token").alias("c_token"), "sets")
+    few = meets.join(sizes.where(F.col("sets") <= crowd), F.col("token") == F.col("c_token")).drop("c_token", "sets")
+    p, q = (few.select(*[F.col(c).alias(f"{x}_{c}") for c in ("part", "token", "n", "pos", "cls")]) for x in "pq")
+    few = cut_lineage(p.join(q, (F.col("p_token") == F.col("q_token")) & (F.col("p_cls") < F.col("q_cls"))
+                             & _may_link(F.col("p_n"), F.col("q_n"), F.col("p_pos"), F.col("q_pos"), keep))
+                      .select(F.col("p_part").alias("part"), F.col("p_cls").alias("a"), F.col("q_cls").alias("b")).distinct())
+    meets = cut_lineage(meets.join(sizes.where(F.col("sets") > crowd), F.col("token") == F.col("c_token")).drop("c_token", "sets"))
 
     lowest = F.lit(-2 ** 63).cast("long")
-    meeting = meets.select(F.col("cls").alias("w_cls")).distinct()
+    meeting = (meets.select(F.col("cls").alias("w_cls")).unionByName(few.select(F.col("a").alias("w_cls"))).unionByName(few.select(F.col("b").alias("w_cls")))
+               .distinct())
     stands = cut_lineage(light.join(meeting, F.col("cls") == F.col("w_cls")).groupBy("cls")
                          .agg(F.min(F.struct(F.coalesce("doc_id", lowest).alias("w_id"), F.col("mark").alias("w_mark"))).alias("w")).select("cls", "w.*"))
 
@@ -246,12 +253,13 @@ def similar_documents(docs: DataFrame, width: int = 3, keep: tuple[int, int] = (
         sets = cut_lineage(near.join(wanted, here, "left_semi").select("text").mapInArrow(_whole_sets(width), "cls long, tokens array<long>"))
         return _compared(pairs, sets, keep)
 
-    # Each token's most central set, the one with the fewest tokens that others lack, is compared to all others there.
+    # A token that few sets have gives all its pairs. A crowded one's most central set, the one with the fewest tokens that others lack, is compared to all others there.
     lead = (meets.groupBy("token").agg(F.min(F.struct("pos", "n", "cls")).alias("s"))
             .select(F.col("token").alias("l_token"), F.col("s.pos").alias("l_pos"), F.col("s.n").alias("l_n"), F.col("s.cls").alias("l_cls")))
     led = meets.join(lead, F.col("token") == F.col("l_token")).drop("l_token")
     led = led.withColumn("may", _may_link(F.col("n"), F.col("l_n"), F.col("pos"), F.col("l_pos"), keep) & (F.col("cls") != F.col("l_cls")))
-    pairs = cut_lineage(_filtered(led.where("may").select("part", F.col("l_cls").alias("a"), F.col("cls").alias("b")).distinct(), profiles))
+    pairs = cut_lineage(few.unionByName(led.where("may").select("part", F.col("l_cls").alias("a"), F.col("cls").alias("b"))).distinct())
+    pairs = cut_lineage(_filtered(pairs, profiles))
     crowded = pairs.groupBy(F.col("a").alias("c_a")).agg(F.count("*").alias("c_n")).where(F.col("c_n") >= crowd).select("c_a")
     stars = compared(pairs).join(crowded, F.col("a") == F.col("c_a"), "left")
     stars = cut_lineage(stars.select("a", "b", "linked", "n", F.when(F.col("c_a").isNotNull(), F.col("differs")).alias("differs")))
