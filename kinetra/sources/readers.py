@@ -78,17 +78,26 @@ def check_columns(df: DataFrame) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def flat_rows(lines: DataFrame, keys: list[str], text: str = "value") -> DataFrame:
+    """(keys.., joint_idx, x, y, conf) of headerless text lines x1,y1,c1,..."""
+    joints = reshape.flat_numbers(F.split(text, ","))
+    return lines.select(*keys, F.posexplode(joints).alias("joint_idx", "_j")).select(*keys, "joint_idx", "_j.*")
+
+
 def flat_csv(spark: SparkSession, path: str) -> DataFrame:
     """Headerless rows x1,y1,c1,...; one text file per swing, one line per frame."""
     text = spark.read.text(path).select("value", stem(_path()).alias("swing_id"), _ORDER[0]().alias("_at"),
                                         F.col(_ORDER[1]).alias("_split"))
-    rows = _numbered(text)
-    joints = reshape.flat_numbers(F.split("value", ","))
-    return rows.select("swing_id", "frame", F.posexplode(joints).alias("joint_idx", "_j")).select("swing_id", "frame", "joint_idx", "_j.*")
+    return flat_rows(_numbered(text), ["swing_id", "frame"])
+
+
+def listed_ids(lines: DataFrame, text: str = "value") -> DataFrame:
+    """One id per line, blank lines ignored."""
+    return lines.select(F.trim(text).alias("id")).filter(F.col("id") != "")
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("id")).filter(F.col("id") != "")
+    return listed_ids(spark.read.text(path))
 
 
 def assemble_embeddings(ids: DataFrame, vectors: DataFrame, labels: DataFrame) -> DataFrame:
@@ -138,21 +147,31 @@ def media_inventory(spark: SparkSession, root: str, pattern: str = "*.mp4", leaf
     return df.filter(F.element_at(F.split("path", "/"), -2) == leaf) if leaf else df
 
 
-def intrinsics(spark: SparkSession, path: str) -> DataFrame:
+def intrinsics_schema() -> str:
+    """Columns of an intrinsics document: every accepted key, the bare values, and the capture's own data."""
+    keyed = [f"{k} {INTRINSICS_BODY.simpleString()}" for k in INTRINSICS_KEYS]
+    bare = [f"{f.name} {f.dataType.simpleString()}" for f in INTRINSICS_BODY]
+    return ", ".join([*keyed, "meta struct<fps:int,width:int,height:int,depth_scale:double>", *bare])
+
+
+def pick_intrinsics(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Camera intrinsics under any accepted key, else the document itself when it has the values."""
-    body = INTRINSICS_BODY.simpleString()
-    fields = ", ".join([f"{k} {body}" for k in INTRINSICS_KEYS] + ["meta struct<fps:int,width:int,height:int,depth_scale:double>"])
-    plain = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INTRINSICS_BODY)
-    df = spark.read.schema(f"{fields}, {plain}").option("multiLine", True).json(path)
     own = F.when(F.col("fx").isNotNull() & F.col("fy").isNotNull() & F.col("cx").isNotNull() & F.col("cy").isNotNull(),
                  F.struct(*[f.name for f in INTRINSICS_BODY]))
-    return df.select(F.element_at(F.split(_path(), "/"), -2).alias("swing_id"),
-                     F.coalesce(*[F.col(k) for k in INTRINSICS_KEYS], own).alias("k"), "meta").select("swing_id", "k.*", "meta")
+    return docs.select(*keys, F.coalesce(*[F.col(k) for k in INTRINSICS_KEYS], own).alias("k"), "meta").select(*keys, "k.*", "meta")
+
+
+def intrinsics(spark: SparkSession, path: str) -> DataFrame:
+    df = spark.read.schema(intrinsics_schema()).option("multiLine", True).json(path)
+    return pick_intrinsics(df.withColumn("swing_id", F.element_at(F.split(_path(), "/"), -2)), ["swing_id"])
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Prediction rows (JSON lines); either spelling of the score column."""
-    df = spark.read.schema(PREDICTION).json(path)
+    return prediction_rows(spark.read.schema(PREDICTION).json(path))
+
+
+def prediction_rows(df: DataFrame) -> DataFrame:
+    """Prediction rows with either spelling of the score column."""
     return df.select("id", "clip", F.col("gt_label").alias("gt"), F.col("pred_label").alias("pred"),
                      F.coalesce("pred_scores", "pred_score").alias("scores"))
 

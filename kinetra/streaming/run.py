@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinetra.operators.sequence import shared_folder
+
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one the cluster names (a local one only in local mode)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        return tempfile.mkdtemp(prefix="stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the shared one that the cluster names."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1) -> DataFrame:
