@@ -529,6 +529,26 @@ def _(spark, sf):
         at("metrics.com_speed.summary.unit").alias("unit"))
 
 
+@query("udf3_errors_and_skips", """WITH $CLEAN, c AS (SELECT swing_id, frame, avg(x) AS cx, avg(y) AS cy FROM clean GROUP BY 1, 2)
+SELECT swing_id::VARCHAR AS job_id, '2d' AS dimension, true AS has_summary, 'ZeroDivisionError: division by zero' AS error, true AS skipped,
+ 'xfactor requires 3D metrics; skipped for 2D run' AS reason FROM c GROUP BY swing_id""")
+def _(spark, sf):
+    only = ["com_speed", "xfactor", "dividing"]
+    M.register_metric("dividing", lambda *_: 1 / 0)
+    try:
+        results, errors = M.run_all(masked(spark, sf), P2, fx.sequence(spark, sf), only)
+    finally:
+        del M.REGISTRY["dividing"]
+    doc = M.summary_document(results, ["swing_id"], "2d", errors, M.skipped(P2, only))
+
+    def at(path: str):
+        return F.get_json_object("document", f"$.{path}")
+
+    return doc.select(at("job_id").alias("job_id"), at("dimension").alias("dimension"), at("metrics.com_speed.summary.unit").isNotNull().alias("has_summary"),
+                      at("metrics.dividing.error").alias("error"), at("metrics.xfactor.skipped").cast("boolean").alias("skipped"),
+                      at("metrics.xfactor.reason").alias("reason"))
+
+
 @query("snk7_frame_documents", """WITH $CLEAN""" + _COM3 + """ SELECT swing_id, 'com' AS metric, '{' || string_agg('"' || frame || '":{"known":' || CASE WHEN cx IS NULL THEN 'null' ELSE 'true' END || '}', ',' ORDER BY frame) || '}' AS document FROM c GROUP BY 1""")
 def _(spark, sf):
     r = M.com_speed(masked(spark, sf), P3, fx.sequence(spark, sf))

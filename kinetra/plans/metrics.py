@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,6 +22,27 @@ class MetricResult:
     frames: DataFrame
 
 
+Metric = Callable[[DataFrame, Params, Sequence], MetricResult]
+
+
+def by_length(metric: Metric) -> Metric:
+    """Lets each swing have its own layout: windows over whole swings where they fit a block, blocks for longer ones.
+
+    Without a measured longest swing, or if it fits, one layout serves all.
+    """
+    @wraps(metric)
+    def run(pose: DataFrame, p: Params, seq: Sequence) -> MetricResult:
+        if seq.longest is None or seq.fits:
+            return metric(pose, p, seq)
+        keys = list(seq.keys)
+        tops = pose.groupBy(*keys).agg(F.max(seq.order).alias("_top"))
+        beyond = tops.filter(F.col("_top") >= seq.block).select(*keys)
+        short = metric(pose.join(beyond, keys, "left_anti"), p, replace(seq, longest=seq.block))
+        long_ = metric(pose.join(beyond, keys, "left_semi"), p, replace(seq, longest=None))
+        return MetricResult(short.summary.unionByName(long_.summary), short.frames.unionByName(long_.frames))
+    return run
+
+
 def _wide(pose: DataFrame, seq: Sequence, joints: list[str], axes: str, before: int, after: int = 0,
           extra: dict[str, Column] | None = None) -> DataFrame:
     """Wide frames of the first person: one shuffle serves the pivot and the windows after it."""
@@ -39,6 +61,7 @@ def _stance(laid: DataFrame, x: str) -> DataFrame:
         "stance_inst": F.abs(F.col(f"RAnkle_{x}") - F.col(f"LAnkle_{x}"))})
 
 
+@by_length
 def com_speed(pose: DataFrame, p: Params, seq: Sequence) -> MetricResult:
     raw = ("X3", "Y3", "Z3") if p.dimension == "3d" else ("x", "y")
     axes = [f"com_{a[0].lower()}" for a in raw]
@@ -51,6 +74,7 @@ def com_speed(pose: DataFrame, p: Params, seq: Sequence) -> MetricResult:
                         seq.done(frames).select(*seq.keys, "frame", "com_speed", "com_x", "com_y", "com_z"))
 
 
+@by_length
 def com_shift(pose: DataFrame, p: Params, seq: Sequence) -> MetricResult:
     axes, x = _axes(p)
     joints = ["LAnkle", "RAnkle", "RWrist", "LShoulder", "RShoulder", "LHip", "RHip"]
@@ -97,6 +121,7 @@ def com_shift(pose: DataFrame, p: Params, seq: Sequence) -> MetricResult:
     return MetricResult(out, frames)
 
 
+@by_length
 def head_speed(pose: DataFrame, p: Params, seq: Sequence) -> MetricResult:
     """Head speed and stability, movement before impact, wrist chosen by trend."""
     axes, x = _axes(p)
@@ -185,6 +210,7 @@ def auto_calibration(pose: DataFrame, p: Params, seq: Sequence) -> DataFrame:
                       (F.lit(real) / -best["m"]).alias("m_per_px"))
 
 
+@by_length
 def swing_speed(pose: DataFrame, p: Params, seq: Sequence) -> MetricResult:
     """Wrist speed, its peak around impact and the estimated club head speed; grip midpoint."""
     axes, x = _axes(p)
@@ -235,6 +261,7 @@ def swing_speed(pose: DataFrame, p: Params, seq: Sequence) -> MetricResult:
     return MetricResult(out, seq.done(laid).select(*seq.keys, "frame", *cols))
 
 
+@by_length
 def xfactor(pose: DataFrame, p: Params, seq: Sequence) -> MetricResult:
     joints = ["LShoulder", "RShoulder", "LHip", "RHip", "LAnkle", "RAnkle", "RWrist"]
     laid = _stance(_wide(pose, seq, joints, "XYZ", 1), "X3")
@@ -265,6 +292,7 @@ def plane_stats(frames: DataFrame, seq: Sequence) -> DataFrame:
         F.max(F.when(F.col("frame") == F.col("impact"), F.col("xf"))).alias("xfactor_at_impact_deg"))
 
 
+@by_length
 def shoulder_sway(pose: DataFrame, p: Params, seq: Sequence) -> MetricResult:
     """Vertical lines outside the frame-0 shoulders and whether a shoulder leaves them."""
     laid = _wide(pose, seq, ["LShoulder", "RShoulder"], "xy", 0)
@@ -292,7 +320,6 @@ def shoulder_sway(pose: DataFrame, p: Params, seq: Sequence) -> MetricResult:
     return MetricResult(out, seq.done(laid).select(*seq.keys, "frame", "left_line", "right_line", "sway_left", "sway_right"))
 
 
-Metric = Callable[[DataFrame, Params, Sequence], MetricResult]
 REGISTRY: dict[str, Metric] = {
     "com_speed": com_speed, "com_shift": com_shift, "head_speed": head_speed, "swing_speed": swing_speed,
     "xfactor": xfactor, "shoulder_sway": shoulder_sway,
@@ -311,11 +338,20 @@ def register_metric(name: str, metric: Metric) -> None:
     REGISTRY[name] = metric
 
 
+# Fixed value: why a metric is left out of two-dimensional runs.
+NEEDS_3D = {"xfactor": "xfactor requires 3D metrics; skipped for 2D run"}
+
+
+def skipped(p: Params, only: list[str] | None = None) -> dict[str, str]:
+    """Metrics that don't apply, with the reason."""
+    return {} if p.dimension == "3d" else {n: NEEDS_3D[n] for n in only or list_metrics() if n in NEEDS_3D}
+
+
 def run_all(pose: DataFrame, p: Params, seq: Sequence, only: list[str] | None = None) -> tuple[dict[str, MetricResult], dict[str, str]]:
     """Every metric that applies; one that cannot be planned is reported, the others still run."""
     results, errors = {}, {}
     for name in only or list_metrics():
-        if name == "xfactor" and p.dimension != "3d":
+        if name in skipped(p, only):
             continue
         try:
             results[name] = REGISTRY[name](pose, p, seq)
@@ -326,8 +362,6 @@ def run_all(pose: DataFrame, p: Params, seq: Sequence, only: list[str] | None =
 
 def by_dimension(pose: DataFrame, p: Params, seq: Sequence, metric: str) -> DataFrame:
     """Summary over swings with depth in 3D and over all others in 2D."""
-    from dataclasses import replace
-
     is3 = three_dimensional(pose, seq)
     out = None
     for dim, flag in (("3d", True), ("2d", False)):
@@ -337,14 +371,17 @@ def by_dimension(pose: DataFrame, p: Params, seq: Sequence, metric: str) -> Data
     return out
 
 
-def summary_document(results: dict[str, MetricResult], keys: list[str], dimension: str) -> DataFrame:
-    """One JSON document of all summaries per swing."""
+def summary_document(results: dict[str, MetricResult], keys: list[str], dimension: str, errors: dict[str, str] | None = None,
+                     skips: dict[str, str] | None = None) -> DataFrame:
+    """One JSON document per swing: the summaries, and for other metrics their error or why they were skipped."""
     parts = None
     for name, r in results.items():
         s = r.summary.select(*keys, F.struct(*[c for c in r.summary.columns if c not in keys]).alias(name))
         parts = s if parts is None else parts.join(s, keys, "full_outer")
-    metrics = F.struct(*[F.struct(F.col(n).alias("summary")).alias(n) for n in results])
-    doc = F.struct(F.col(keys[0]).cast("string").alias("job_id"), F.lit(dimension).alias("dimension"), metrics.alias("metrics"))
+    entries = [F.struct(F.col(n).alias("summary")).alias(n) for n in results]
+    entries += [F.struct(F.lit(text).alias("error")).alias(n) for n, text in (errors or {}).items()]
+    entries += [F.struct(F.lit(True).alias("skipped"), F.lit(why).alias("reason")).alias(n) for n, why in (skips or {}).items()]
+    doc = F.struct(F.col(keys[0]).cast("string").alias("job_id"), F.lit(dimension).alias("dimension"), F.struct(*entries).alias("metrics"))
     return parts.select(*keys, F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
 
 
