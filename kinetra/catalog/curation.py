@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinetra.catalog.registry import query, r6
 from kinetra.functions import rules
 from kinetra.operators import curate as C, pairing as P, reshape, sample as SM, sets
-from kinetra.operators.sequence import Sequence, number_rows
+from kinetra.operators.sequence import Sequence, cut_lineage, number_rows
 from kinetra.schema import LABEL_JSON
 from kinetra.sources import fixtures as fx
 
@@ -428,6 +428,7 @@ def _(spark, sf):
 @query("jn12_impact_images", f"""WITH $FILES, {_CLUSTER} SELECT stem || '.jpg' AS image, bool_or(hit) AS is_impact FROM gh GROUP BY 1""")
 def _(spark, sf):
     df, _ = hits(spark, sf)
+    df = cut_lineage(df.select("stem", "hit"))
     images = df.select("stem")
     impact = df.filter("hit").select("stem")
     both = P.with_media(images, impact).withColumn("is_impact", F.lit(True)).unionByName(

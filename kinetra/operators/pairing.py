@@ -152,18 +152,15 @@ def match_predictions(annotations: DataFrame, predictions: DataFrame) -> DataFra
     p = predictions.groupBy("id").agg(F.min_by("pred", "seq").alias("_eq"), F.lit(True).alias("_hit"))
     out = annotations.join(p, "id", "left")
     open_ids = out.filter(F.col("_hit").isNull()).select("id").distinct()
-    # Distinct id lengths: a handful of small numbers.
-    lengths = sorted(r[0] for r in open_ids.select(F.length("id")).distinct().collect() if r[0])
-    if not lengths:
-        return out.withColumnRenamed("_eq", "pred").drop("_hit")
-    def pieces(n: int) -> Column:
-        starts = F.when(F.length("id") >= n, F.sequence(F.lit(1), F.length("id") - (n - 1)))
-        return F.coalesce(F.transform(starts, lambda i: F.substring("id", i, F.lit(n))), F.array().cast("array<string>"))
-
-    subs = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in lengths])))
-    keyed = predictions.select(F.explode(subs).alias("_sub"), "seq", "pred")
-    inside = keyed.join(open_ids.withColumnRenamed("id", "_sub"), "_sub", "left_semi").groupBy("_sub").agg(
-        F.min_by("pred", "seq").alias("_in"))
+    # The lengths of open ids, a set of small numbers, reach all rows as one value.
+    lengths = open_ids.agg(F.collect_set(F.length("id"))).scalar()
+
+    def pieces(n: Column) -> Column:
+        starts = F.when((n > 0) & (F.length("id") >= n), F.sequence(F.lit(1), F.length("id") - (n - 1)))
+        return F.coalesce(F.transform(starts, lambda i: F.substring("id", i, n)), F.array().cast("array<string>"))
+
+    keyed = predictions.withColumn("_n", lengths).select(F.explode(F.array_distinct(F.flatten(F.transform("_n", pieces)))).alias("_sub"), "seq", "pred")
+    inside = keyed.groupBy("_sub").agg(F.min_by("pred", "seq").alias("_in")).join(open_ids.withColumnRenamed("id", "_sub"), "_sub", "left_semi")
     out = out.join(inside.withColumnRenamed("_sub", "id"), "id", "left")
     return out.withColumn("pred", F.when(F.col("_hit"), F.col("_eq")).otherwise(F.col("_in"))).drop("_eq", "_hit", "_in")
 

@@ -28,11 +28,16 @@ def reduce_clips(emb: DataFrame, keys: list[str], how: str = "mean", vec: str =
     if how == "flatten":
         rows = emb.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(clip, vec))).alias("_r"))
         return rows.select(*keys, F.flatten(F.transform("_r", lambda r: r[vec])).alias(vec))
-    agg = {"mean": F.avg, "max": F.max}[how]
-    tall = emb.select(*keys, F.posexplode(vec).alias("_i", "_x"))
-    at = tall.groupBy(*keys, "_i").agg(agg(F.when(~F.isnan("_x"), F.col("_x").cast("double"))).alias("_x"))
-    # The vector is put together again from its fixed number of positions.
-    return at.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda r: r["_x"]).alias(vec))
+    # One row per clip is moved; positions are reduced where the clips of an id have met.
+    met = emb.groupBy(*keys).agg(F.collect_list(vec).alias("_r"))
+    width = F.array_max(F.transform("_r", lambda r: F.size(r)))
+
+    def at(i: Column) -> Column:
+        there = F.filter(F.transform("_r", lambda r: F.get(r, i).cast("double")), lambda x: x.isNotNull() & ~F.isnan(x))
+        total = F.aggregate(there, F.lit(0.0), lambda a, x: a + x)
+        return F.array_max(there) if how == "max" else F.when(F.size(there) > 0, total / F.size(there))
+
+    return met.select(*keys, F.transform(F.when(width > 0, F.sequence(F.lit(0), width - 1)), at).alias(vec))
 
 
 def concat_features(a: DataFrame, b: DataFrame, id_: str = "id", vec: str = "vec") -> DataFrame:
