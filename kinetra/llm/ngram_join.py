@@ -185,17 +185,20 @@ def _by_difference(compared: DataFrame, groups: DataFrame, keep: tuple[int, int]
     differences share. Linked to l are all that could link without sharing any, so the others must share some:
     rarest first, differences meet in an early place or are too far apart.
     """
-    rows = compared.select(F.col("a").alias("l"), F.col("b").alias("x"), "n", "linked", F.size("differs").cast("long").alias("d"), F.explode("differs").alias("token"))
+    # A pair that was compared to several same sets is looked for at the least of them alone.
+    compared = compared.withColumn("leads", F.collect_set("a").over(Window.partitionBy("b")))
+    rows = compared.select(F.col("a").alias("l"), F.col("b").alias("x"), "n", "linked", "leads", F.size("differs").cast("long").alias("d"), F.explode("differs").alias("token"))
     times = rows.groupBy("l", "token").agg(F.count("*").alias("times")).select(F.col("l").alias("t_l"), F.col("token").alias("t_token"), "times")
     rows = rows.join(times, (F.col("l") == F.col("t_l")) & (F.col("token") == F.col("t_token"))).drop("t_l", "t_token")
     rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("l", "x").orderBy("times", "token"))).where("times > 1")
     rows = rows.join(groups, F.col("x") == F.col("node"), "left").withColumn("component", F.coalesce("component", "x")).drop("node", "times")
-    side = lambda s: rows.select(*[F.col(c).alias(f"{s}_{c}") for c in ("l", "x", "n", "d", "token", "pos", "component", "linked")])
+    side = lambda s: rows.select(*[F.col(c).alias(f"{s}_{c}") for c in ("l", "x", "n", "d", "token", "pos", "component", "linked", "leads")])
     p, q = side("p"), side("q")
     shared = 1 + F.least(F.col("p_d") - F.col("p_pos"), F.col("q_d") - F.col("q_pos"))
     near = (F.col("p_d") + F.col("q_d") - 2 * shared) * (keep[1] + keep[0]) <= (F.col("p_n") + F.col("q_n")) * (keep[1] - keep[0])
     return p.join(q, (F.col("p_l") == F.col("q_l")) & (F.col("p_token") == F.col("q_token")) & (F.col("p_component") < F.col("q_component"))
-                  & ~(F.col("p_linked") & F.col("q_linked")) & near) \
+                  & ~(F.col("p_linked") & F.col("q_linked")) & near
+                  & (F.array_min(F.array_intersect("p_leads", "q_leads")) == F.col("p_l"))) \
         .select(F.col("p_x").alias("a"), F.col("q_x").alias("b"))
 
 
