@@ -6,6 +6,7 @@ import base64
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,16 @@ class Encoder(dict):
     """
 
     def __init__(self, tokenizer: str, ranks: str | None = None):
-        from tokenizers import Tokenizer
         super().__init__()
-        self.whole = Tokenizer.from_file(tokenizer)
+        self.tokenizer = tokenizer
         self.words = self._ranked(ranks) if ranks else None
 
+    @cached_property
+    def whole(self):
+        """The tokenizer itself, where a text asks for it."""
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.tokenizer)
+
     @staticmethod
     def _ranked(ranks: str):
         import public_tokenizers
