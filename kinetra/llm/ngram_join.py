@@ -189,8 +189,10 @@ def _by_difference(compared: DataFrame, groups: DataFrame, keep: tuple[int, int]
     compared = compared.withColumn("leads", F.collect_set("a").over(Window.partitionBy("b")))
     rows = compared.select(F.col("a").alias("l"), F.col("b").alias("x"), "n", "linked", "leads", F.size("differs").cast("long").alias("d"), F.explode("differs").alias("token"))
     times = rows.groupBy("l", "token").agg(F.count("*").alias("times")).select(F.col("l").alias("t_l"), F.col("token").alias("t_token"), "times")
-    rows = rows.join(times, (F.col("l") == F.col("t_l")) & (F.col("token") == F.col("t_token"))).drop("t_l", "t_token")
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("l", "x").orderBy("times", "token"))).where("times > 1")
+    # Tokens of one difference alone come first in its order; they are counted, not moved on.
+    rows = rows.join(times.where("times > 1"), (F.col("l") == F.col("t_l")) & (F.col("token") == F.col("t_token"))).drop("t_l", "t_token")
+    mine = Window.partitionBy("l", "x")
+    rows = rows.withColumn("pos", F.col("d") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("times", "token")))
     rows = rows.join(groups, F.col("x") == F.col("node"), "left").withColumn("component", F.coalesce("component", "x")).drop("node", "times")
     side = lambda s: rows.select(*[F.col(c).alias(f"{s}_{c}") for c in ("l", "x", "n", "d", "token", "pos", "component", "linked", "leads")])
     p, q = side("p"), side("q")
