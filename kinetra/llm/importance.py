@@ -19,6 +19,11 @@ BUCKETS = 1 << 16
 LABELLED = 32768
 #: Words whose token hashes a task remembers.
 REMEMBERED = 200_000
+#: Folds of doc_id. What judges a document is fitted without the labels of its own fold, so labelled and other documents are judged alike.
+FOLDS = 4
+#: Labelled documents that count as evidence of no difference, standard errors from which a feature speaks for the text
+#: to avoid, and how many of a document's features that speak loudest are summed.
+EVIDENCE, ERRORS, LOUDEST = 3.0, 2.0, 3
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,18 +48,52 @@ def features(text: str | None, words: _WordTokens, buckets: int = BUCKETS) -> np
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, raw, target = _WordTokens(), np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
+    """Sums by cell: `_tables` of features by text, wanted, avoided (null without a label) and fold."""
+    words, cells = _WordTokens(), np.zeros(_CELLS, np.int64)
+    raw, target, avoided, clean, n = _tables(cells)
     for batch in batches:
-        for text, wanted in zip(batch.column(0), batch.column(1)):
-            f = features(text.as_py(), words)
+        for text, wanted, avoid, fold in zip(*batch.columns):
+            f, k = features(text.as_py(), words), fold.as_py()
             np.add.at(raw, f, 1)
             if wanted.as_py():
                 np.add.at(target, f, 1)
+            if avoid.is_valid:
+                here = np.unique(f)
+                (avoided if avoid.as_py() else clean)[k, here] += 1
+                n[0 if avoid.as_py() else 1, k] += 1
     words.clear()
     give_back()
-    at = np.flatnonzero(raw)
+    at = np.flatnonzero(cells)
     if len(at):
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], ["cell", "n"])
+
+
+_CELLS = 2 * BUCKETS * (2 + 2 * FOLDS) + 2 * FOLDS
+
+
+def _tables(cells: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Views: features of all and of target text; documents with a feature by fold, to avoid and not; such documents by fold."""
+    size = 2 * BUCKETS
+    by_fold = cells[2 * size:-2 * FOLDS].reshape(2, FOLDS, size)
+    return cells[:size], cells[size:2 * size], by_fold[0], by_fold[1], cells[-2 * FOLDS:].reshape(2, FOLDS)
+
+
+def harm_ratios(avoided: np.ndarray, clean: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Per fold and bucket, from the labelled documents of the other folds: how much a feature speaks for the text to avoid.
+
+    It is the log of its documents to avoid over those that its share of the others would make, both with EVIDENCE
+    added; 0 within ERRORS standard errors of that.
+    """
+    got, others = avoided.sum(0) - avoided, clean.sum(0) - clean
+    n_got, n_others = (n.sum(1, keepdims=True) - n)[:, :, None]
+    due = others * (n_got / np.maximum(n_others, 1))
+    loud = (got - due >= ERRORS * np.sqrt(due + 1)) & (n_others > 0)
+    return np.where(loud, np.log((got + EVIDENCE) / (due + EVIDENCE)), 0.0)
+
+
+def loudest(values: np.ndarray) -> float:
+    """Sum of the LOUDEST largest: a few insults count the same in a short text and in a long one."""
+    return float((np.partition(values, -LOUDEST)[-LOUDEST:] if len(values) > LOUDEST else values).sum())
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, smooth: float = 1.0) -> np.ndarray:
@@ -71,13 +110,17 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, smooth: float = 1.0) -> np.n
     return out
 
 
-def _scorer(ratios: np.ndarray):
-    """doc_id, mark and text to doc_id, mark and log weight; the ratios travel with the task, a table of fixed size."""
+def _scorer(ratios: np.ndarray, harms: np.ndarray):
+    """doc_id, mark, text and fold to doc_id, mark, log weight and harm; the ratios travel with the task, tables of fixed size."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordTokens()
         for batch in batches:
-            weight = np.array([ratios[features(t.as_py(), words)].sum() for t in batch.column(2)], dtype=float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weight)], ["doc_id", "mark", "log_weight"])
+            weight, harm = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for i, (text, fold) in enumerate(zip(batch.column(2), batch.column(3))):
+                f = features(text.as_py(), words)
+                weight[i], harm[i] = ratios[f].sum(), loudest(harms[fold.as_py()][f])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weight), pa.array(harm)],
+                                             ["doc_id", "mark", "log_weight", "harm"])
         words.clear()
         give_back()
     return score
@@ -107,10 +150,10 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float |
 
 
 def importance_keys(docs: DataFrame, labels: DataFrame, target=None, recall: float = 0.999, labelled: int = LABELLED,
-                    seed: int = 17) -> tuple[DataFrame, float | None]:
-    """doc_id, mark, log_weight and gumbel_key of all `docs` (doc_id, text), and the key from which on they are drawn.
+                    seed: int = 17, avoid=None) -> tuple[DataFrame, float | None]:
+    """doc_id, mark, log_weight, harm and gumbel_key of all `docs` (doc_id, text), and the key from which on they are drawn.
 
-    Drawn documents look like the target.
+    Drawn documents look like the target and not like what is labelled as text to avoid.
 
     Text becomes hashed lower-case words, punctuation runs and neighbouring pairs. The raw model counts them over all
     documents, the target model over the labelled documents that `target` (a condition on `labels`; quality 1 and not
@@ -118,6 +161,12 @@ def importance_keys(docs: DataFrame, labels: DataFrame, target=None, recall: flo
     weight is the sum of the log ratios of its features; its key adds Gumbel noise hashed from doc_id, and the k
     largest keys are the sample, drawn without replacement in proportion to the weights.
 
+    Documents to `avoid` (a condition on `labels`; toxic by default, none if only `target` is given) have a model of
+    their own, of features that are in more of them than in other labelled documents. A document's `harm` is the sum of
+    its loudest few, so that a few insults show in a text of any length. It comes from the labels of other folds of
+    doc_id, for labelled and other documents alike. The limit is the harm that a `recall` part of the target documents
+    doesn't exceed; above it the key is minus infinity: such documents are never drawn and don't count in k.
+
     k is the number of documents times the share of labelled ones that weigh at least as much as the lightest of a
     `recall` part of the target documents, less the noise's lower tail, plus three standard errors of that share.
 
@@ -126,38 +175,45 @@ def importance_keys(docs: DataFrame, labels: DataFrame, target=None, recall: flo
     rows count and are drawn alike. Other columns are ignored. No rows in, no rows out.
     """
     require(docs, "doc_id", "text")
+    avoid = avoid if avoid is not None else F.col("toxic") == 1 if target is None else F.lit(False)
     target = (F.col("quality") == 1) & (F.col("toxic") == 0) if target is None else target
     sample = (labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("l_id"))
-              .agg(F.min(F.coalesce(target, F.lit(False))).alias("wanted"))
+              .agg(F.min(F.coalesce(target, F.lit(False))).alias("wanted"), F.max(F.coalesce(avoid, F.lit(False))).alias("avoided"))
               .orderBy(F.xxhash64("l_id"), "l_id").limit(labelled))
     sample = cut_lineage(sample)
-    # Not more than `labelled` rows of two small columns: the one table that is sent to all tasks.
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
+    # Not more than `labelled` rows of three small columns: the one table that is sent to all tasks.
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"), "left")
-    sums = (marked.select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-            .mapInArrow(_counted, "bucket int, raw long, target long")
-            .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))).toPandas()
-    raw, wanted = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
-    raw[sums["bucket"]], wanted[sums["bucket"]] = sums["raw"], sums["target"]
-
-    scored = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-              .mapInArrow(_scorer(log_ratios(raw, wanted)), "doc_id long, mark long, log_weight double"))
+    sums = (marked.select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"), "avoided", fold)
+            .mapInArrow(_counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))).toArrow()
+    cells = np.zeros(_CELLS, np.int64)
+    cells[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    raw, wanted, *by_fold = _tables(cells)
+
+    scored = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").select("*", fold)
+              .mapInArrow(_scorer(log_ratios(raw, wanted), harm_ratios(*by_fold)), "doc_id long, mark long, log_weight double, harm double"))
     unit = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(2 ** 53))
     scored = cut_lineage(scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(unit))))
 
-    known = scored.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("log_weight", "wanted")
-    targets = known.where("wanted")
-    n_targets, n_known, n = targets.count(), known.count(), scored.count()
+    known = scored.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("log_weight", "harm", "wanted")
+    n_targets = known.where("wanted").count()
     if not n_targets:
         return scored, None
+    limit = max(0.0, kth_largest(known.where("wanted"), "harm", int(n_targets * (1 - recall)) + 1))
+    harmless = F.col("harm") <= F.lit(limit)
+    scored = scored.withColumn("gumbel_key", F.when(harmless, F.col("gumbel_key")).otherwise(F.lit(float("-inf"))))
+    known, rest = known.where(harmless), scored.where(harmless)
+    targets = known.where("wanted")
+    n_targets, n_known, n = targets.count(), known.count(), rest.count()
     least = kth_largest(targets, "log_weight", max(1, int(np.ceil(n_targets * recall))))
     share = known.where(F.col("log_weight") >= F.lit(least - np.log(np.log(max(n, 3))))).count() / n_known
     share = min(1.0, share + 3 * (share * (1 - share) / n_known) ** 0.5)
-    cut = kth_largest(scored, "gumbel_key", int(np.ceil(share * n)))
+    cut = kth_largest(rest, "gumbel_key", int(np.ceil(share * n)))
     return scored, cut
 
 
 def resample_by_importance(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, mark, log_weight and gumbel_key of the documents that `importance_keys` draws; options are the same."""
+    """doc_id, mark, log_weight, harm and gumbel_key of the documents that `importance_keys` draws; options are the same."""
     scored, cut = importance_keys(docs, labels, **options)
     return scored if cut is None else scored.where(F.col("gumbel_key") >= F.lit(cut))
 

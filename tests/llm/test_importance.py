@@ -62,3 +62,26 @@ def test_edge_tables(spark):
     assert sorted(r.doc_id for r in m.resample_by_importance(docs, labels).collect()) == [1, 1, 2]
     assert m.resample_by_importance(docs.limit(0), labels).collect() == []
     assert m.drop_unlike_target(docs, labels.limit(0)).count() == 3
+
+
+def test_insults_in_clean_text_are_not_drawn(spark):
+    rnd = np.random.RandomState(4)
+    plain = [f"w{i}" for i in range(300)]
+
+    def text(size, insults=0):
+        said = [plain[j] for j in rnd.randint(0, 300, size)]
+        for _ in range(insults):
+            said.insert(rnd.randint(0, size), f"insult{rnd.randint(0, 4)}")
+        return " ".join(said)
+
+    clean = [(i, text(30 + 9 * (i % 100)), 1, 0) for i in range(600)]
+    toxic = [(1000 + i, text(30 + 9 * (i % 100), 3), 1, 1) for i in range(160)]
+    junk = [(2000 + i, "zz yy " * (5 + i % 50), 0, 0) for i in range(60)]
+    rows = clean + toxic + junk
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    # Every second document has a label; the others are judged by what was learnt.
+    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in rows if i % 2], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in m.resample_by_importance(docs, labels).collect()}
+    assert kept == {r.doc_id for r in m.drop_unlike_target(docs, labels).collect()}
+    assert len([i for i, *_ in toxic if i in kept]) <= 3
+    assert len([i for i, *_ in clean if i not in kept]) <= 6
