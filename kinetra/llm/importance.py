@@ -24,6 +24,8 @@ FOLDS = 4
 #: Labelled documents that count as evidence of no difference, standard errors from which a feature speaks for the text
 #: to avoid, and how many of a document's features that speak loudest are summed.
 EVIDENCE, ERRORS, LOUDEST = 3.0, 2.0, 3
+#: Features up to which a document's weight is a sum; a longer one weighs as this many of its average.
+LENGTH = 128
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,7 +58,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f, k = features(text.as_py(), words), fold.as_py()
             np.add.at(raw, f, 1)
             if wanted.as_py():
-                np.add.at(target, f, 1)
+                np.add.at(target[k], f, 1)
             if avoid.is_valid:
                 here = np.unique(f)
                 (avoided if avoid.as_py() else clean)[k, here] += 1
@@ -68,14 +70,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], ["cell", "n"])
 
 
-_CELLS = 2 * BUCKETS * (2 + 2 * FOLDS) + 2 * FOLDS
+_CELLS = 2 * BUCKETS * (1 + 3 * FOLDS) + 2 * FOLDS
 
 
 def _tables(cells: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Views: features of all and of target text; documents with a feature by fold, to avoid and not; such documents by fold."""
+    """Views: features of all text, of target text by fold; documents with a feature by fold, to avoid and not; such documents by fold."""
     size = 2 * BUCKETS
-    by_fold = cells[2 * size:-2 * FOLDS].reshape(2, FOLDS, size)
-    return cells[:size], cells[size:2 * size], by_fold[0], by_fold[1], cells[-2 * FOLDS:].reshape(2, FOLDS)
+    return cells[:size], *cells[size:-2 * FOLDS].reshape(3, FOLDS, size), cells[-2 * FOLDS:].reshape(2, FOLDS)
 
 
 def harm_ratios(avoided: np.ndarray, clean: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -96,31 +97,33 @@ def loudest(values: np.ndarray) -> float:
     return float((np.partition(values, -LOUDEST)[-LOUDEST:] if len(values) > LOUDEST else values).sum())
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, smooth: float = 1.0) -> np.ndarray:
-    """Per bucket log p(target) - log p(raw); tokens and pairs are two models, smoothed in proportion to the raw one."""
+def log_ratios(raw: np.ndarray, target: np.ndarray, smooth: float = 1.0, without: np.ndarray | int = 0) -> np.ndarray:
+    """Per bucket log p(target) - log p(raw); tokens and pairs are two models, smoothed by the count that raw text would make.
+
+    Counts `without` are left out of the target, and the others scaled up to its size.
+    """
     out = np.zeros(len(raw))
     half = len(raw) // 2
     for part in (slice(0, half), slice(half, None)):
-        r, t = raw[part].astype(float), target[part].astype(float)
+        r, t = raw[part].astype(float), (target - without)[part].astype(float)
         if r.sum() and t.sum():
-            p = (r + smooth) / (r + smooth).sum()
-            # A bucket without evidence keeps ratio 1: the target model falls back on the raw one.
-            q = (t + smooth * p * len(p)) / (t.sum() + smooth * len(p))
-            out[part] = np.log(q) - np.log(p)
+            t *= target[part].sum() / t.sum()
+            # A bucket of which the target would hold next to nothing either way has a ratio near 1.
+            out[part] = np.log((t + smooth) / (t.sum() * (r / r.sum()) + smooth))
     return out
 
 
-def _scorer(ratios: np.ndarray, harms: np.ndarray):
-    """doc_id, mark, text and fold to doc_id, mark, log weight and harm; the ratios travel with the task, tables of fixed size."""
+def _scorer(ratios: np.ndarray, others: np.ndarray, harms: np.ndarray):
+    """doc_id, mark, text and fold to doc_id, mark, log weight, that by other folds, and harm; the ratios travel with the task, tables of fixed size."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordTokens()
         for batch in batches:
-            weight, harm = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            weight, held, harm = np.zeros((3, batch.num_rows))
             for i, (text, fold) in enumerate(zip(batch.column(2), batch.column(3))):
-                f = features(text.as_py(), words)
-                weight[i], harm[i] = ratios[f].sum(), loudest(harms[fold.as_py()][f])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weight), pa.array(harm)],
-                                             ["doc_id", "mark", "log_weight", "harm"])
+                f, k = features(text.as_py(), words), fold.as_py()
+                weight[i], held[i], harm[i] = ratios[f].sum(), others[k][f].sum() * min(1.0, LENGTH / max(len(f), 1)), loudest(harms[k][f])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weight), pa.array(held), pa.array(harm)],
+                                             ["doc_id", "mark", "log_weight", "held_weight", "harm"])
         words.clear()
         give_back()
     return score
@@ -151,15 +154,17 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float |
 
 def importance_keys(docs: DataFrame, labels: DataFrame, target=None, recall: float = 0.999, labelled: int = LABELLED,
                     seed: int = 17, avoid=None) -> tuple[DataFrame, float | None]:
-    """doc_id, mark, log_weight, harm and gumbel_key of all `docs` (doc_id, text), and the key from which on they are drawn.
+    """doc_id, mark, log_weight, held_weight, harm and gumbel_key of all `docs` (doc_id, text), and the key from which on they are drawn.
 
     Drawn documents look like the target and not like what is labelled as text to avoid.
 
     Text becomes hashed lower-case words, punctuation runs and neighbouring pairs. The raw model counts them over all
     documents, the target model over the labelled documents that `target` (a condition on `labels`; quality 1 and not
     toxic by default) picks, of which `labelled` rows at most take part, chosen by a hash of doc_id. A document's log
-    weight is the sum of the log ratios of its features; its key adds Gumbel noise hashed from doc_id, and the k
-    largest keys are the sample, drawn without replacement in proportion to the weights.
+    weight is the sum of the log ratios of its features. Its held weight is that without the labels of its own fold of
+    doc_id, so that a labelled document has no advantage, and as LENGTH average features if it has more, so that a long
+    document isn't judged by the noise of its length. Its key adds Gumbel noise hashed from doc_id to the held
+    weight, and the k largest keys are the sample, drawn without replacement in proportion to these weights.
 
     Documents to `avoid` (a condition on `labels`; toxic by default, none if only `target` is given) have a model of
     their own, of features that are in more of them than in other labelled documents. A document's `harm` is the sum of
@@ -189,13 +194,15 @@ def importance_keys(docs: DataFrame, labels: DataFrame, target=None, recall: flo
     cells = np.zeros(_CELLS, np.int64)
     cells[sums["cell"].to_numpy()] = sums["n"].to_numpy()
     raw, wanted, *by_fold = _tables(cells)
+    others = np.stack([log_ratios(raw, wanted.sum(0), without=w) for w in wanted])
 
     scored = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").select("*", fold)
-              .mapInArrow(_scorer(log_ratios(raw, wanted), harm_ratios(*by_fold)), "doc_id long, mark long, log_weight double, harm double"))
+              .mapInArrow(_scorer(log_ratios(raw, wanted.sum(0)), others, harm_ratios(*by_fold)),
+                          "doc_id long, mark long, log_weight double, held_weight double, harm double"))
     unit = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(2 ** 53))
-    scored = cut_lineage(scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(unit))))
+    scored = cut_lineage(scored.withColumn("gumbel_key", F.col("held_weight") - F.log(-F.log(unit))))
 
-    known = scored.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("log_weight", "harm", "wanted")
+    known = scored.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("held_weight", "harm", "wanted")
     n_targets = known.where("wanted").count()
     if not n_targets:
         return scored, None
@@ -205,15 +212,15 @@ def importance_keys(docs: DataFrame, labels: DataFrame, target=None, recall: flo
     known, rest = known.where(harmless), scored.where(harmless)
     targets = known.where("wanted")
     n_targets, n_known, n = targets.count(), known.count(), rest.count()
-    least = kth_largest(targets, "log_weight", max(1, int(np.ceil(n_targets * recall))))
-    share = known.where(F.col("log_weight") >= F.lit(least - np.log(np.log(max(n, 3))))).count() / n_known
+    least = kth_largest(targets, "held_weight", max(1, int(np.ceil(n_targets * recall))))
+    share = known.where(F.col("held_weight") >= F.lit(least - np.log(np.log(max(n, 3))))).count() / n_known
     share = min(1.0, share + 3 * (share * (1 - share) / n_known) ** 0.5)
     cut = kth_largest(rest, "gumbel_key", int(np.ceil(share * n)))
     return scored, cut
 
 
 def resample_by_importance(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, mark, log_weight, harm and gumbel_key of the documents that `importance_keys` draws; options are the same."""
+    """doc_id, mark, log_weight, held_weight, harm and gumbel_key of the documents that `importance_keys` draws; options are the same."""
     scored, cut = importance_keys(docs, labels, **options)
     return scored if cut is None else scored.where(F.col("gumbel_key") >= F.lit(cut))
 

@@ -85,3 +85,25 @@ def test_insults_in_clean_text_are_not_drawn(spark):
     assert kept == {r.doc_id for r in m.drop_unlike_target(docs, labels).collect()}
     assert len([i for i, *_ in toxic if i in kept]) <= 3
     assert len([i for i, *_ in clean if i not in kept]) <= 6
+
+
+def test_long_clean_documents_without_a_label_stay(spark):
+    rnd = np.random.RandomState(8)
+
+    def text(size):
+        # Every second word is in few other documents, as in real text.
+        return " ".join(f"c{rnd.randint(0, 50)} r{int(rnd.pareto(0.3) * 20) % 20000}" for _ in range(size))
+
+    clean = [(i, text(20 if i % 4 else 400), 1, 0) for i in range(400)]
+    junk = [(2000 + i, "zz yy " * (5 + i % 50), 0, 0) for i in range(100)]
+    docs = spark.createDataFrame([r[:2] for r in clean + junk], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in clean + junk if i // 4 % 2], "doc_id long, quality int, toxic int")
+    scored, cut = m.importance_keys(docs, labels)
+    rows = {r.doc_id: r for r in scored.collect()}
+    assert [i for i, *_ in clean if rows[i].gumbel_key < cut] == []
+    keys = [[rows[i].gumbel_key for i, *_ in clean if i % 4 == 0 and bool(i // 4 % 2) is fitted] for fitted in (False, True)]
+    assert abs(np.median(keys[0]) - np.median(keys[1])) < 0.5 * np.std(keys[0])
+    # A bucket of which the target would hold a hundredth of a token says next to nothing by being absent.
+    raw, target = np.full(2 * m.BUCKETS, 100), np.full(2 * m.BUCKETS, 1)
+    raw[0], target[0] = 1, 0
+    assert abs(m.log_ratios(raw, target)[0]) < 0.02
