@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinetra.llm import bm25, chat, exact_dedup, importance, line_dedup, mixing, ngram_join, packing, pii, url_filter
+from kinetra.llm import (bm25, centroids, chat, exact_dedup, fill_in_middle, importance, line_dedup, mixing, ngram_join, packing, pii, sharding,
+                         url_filter)
 
 URL_RULES = (
     ("com", "/", "allow"),
@@ -154,6 +155,58 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.line_report(_table(spark, sf_dir, "documents"), keep=(80, 100))
 
 
+@_query("op11_balanced_shards")
+def op11_balanced_shards(spark, sf_dir):
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=40)
+
+
+def _rounds_sql(k: int, rounds: int, seed: int, width: int, scale: int) -> str:
+    """All rounds of centroid clustering, one after the other, every vector against every centroid."""
+    parts = [f"""v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width})""",
+             f"""c0 AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || CAST(vec_id AS VARCHAR)), e) - 1 AS j, e AS c FROM v
+  QUALIFY j < {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS (SELECT vec_id, e, CAST(min(d * 64 + j) AS BIGINT) % 64 AS j, CAST(min(d * 64 + j) AS BIGINT) // 64 AS d FROM (
+  SELECT vec_id, e, j, list_sum(list_transform(list_zip(e, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{r}) GROUP BY vec_id, e)""")
+        if r < rounds:
+            parts.append(f"""p{r} AS (SELECT j, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT j, unnest(e) AS x, unnest(range({width})) AS i FROM a{r}) GROUP BY j, i)""")
+            parts.append(f"""m{r} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM p{r} GROUP BY j)""")
+            parts.append(f"""c{r + 1} AS (SELECT c{r}.j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (j))""")
+    joined = ",\n".join(parts)
+    return f"""WITH {joined}
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (j)"""
+
+
+@_query("op12_centroid_clusters", _rounds_sql(40, 5, 2, 64, 256))
+def op12_centroid_clusters(spark, sf_dir):
+    return centroids.cluster_report(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2)
+
+
+@_query("op13_fill_in_middle", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS u,
+                  sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (SELECT *, len(u) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3,
+             CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                  WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, CAST(n AS BIGINT) AS n, form, text, coalesce(array_to_string(u[1:a], ''), '') AS prefix,
+             coalesce(array_to_string(u[a + 1:b], ''), '') AS middle, coalesce(array_to_string(u[b + 1:], ''), '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p""")
+def op13_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.fim_report(_table(spark, sf_dir, "documents"), seed=42, rate=50, spm=80)
+
+
 def queries():
     return dict(QUERIES)
 
