@@ -27,6 +27,39 @@ def _(spark, sf):
     return readers.flat_rows(lines, ["l_orderkey", "l_linenumber"])
 
 
+_AXES = [f"{j}_{a}" for j in KP17 for a in ("px", "py")]
+
+
+@query("src3_files_with_own_headers", "WITH $WIDE SELECT 's' || swing_id AS swing_id, CAST(frame + CASE WHEN swing_id % 4 = 3 THEN 100 ELSE 0 END AS INT) AS frame, "
+       + ", ".join(f"r6({c}) AS {c[:-2]}{c[-1]}" for c in _AXES) + ", CASE WHEN swing_id % 4 = 1 THEN 'a,\"b\" ' || frame END AS note FROM wide")
+def _(spark, sf):
+    """Four header forms: x before y, tabs with y before x, a byte-order mark with quotes and blanks, columns from the last joint on with a frame of their own."""
+    wide = reshape.tidy_to_wide(masked(spark, sf), axes="xy")
+    names = [f"{j}_{a}" for j in KP17 for a in "xy"]
+    swapped = [f"{j}_{a}" for j in KP17 for a in "yx"]
+    note = F.concat(F.lit('"a,""b"" '), F.col("frame").cast("string"), F.lit('"'))
+    forms = [(",", names, "{}", "", []), (",", [*names, "note"], " {} ", "\ufeff", [note]), ("\t", swapped, "{}", "", []), (",", [*names[::-1], "frame"], '"{}"', "", [])]
+
+    def line(form, head: bool):
+        sep, cols, quote, mark, own = form
+        if head:
+            return F.lit(mark + sep.join(quote.format(c) for c in cols))
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols if c in names] + own
+        return F.concat_ws(sep, *cells, *([(F.col("frame") + 100).cast("string")] if "frame" in cols else []))
+
+    def text(head: bool):
+        out = F.lit(None).cast("string")
+        for k, form in enumerate(forms):
+            out = F.when(F.col("swing_id") % 4 == k, line(form, head)).otherwise(out)
+        return out
+
+    file = F.concat(F.lit("s"), F.col("swing_id").cast("string")).alias("file")
+    body = wide.select(file, F.floor(F.col("frame") / 32).alias("part"), F.col("frame").alias("at"), text(False).alias("value"))
+    heads = wide.select("swing_id").distinct().select(file, F.lit(0).cast("long").alias("part"), F.lit(-1).alias("at"), text(True).alias("value"))
+    rows = readers.headed_rows(body.unionByName(heads), "file", "part", "at")
+    return rows.select(F.col("file").alias("swing_id"), "frame", *[r6(F.col(c).cast("double")).alias(c) for c in names], "note")
+
+
 @query("src5_id_lines", "SELECT source || '_' || doc_id AS id FROM documents WHERE doc_id % 4 <> 0")
 def _(spark, sf):
     named = F.concat(F.lit("  "), "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(" "))

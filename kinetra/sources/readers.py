@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from kinetra.operators import reshape
 from kinetra.operators.pairing import stem
@@ -55,21 +55,58 @@ def _numbered(rows: DataFrame) -> DataFrame:
 _ORDER = (F.monotonically_increasing_id, "_metadata.file_block_start")
 
 
-def skeleton_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Wide skeleton rows; comma or tab separated, byte-order marks and blanks in the header removed.
+def _cells(line: Column, sep: Column) -> Column:
+    """The cells of one delimited line, stripped of blanks; quoted ones may hold the separator and doubled quotes."""
+    plain = F.split(line, sep, -1)
+    cell = F.concat(F.lit('( *"(?:[^"]|"")*" *|[^'), sep, F.lit("]*)("), sep, F.lit("|$)"))
+    whole = F.regexp_extract_all(line, cell, F.lit(1))
+    # The pattern also meets the empty end of the line, unless the last cell is empty itself.
+    whole_cells = F.when(F.endswith(line, sep), whole).otherwise(F.slice(whole, F.lit(1), F.size(whole) - 1))
+    cells = F.transform(F.when(F.contains(line, F.lit('"')), whole_cells).otherwise(plain), lambda c: F.trim(c))
+    bare = F.transform(cells, lambda c: F.when(c.rlike('^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    return F.when(F.contains(line, F.lit('"')), bare).otherwise(cells)
 
-    All files of one read share a header; `frame` is the row's place where the file has none.
+
+def headed_rows(lines: DataFrame, file: str, part: str, at: str, value: str = "value", names: list[str] | None = None) -> DataFrame:
+    """Rows of many delimited files, each mapped by the header of its own: file, frame, and a text column per name.
+
+    `lines` has one row per line: its file, the part of the file it was read in, its place in that part and its text. Files may
+    differ in separator (comma, else tab), order and number of columns, byte-order mark, blanks and quotes; of equal names in
+    one header the first counts, and a file without a name, or a line that is too short, gives null there. `names` are the columns to read;
+    without them all headers are looked through once, and the union of their names is taken in order of first letters.
+    `frame` is the file's own where its header has one, else the row's place. Blank lines don't count.
+
+    Headers and row counts come from one aggregation by (file, part) and return to the rows by that key, so that a
+    large file stays spread over its parts.
     """
-    def read(sep: str) -> DataFrame:
-        return spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8").csv(path)
-
-    df = read(",")
-    if len(df.columns) == 1:
-        df = read("\t")
-    names = [c.strip().replace("\ufeff", "") for c in df.columns]
-    df = df.select("*", stem(_path()).alias("swing_id"), _ORDER[0]().alias("_at"), F.col(_ORDER[1]).alias("_split"))
-    df = df.toDF(*names, "swing_id", "_at", "_split")
-    return df.drop("_at", "_split") if "frame" in names else _numbered(df)
+    key = F.struct(F.col(file).alias("file"), F.col(part).alias("part"))
+    rows = lines.filter(F.trim(value) != "").select(key.alias("_key"), F.col(at).alias("_at"), F.col(value).alias("_line"))
+    heads = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min_by("_line", "_at").alias("_first"))
+    in_file = Window.partitionBy("_key.file").orderBy("_key.part")
+    heads = heads.select("_key", F.first("_first").over(in_file).alias("_head"),
+                         F.coalesce(F.sum("_n").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    head = F.regexp_replace("_head", "^\ufeff", "")
+    sep = F.when(~F.contains(head, F.lit(",")) & F.contains(head, F.lit("\t")), F.lit("\t")).otherwise(F.lit(","))
+    heads = heads.select("_key", "_before", sep.alias("_sep"), F.transform(_cells(head, sep), lambda c: F.replace(c, F.lit("\ufeff"), F.lit(""))).alias("_names"))
+    if names is None:
+        found = heads.select(F.explode("_names").alias("name")).distinct().filter("name <> ''").collect()  # as many as the table is wide
+        names = sorted(r.name for r in found)
+    # Where each wanted name stands in a header is looked up once per part, not per row.
+    wanted = F.array(*[F.lit(n) for n in ("frame", *names)])
+    heads = heads.select("_key", "_before", "_sep", F.transform(wanted, lambda n: F.array_position("_names", n).cast("int")).alias("_places"))
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("_at")) - 1
+    body = rows.withColumn("_local", place).join(heads, "_key").withColumn("_row", F.col("_local") + F.col("_before")).filter("_row > 0")
+    cells = body.select(F.col("_key.file").alias("_file"), "_row", "_places", _cells(F.col("_line"), F.col("_sep")).alias("_cells"))
+    values = F.transform("_places", lambda i: F.when(i > 0, F.nullif(F.get(F.col("_cells"), i - 1), F.lit(""))))
+    values = cells.select("_file", "_row", values.alias("_values"))
+    frame = F.coalesce(F.col("_values")[0].try_cast("int"), (F.col("_row") - 1).cast("int"))
+    return values.select(F.col("_file").alias(file), frame.alias("frame"), *[F.col("_values")[i + 1].alias(n) for i, n in enumerate(names) if n != "frame"])
+
+
+def skeleton_csv(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """Wide skeleton rows (swing_id, frame and the columns as text) of files that may each have a header of their own; see `headed_rows`."""
+    lines = spark.read.text(path).select(stem(_path()).alias("swing_id"), F.col(_ORDER[1]).alias("_split"), _ORDER[0]().alias("_at"), "value")
+    return headed_rows(lines, "swing_id", "_split", "_at", names=names)
 
 
 def check_columns(df: DataFrame) -> None:
