@@ -19,6 +19,12 @@ def r6(c: Column | str) -> Column:
     return F.when(F.abs(c) < 5e-7, F.lit(0.0)).otherwise(F.round(c, 6))
 
 
+def r9(c: Column | str) -> Column:
+    """Nine decimals, for means whose exact values end at the seventh and so lie on ties of the sixth."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.abs(c) < 5e-10, F.lit(0.0)).otherwise(F.round(c, 9))
+
+
 def _expand(sql: str) -> str:
     """Fill in view texts and r6(...) calls (innermost parentheses are matched by counting)."""
     for name in sorted(VIEWS, key=len, reverse=True):

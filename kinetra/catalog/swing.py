@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from kinetra.catalog.motion import masked, out
-from kinetra.catalog.registry import query, r6
+from kinetra.catalog.registry import query, r6, r9
 from kinetra.operators import clean, kinematics as K, reshape
 from kinetra.operators.smooth import median_then_mean
 from kinetra.plans import metrics as M
@@ -153,7 +153,7 @@ s2 AS (SELECT s1.*, plane.plane AS chosen_plane, 100 * (back_at_top_com_x - addr
 
 
 @query("agg5_com_shift_summary", _SHIFT + """
-SELECT swing_id, impact_frame, backswing_top_frame, transition_frame, chosen_plane, r6(stance_width) AS stance_width, r6(addr_com_x) AS addr_com_x,
+SELECT swing_id, impact_frame, backswing_top_frame, transition_frame, chosen_plane, r6(stance_width) AS stance_width, CASE WHEN abs(addr_com_x) < 0.0000000005 THEN 0.0 ELSE round(addr_com_x, 9) END AS addr_com_x,
  r6(back_shift_pct) AS back_shift_pct, r6(down_shift_pct) AS down_shift_pct, r6(impact_offset_pct) AS impact_offset_pct, r6(rms_pct) AS rms_pct,
  CASE WHEN back_shift_pct IS NULL THEN '정보 없음' WHEN back_shift_pct > -10 THEN '부족' WHEN back_shift_pct BETWEEN -25 AND -15 THEN '적정' WHEN back_shift_pct < -30 THEN '과다' ELSE '보통' END AS back_shift_grade,
  CASE WHEN down_shift_pct IS NULL THEN '정보 없음' WHEN down_shift_pct < 10 THEN '부족' WHEN down_shift_pct BETWEEN 20 AND 30 THEN '적정' WHEN down_shift_pct > 35 THEN '과다' ELSE '보통' END AS down_shift_grade
@@ -161,7 +161,7 @@ FROM s2""")
 def _(spark, sf):
     s = M.com_shift(masked(spark, sf), P3, fx.sequence(spark, sf)).summary
     return s.select("swing_id", "impact_frame", "backswing_top_frame", "transition_frame", "chosen_plane",
-                    *[r6(c).alias(c) for c in ("stance_width", "addr_com_x", "back_shift_pct", "down_shift_pct", "impact_offset_pct", "rms_pct")],
+                    r9("addr_com_x").alias("addr_com_x"), *[r6(c).alias(c) for c in ("stance_width", "back_shift_pct", "down_shift_pct", "impact_offset_pct", "rms_pct")],
                     "back_shift_grade", "down_shift_grade")
 
 

@@ -73,6 +73,17 @@ def first_max(value: Column, order: str = "frame", among: Column | None = None)
     return F.max_by(F.col(order), F.when(ok, F.struct(F.round(value, 9).alias("v"), (-F.col(order)).alias("o"))))
 
 
+def few_rows(value: str, among: Column, order: str = "frame") -> Column:
+    """Aggregate: (order, value) of the few rows that `among` picks, missing values left out."""
+    return F.collect_list(F.when(among & F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+
+
+def mean_in_order(rows: Column) -> Column:
+    """Mean of collected (o, v) rows, added up in order: the same to the last bit however rows are split."""
+    total = F.aggregate(F.array_sort(rows), F.lit(0.0), lambda acc, r: acc + r["v"])
+    return F.when(F.size(rows) > 0, total / F.size(rows))
+
+
 def strict_crossing(wrist: str, mid: str, w) -> Column:
     """The wrist passes the stance middle upwards between two valid frames."""
     x, m = F.col(wrist), F.col(mid)

@@ -94,10 +94,9 @@ def com_shift(pose: DataFrame, p: Params, seq: Sequence) -> MetricResult:
     else:
         laid = laid.withColumns({"plane": F.lit("2D"), "xf": F.lit(None).cast("double")})
         top_of = F.abs("com_rel_x")
-    laid = seq.attach(laid, {"_top": K.first_max(top_of, among=before),
-                             "_addr": F.avg(F.when(F.col("frame") < 5, F.col("com_rel_x")))},
+    laid = seq.attach(laid, {"_top": K.first_max(top_of, among=before), "_addr": K.few_rows("com_rel_x", F.col("frame") < 5)},
                       {"stance_width": (F.col("stance_inst"), 0.5)})
-    laid = laid.withColumn("_top", F.coalesce("_top", F.lit(0)))
+    laid = laid.withColumns({"_top": F.coalesce("_top", F.lit(0)), "_addr": K.mean_in_order(F.col("_addr"))})
     laid = K.find_transition(laid, seq, "com_rel_x", "_top", "impact")
     rel = F.col("com_rel_x")
     out = seq.summarise(laid, {
