@@ -8,7 +8,7 @@ from kinetra.catalog.registry import query, r6
 from kinetra.operators import cluster
 from kinetra.operators.sequence import number_rows
 from kinetra.sources import fixtures as fx, writers
-from kinetra.streaming import filters, jobs, run
+from kinetra.streaming import jobs, keyed, ledger, run
 
 _LATEST = """WITH $JOBS SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max(result_path, (ts, event_id)) FILTER (WHERE result_path IS NOT NULL) AS result_path, count(*) AS updates FROM jobs GROUP BY 1"""
 
@@ -43,14 +43,85 @@ def _(spark, sf):
     return jobs.wait_for_both(a, b, 90000).select("event_id", "job_id", "payload", "state")
 
 
+def _later(spark, **values):
+    """One row far behind all others in time, which closes a stream."""
+    return spark.range(1).select(*[F.lit(v).cast(t).alias(n) for n, (v, t) in values.items()])
+
+
+_FAR = ("2100-01-01", "timestamp")
+
+
+@query("str2_wait_for_both_stream", _BOTH)
+def _(spark, sf):
+    j = fx.jobs(spark, sf)
+    a = j.filter("status = 'PENDING'").select("job_id", "event_id", "ts")
+    b = j.filter("status = 'COMPLETED'").select("job_id", "ts", F.col("event_id").alias("payload"))
+    none, far = ("", "string"), (-1, "long")
+    first = run.staged(a, 3, "ts", _later(spark, job_id=none, event_id=far, ts=_FAR))
+    second = run.staged(b, 3, "ts", _later(spark, job_id=none, ts=_FAR, payload=far))
+    return run.run_append(spark, jobs.wait_for_both(first, second, 90000)).filter("event_id >= 0").select("event_id", "job_id", "payload", "state")
+
+
 @query("str4_live_ema", """WITH RECURSIVE $FRAMES, r AS (SELECT swing_id, frame, v AS y FROM frames WHERE frame = 0 UNION ALL
  SELECT f.swing_id, f.frame, 0.2 * f.v + 0.8 * r.y FROM r JOIN frames f ON f.swing_id = r.swing_id AND f.frame = r.frame + 1)
 SELECT f.event_id, r6(r.y) AS filtered FROM r JOIN frames f ON f.swing_id = r.swing_id AND f.frame = r.frame""")
 def _(spark, sf):
-    ev = run.stream_table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
+    return _live(spark, sf, 40 * _DAY)[0].select("event_id", r6("filtered").alias("filtered"))
+
+
+_DAY = 86400
+
+
+def _live(spark, sf, idle, **options):
+    """The events of each user as a live series, in four micro-batches: what the filter put out, and the folder of its run."""
+    ev = fx.table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     folder = run.scratch(spark)
-    filters.live_filter(spark, ev, folder, ["user_id"], ["ts", "event_id"], F.to_date("ts"), "value").awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").select("event_id", r6("filtered").alias("filtered"))
+    keyed.start(spark, keyed.keyed_filter(run.staged(ev, 4, "ts"), ["user_id"], ["ts", "event_id"], "value", idle=idle, **options), folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows"), folder
+
+
+_CUT = "(1.0e0 / (1.0e0 + (1.0e0 / (6.283185307179586e0 * ({}))) / 0.03333333333333333e0))"
+_GAIN = _CUT.format("1.0e0 + 0.007e0 * abs(q.dh)")
+
+
+@query("str4_live_one_euro", f"""WITH RECURSIVE $FRAMES, r AS (SELECT swing_id, frame, event_id, v AS y, 0e0 AS dh FROM frames WHERE frame = 0 UNION ALL
+ SELECT q.swing_id, q.frame, q.event_id, {_GAIN} * q.v + (1 - {_GAIN}) * q.py, q.dh
+ FROM (SELECT f.swing_id, f.frame, f.event_id, f.v, r.y AS py, {_CUT.format('1.0e0')} * (f.v - r.y) + (1 - {_CUT.format('1.0e0')}) * r.dh AS dh
+       FROM r JOIN frames f ON f.swing_id = r.swing_id AND f.frame = r.frame + 1) q)
+SELECT event_id, CAST(frame + 1 AS BIGINT) AS frames, r6(y) AS filtered FROM r""")
+def _(spark, sf):
+    return _live(spark, sf, 40 * _DAY, method="oneeuro")[0].select("event_id", "frames", r6("filtered").alias("filtered"))
+
+
+@query("str4_idle_series_forgotten", """WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1)
+SELECT user_id FROM l WHERE last + INTERVAL 21600 SECOND > (SELECT max(last) FROM l)""")
+def _(spark, sf):
+    """Series whose state is still held at the end: those with a frame in the last six hours."""
+    return keyed.states(spark, _live(spark, sf, _DAY // 4)[1]).select("user_id")
+
+
+@query("str3_exactly_once", """SELECT doc_id, sum(n_chars) AS n_chars, count(*) AS rows, CASE WHEN doc_id % 7 = 3 THEN 'second' ELSE 'first' END AS run,
+ CASE WHEN doc_id % 7 = 3 THEN 2 ELSE 1 END AS attempts, CASE WHEN doc_id % 7 = 3 THEN 'no frames' END AS error FROM documents GROUP BY doc_id""")
+def _(spark, sf):
+    """A run in three micro-batches in which some files fail, a batch that comes again, one that is cut short, and a second run."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "n_chars")
+    folder, path = run.scratch(spark), "doc_id"
+
+    def process(df, bad=F.lit(False)):
+        return df.withColumns({"status": F.when(bad, "failed").otherwise("done"), "error": F.when(bad, "no frames")})
+
+    def failing(df):
+        return process(df, F.col("doc_id") % 7 == 3)
+
+    ledger.ingest(run.staged(docs, 3, "doc_id"), failing, folder, "first", path).awaitTermination()
+    ledger.land(docs, "first", 1, process, folder, path)
+    ledger.land(docs, "lost", 0, process, folder, path, commit=False)
+    ledger.ingest(run.staged(docs, 2, "doc_id"), process, folder, "second", path).awaitTermination()
+    rows = ledger.landed(spark, folder, path).groupBy("doc_id").agg(F.sum("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("rows"))
+    seen = ledger.entries(spark, folder, path).join(ledger.committed(spark, folder).select("batch", "run"), "batch")
+    seen = seen.groupBy("doc_id").agg(F.max(F.when(F.col("status") == "done", F.col("run"))).alias("run"),
+                                      F.count(F.lit(1)).cast("int").alias("attempts"), F.max("error").alias("error"))
+    return rows.join(seen, "doc_id")
 
 
 @query("str5_notify_once", """WITH $JOBS SELECT DISTINCT job_id, owner FROM jobs WHERE status = 'COMPLETED'""")
@@ -59,16 +130,39 @@ def _(spark, sf):
     return jobs.notify_once(j, j.select("job_id", "owner").distinct())
 
 
-@query("str6_backfill", """WITH f AS (SELECT event_id, user_id AS request_id, ts FROM events WHERE event_type = 'view'), r AS (SELECT user_id AS request_id, min(ts) AS ts, arg_min(value, ts) AS result FROM events WHERE event_type = 'purchase' GROUP BY 1)
-SELECT f.event_id, f.request_id, r6(r.result) AS result FROM f LEFT JOIN r ON f.request_id = r.request_id AND r.ts >= f.ts AND r.ts <= f.ts + INTERVAL 86400 SECOND""")
-def _(spark, sf):
+_BACKFILL = """WITH f AS (SELECT event_id, user_id AS request_id, ts FROM events WHERE event_type = 'view'), r AS (SELECT user_id AS request_id, min(ts) AS ts, arg_min(value, ts) AS result FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT f.event_id, f.request_id, r6(r.result) AS result FROM f LEFT JOIN r ON f.request_id = r.request_id AND r.ts >= f.ts AND r.ts <= f.ts + INTERVAL 86400 SECOND"""
+
+
+def _frames_and_results(spark, sf):
     ev = fx.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     frames = ev.filter("event_type = 'view'").select("event_id", F.col("user_id").alias("request_id"), "ts")
     res = ev.filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("request_id")).agg(
         F.min("ts").alias("ts"), F.min_by("value", "ts").alias("result"))
+    return frames, res
+
+
+@query("str6_backfill", _BACKFILL)
+def _(spark, sf):
+    frames, res = _frames_and_results(spark, sf)
     return jobs.backfill(frames, res, 86400).select("event_id", "request_id", r6("result").alias("result"))
 
 
+@query("str5_notify_once_stream", """WITH $JOBS SELECT DISTINCT job_id, owner FROM jobs WHERE status = 'COMPLETED'""")
+def _(spark, sf):
+    j = fx.jobs(spark, sf)
+    return run.run_append(spark, jobs.notify_once(run.staged(j.select("job_id", "owner", "status", "ts"), 3, "ts"), j.select("job_id", "owner").distinct()))
+
+
+@query("str6_backfill_stream", _BACKFILL)
+def _(spark, sf):
+    frames, res = _frames_and_results(spark, sf)
+    far, number = (-1, "long"), (0, "double")
+    frames = run.staged(frames, 3, "ts", _later(spark, event_id=far, request_id=far, ts=_FAR))
+    res = run.staged(res, 3, "ts", _later(spark, request_id=(-2, "long"), ts=_FAR, result=number))
+    return run.run_append(spark, jobs.backfill(frames, res, 86400)).filter("event_id >= 0").select("event_id", "request_id", r6("result").alias("result"))
+
+
 # ---- clusters and document forms ---------------------------------------------------------------
 
 @query("ml8_box_clusters")

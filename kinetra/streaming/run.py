@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinetra.operators.sequence import shared_folder
 
@@ -31,3 +31,27 @@ def run_complete(spark: SparkSession, stream: DataFrame) -> DataFrame:
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def staged(df: DataFrame, slices: int, by: str, closing: DataFrame | None = None) -> DataFrame:
+    """`df` as a stream of `slices` micro-batches that follow the range of `by`, a time or a number, written to a folder of their own.
+
+    `closing` rows, far behind in time, make one more: they move the watermark past everything that waits.
+    """
+    spark, folder = df.sparkSession, scratch(df.sparkSession)
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    for k in range(slices if low is not None else 0):
+        a, b = (low + (high - low) * i / slices for i in (k, k + 1))
+        part = df.filter((F.col(by) >= F.lit(a)) & (F.col(by) < F.lit(b)) if k < slices - 1 else F.col(by) >= F.lit(a))
+        part.coalesce(1).write.parquet(f"{folder}/slice={k}")
+    if low is None or closing is not None:
+        (df.limit(0) if closing is None else closing).coalesce(1).write.parquet(f"{folder}/slice={slices}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+
+
+def run_append(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """All rows that a stream appends until its source is read."""
+    out = scratch(spark)
+    (stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append")
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
