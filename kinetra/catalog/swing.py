@@ -549,6 +549,31 @@ def _(spark, sf):
                       at("metrics.xfactor.reason").alias("reason"))
 
 
+@query("udf3_failures_at_run_time", """WITH $CLEAN, c AS (SELECT swing_id, frame, avg(x) AS cx, avg(y) AS cy FROM clean GROUP BY 1, 2)
+SELECT swing_id::VARCHAR AS job_id, 'px/s' AS unit, CASE WHEN swing_id % 50 <> 7 THEN CAST(count(*) AS DOUBLE) / (swing_id % 50 - 7) END AS ratio,
+ CASE WHEN swing_id % 50 = 7 THEN 'DIVIDE_BY_ZERO' END AS failure FROM c GROUP BY swing_id""")
+def _(spark, sf):
+    """A metric that divides by zero on some swings: they show the error, all others their summaries."""
+    def dividing(pose, p, seq):
+        frames = pose.select(*seq.keys, "frame").distinct()
+        rows = frames.groupBy(*seq.keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        return M.MetricResult(rows.select(*seq.keys, (F.col("n") / (F.col("swing_id") % 50 - 7)).alias("ratio")), frames)
+
+    M.register_metric("dividing", dividing)
+    try:
+        results, errors, failures = M.run_guarded(masked(spark, sf), P2, fx.sequence(spark, sf), ["com_speed", "dividing"])
+    finally:
+        del M.REGISTRY["dividing"]
+    doc = M.summary_document(results, ["swing_id"], "2d", errors, failures=failures)
+
+    def at(path: str):
+        return F.get_json_object("document", f"$.metrics.{path}")
+
+    return doc.select(F.get_json_object("document", "$.job_id").alias("job_id"), at("com_speed.summary.unit").alias("unit"),
+                      at("dividing.summary.ratio").cast("double").alias("ratio"),
+                      F.nullif(F.regexp_extract(at("dividing.error"), r"\[([A-Z_]+)", 1), F.lit("")).alias("failure"))
+
+
 @query("snk7_frame_documents", """WITH $CLEAN""" + _COM3 + """ SELECT swing_id, 'com' AS metric, '{' || string_agg('"' || frame || '":{"known":' || CASE WHEN cx IS NULL THEN 'null' ELSE 'true' END || '}', ',' ORDER BY frame) || '}' AS document FROM c GROUP BY 1""")
 def _(spark, sf):
     r = M.com_speed(masked(spark, sf), P3, fx.sequence(spark, sf))

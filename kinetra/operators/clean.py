@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinetra.operators.sequence import Sequence
+from kinetra.operators.sequence import Sequence, by_length
 
 AXES = ("x", "y", "conf", "X3", "Y3", "Z3")
 SWING = Sequence()
@@ -70,6 +70,7 @@ def centre_on_joint(df: DataFrame, joint: int = 8, eps: float = 1e-5) -> DataFra
     return df.withColumns(scaled).drop("_mean", "_std")
 
 
+@by_length
 def match_distribution(df: DataFrame, mean: float, std: float, seq: Sequence = SWING) -> DataFrame:
     """Shift all coordinates of a sample to a target mean and spread; flat samples become zero."""
     laid = seq.lay_out(zero_non_finite(df, ("x", "y")))
@@ -121,6 +122,7 @@ def normalised_flag(df: DataFrame, seq: Sequence = SWING) -> DataFrame:
     return r.select(*seq.keys, F.coalesce((F.col("_x") < 1) & (F.col("_y") < 2), F.lit(False)).alias("is_normalised"))
 
 
+@by_length
 def fit_to_range(df: DataFrame, width: int, height: int, margin: float = 0.1, small: float = 2.0,
                  seq: Sequence = SWING) -> DataFrame:
     """Swings whose coordinates all lie within +-small are stretched over the image with a margin."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinetra.operators.sequence import Sequence
+from kinetra.operators.sequence import Sequence, by_length
 
 
 def clip_statistics(pose: DataFrame, keys: tuple[str, ...] = ("swing_id",), by: tuple[str, ...] = ("split", "label")) -> DataFrame:
@@ -53,6 +53,7 @@ def sequence_completeness(files: DataFrame, keys: tuple[str, ...] = ("prefix",),
     return out.withColumn("status", F.when(F.col("n") <= min_count, "short").when(F.col("gap") > max_gap, "gap").otherwise("keep"))
 
 
+@by_length
 def gap_clusters(files: DataFrame, seq: Sequence, gap: int = 5) -> DataFrame:
     """Cluster number per row: a new cluster starts where the number jumps by more than `gap`.
 
@@ -78,6 +79,7 @@ def side_impact(points: list[tuple[Column, Column]], limit: float) -> Column:
     return total < limit
 
 
+@by_length
 def address_pose(files: DataFrame, seq: Sequence, wrists: list[str], points: str | None = None, need: int = 10) -> DataFrame:
     """Wrist coordinates of each title's first frame as a_<column>; titles whose first frame has
     fewer than `need` points are dropped."""
@@ -91,6 +93,7 @@ def address_pose(files: DataFrame, seq: Sequence, wrists: list[str], points: str
     return seq.done(laid)
 
 
+@by_length
 def late_detections(files: DataFrame, seq: Sequence, hit: str = "hit") -> DataFrame:
     """Rule A: of the detections after the first cluster, the last floor(n / 2); a single one stays."""
     found = F.when((F.col("cluster") >= 1) & F.col(hit), 1).otherwise(0)
@@ -107,6 +110,7 @@ def cluster_impact_ratio(files: DataFrame, keys: tuple[str, ...], hit: str = "hi
     return out.withColumn("is_impact", F.col("impacts") >= F.col("total") / 2)
 
 
+@by_length
 def majority_clusters(files: DataFrame, seq: Sequence, margin: int = 2, hit: str = "hit") -> DataFrame:
     """Rule B: every file within `margin` numbers of a cluster that is mostly detections."""
     inner = seq.on(*seq.keys, "cluster")
@@ -127,6 +131,7 @@ def slice_groups(files: DataFrame, prefix: str, part: str, name: str) -> DataFra
     return out.filter(F.col("parts") > 1)
 
 
+@by_length
 def sub_sequences(files: DataFrame, seq: Sequence, name: str, length: int = 5) -> DataFrame:
     """Every run of `length` consecutive files of a sequence."""
     laid = seq.lay_out(files, after=length - 1)
@@ -142,6 +147,7 @@ def drop_short_clips(clips: DataFrame, duration: str = "duration", threshold: fl
     return clips.filter(~((F.col(duration) > 0) & (F.col(duration) < threshold)))
 
 
+@by_length
 def cut_segments(cuts: DataFrame, seq: Sequence, cut: str = "cut", duration: str = "duration", min_length: float = 0.01) -> DataFrame:
     """Segments between 0, the cut times and the end, without empty ones; numbered per video."""
     laid = seq.lay_out(cuts, 1, 1)

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinetra.operators.sequence import Sequence
+from kinetra.operators.sequence import Sequence, by_length
 from kinetra.operators.smooth import lerp, median_then_mean
 
 PLANES = {"X-Z": ("X", "Z"), "X-Y": ("X", "Y"), "Y-Z": ("Y", "Z")}
@@ -256,6 +256,7 @@ def clean_runs(laid: DataFrame, seq: Sequence, c: str, min_true: int, max_false:
     return laid
 
 
+@by_length
 def motion_signal(pose: DataFrame, seq: Sequence) -> DataFrame:
     """Mean joint movement per frame, the most active person where there are several."""
     joint = seq.on(*seq.keys, "person_idx", "joint_idx")
@@ -270,6 +271,7 @@ def box_smooth(c: str, window: int, seq: Sequence) -> Column:
     return F.sum(c).over(seq.window(-(window // 2), (window - 1) // 2)) / window
 
 
+@by_length
 def static_trim(
     pose: DataFrame, seq: Sequence, fps: int = 30, smooth_s: float = 0.2, min_true_s: float = 0.15,
     max_false_s: float = 0.3, pad_s: float = 0.1,

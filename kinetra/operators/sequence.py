@@ -15,8 +15,11 @@ shuffled on (keys, block), so a long sequence is spread over many tasks:
 
 from __future__ import annotations
 
+import inspect
 import tempfile
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -50,6 +53,8 @@ class Sequence:
     block: int = 4096
     # Rows of the longest sequence, where known; None takes the path for any length.
     longest: int | None = None
+    # Rows are partitioned by the keys already.
+    gathered: bool = False
 
     def on(self, *keys: str) -> Sequence:
         return replace(self, keys=keys)
@@ -63,6 +68,33 @@ class Sequence:
     def fits(self) -> bool:
         return self.longest is not None and self.longest <= self.block
 
+    def gather(self, df: DataFrame) -> DataFrame:
+        """Rows partitioned by the keys and settled so that Spark knows it: what is grouped by the keys afterwards needs no shuffle.
+
+        For sequences that fit a block; a plan that adapts while it runs would not tell how its rows came to lie.
+        """
+        spark = df.sparkSession
+        before = spark.conf.get("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            return cut_lineage(df.repartition(*self.keys))
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", before)
+
+    def parts(self, df: DataFrame) -> list[tuple[DataFrame, Sequence]]:
+        """The rows with the layout that suits their own sequences: whole windows where a sequence fits a block, blocks for longer ones.
+
+        One part where nothing was measured or everything fits. Otherwise the table is settled once and cut by the blocks of
+        its long sequences, so that not even the join that tells them apart gathers one of them.
+        """
+        if self.longest is None or self.fits:
+            return [(df, self)]
+        settled = cut_lineage(df).withColumn(BLK, F.floor(F.col(self.order).cast("long") / self.block))
+        tops = settled.groupBy(*self.keys).agg(F.max(BLK).alias("_top")).filter(F.col("_top") > 0)
+        beyond = tops.select(*self.keys, F.explode(F.sequence(F.lit(0).cast("long"), "_top")).alias(BLK))
+        return [(settled.join(beyond, [*self.keys, BLK], how).drop(BLK), replace(self, longest=longest))
+                for how, longest in (("left_anti", self.block), ("left_semi", None))]
+
     @property
     def part(self) -> list[str]:
         return list(self.keys) if self.fits else [*self.keys, BLK]
@@ -74,7 +106,7 @@ class Sequence:
         where a finer grouping comes first.
         """
         if self.fits:
-            return df.repartition(*self.keys) if gather else df
+            return df.repartition(*self.keys) if gather and not self.gathered else df
         if max(before, after) > self.block:
             raise ValueError("a halo may not be longer than a block")
         pos = F.col(self.order).cast("long")
@@ -195,6 +227,24 @@ class Sequence:
         return self.core(laid).groupBy(*self.keys).agg(*[a.alias(n) for n, a in aggs.items()])
 
 
+def by_length(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Runs an operator (table, .., seq) on each of the sequence's `parts` and puts the results together."""
+    signature = inspect.signature(operator)
+    table = next(iter(signature.parameters))
+
+    @wraps(operator)
+    def run(*args, **options) -> DataFrame:
+        call = signature.bind(*args, **options)
+        call.apply_defaults()
+        out = None
+        for rows, seq in call.arguments["seq"].parts(call.arguments[table]):
+            call.arguments.update({table: rows, "seq": seq})
+            part = operator(*call.args, **call.kwargs)
+            out = part if out is None else out.unionByName(part)
+        return out
+    return run
+
+
 def number_rows(
     df: DataFrame, keys: list[str], order: list[Column], slice_: Column,
     name: str = "row", total: str | None = None,

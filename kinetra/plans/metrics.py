@@ -12,7 +12,8 @@ from kinetra.functions import rules
 from kinetra.operators import kinematics as K
 from kinetra.operators.clean import primary_person, speed_units, three_dimensional, unit_scale
 from kinetra.operators.reshape import frame_map, tidy_to_wide
-from kinetra.operators.sequence import Sequence
+from kinetra.operators import sequence
+from kinetra.operators.sequence import Sequence, cut_lineage
 from kinetra.schema import Params
 
 
@@ -28,18 +29,17 @@ Metric = Callable[[DataFrame, Params, Sequence], MetricResult]
 def by_length(metric: Metric) -> Metric:
     """Lets each swing have its own layout: windows over whole swings where they fit a block, blocks for longer ones.
 
-    Without a measured longest swing, or if it fits, one layout serves all.
+    `on_parts` takes the parts of a table that several metrics share.
     """
+    def on_parts(parts: list[tuple[DataFrame, Sequence]], p: Params) -> MetricResult:
+        out = [metric(rows, p, seq) for rows, seq in parts]
+        return out[0] if len(out) == 1 else MetricResult(out[0].summary.unionByName(out[1].summary), out[0].frames.unionByName(out[1].frames))
+
     @wraps(metric)
     def run(pose: DataFrame, p: Params, seq: Sequence) -> MetricResult:
-        if seq.longest is None or seq.fits:
-            return metric(pose, p, seq)
-        keys = list(seq.keys)
-        tops = pose.groupBy(*keys).agg(F.max(seq.order).alias("_top"))
-        beyond = tops.filter(F.col("_top") >= seq.block).select(*keys)
-        short = metric(pose.join(beyond, keys, "left_anti"), p, replace(seq, longest=seq.block))
-        long_ = metric(pose.join(beyond, keys, "left_semi"), p, replace(seq, longest=None))
-        return MetricResult(short.summary.unionByName(long_.summary), short.frames.unionByName(long_.frames))
+        return on_parts(seq.parts(pose), p)
+
+    run.on_parts = on_parts
     return run
 
 
@@ -172,6 +172,7 @@ def head_speed(pose: DataFrame, p: Params, seq: Sequence) -> MetricResult:
 PAIRS = [("LShoulder", "RShoulder"), ("LHip", "RHip"), ("LAnkle", "RAnkle")]
 
 
+@sequence.by_length
 def pair_calibration(pose: DataFrame, seq: Sequence, joint_a: str, joint_b: str, real_length_m: float) -> DataFrame:
     """Metres per pixel from the median distance of two joints of known length."""
     laid = _wide(pose, seq, [joint_a, joint_b], "xy", 0)
@@ -181,6 +182,7 @@ def pair_calibration(pose: DataFrame, seq: Sequence, joint_a: str, joint_b: str,
     return seq.summarise(laid, {"px_median": F.max("px")}).withColumn("m_per_px", F.lit(real_length_m) / F.col("px_median"))
 
 
+@sequence.by_length
 def auto_calibration(pose: DataFrame, p: Params, seq: Sequence) -> DataFrame:
     """Metres per pixel from the widest, then steadiest, of three joint pairs; the real length is the
     shoulder width whichever pair is used."""
@@ -346,22 +348,109 @@ def skipped(p: Params, only: list[str] | None = None) -> dict[str, str]:
     return {} if p.dimension == "3d" else {n: NEEDS_3D[n] for n in only or list_metrics() if n in NEEDS_3D}
 
 
+def _shared(pose: DataFrame, seq: Sequence) -> list[tuple[DataFrame, Sequence]]:
+    """The pose, read once for all metrics, in the parts that they work on; whole swings lie together, so that metrics need no shuffle of it."""
+    if seq.longest is None:
+        return [(cut_lineage(pose), seq)]
+    if seq.fits:
+        return [(seq.gather(pose), replace(seq, gathered=True))]
+    (short, of_short), (long_, of_long) = seq.parts(pose)
+    return [(of_short.gather(short), replace(of_short, gathered=True)), (cut_lineage(long_), of_long)]
+
+
+def _planned(name: str, parts: list[tuple[DataFrame, Sequence]], p: Params) -> MetricResult:
+    metric = REGISTRY[name]
+    if hasattr(metric, "on_parts"):
+        return metric.on_parts(parts, p)
+    return by_length(metric).on_parts(parts, p)
+
+
 def run_all(pose: DataFrame, p: Params, seq: Sequence, only: list[str] | None = None) -> tuple[dict[str, MetricResult], dict[str, str]]:
-    """Every metric that applies; one that cannot be planned is reported, the others still run."""
-    results, errors = {}, {}
+    """Every metric that applies; one that cannot be planned is reported, the others still run. The pose is read once."""
+    results, errors, parts = {}, {}, _shared(pose, seq)
     for name in only or list_metrics():
         if name in skipped(p, only):
             continue
         try:
-            results[name] = REGISTRY[name](pose, p, seq)
+            results[name] = _planned(name, parts, p)
         except Exception as e:  # noqa: BLE001 - the message is the result
             errors[name] = f"{type(e).__name__}: {e}"
     return results, errors
 
 
+def _first_line(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}".split("\n")[0]
+
+
+def _settled(r: MetricResult) -> MetricResult:
+    return MetricResult(cut_lineage(r.summary), cut_lineage(r.frames))
+
+
+def _failing(name: str, parts: list[tuple[DataFrame, Sequence]], p: Params, keys: list[str], fan: int, most: int) -> list[tuple]:
+    """(keys.., message) of the swings that a metric fails on.
+
+    The swings are cut into `fan` shares by hash, those that fail into `fan` again, until a share is one swing.
+    """
+    found: list[tuple] = []
+    todo = [(1, 0)]
+    while todo:
+        cells, cell = todo.pop()
+        mine = F.pmod(F.xxhash64(*keys), F.lit(cells)) == cell
+        share = [(rows.filter(mine), seq) for rows, seq in parts]
+        try:
+            _settled(_planned(name, share, p))
+        except Exception as e:  # noqa: BLE001
+            ids = share[0][0].select(*keys)
+            for rows, _ in share[1:]:
+                ids = ids.unionByName(rows.select(*keys))
+            ids = ids.distinct().limit(2).collect()
+            if len(ids) < 2 or cells > 1 << 60:
+                found += [(*i, _first_line(e)) for i in ids]
+                if len(found) > most:
+                    raise
+            else:
+                todo += [(cells * fan, cell + cells * k) for k in range(fan)]
+    return found
+
+
+def run_guarded(
+    pose: DataFrame, p: Params, seq: Sequence, only: list[str] | None = None, fan: int = 8, most: int = 1000,
+) -> tuple[dict[str, MetricResult], dict[str, str], DataFrame]:
+    """As `run_all`, with failures at run time kept to the swings they happen on: (results, errors of whole metrics, failures).
+
+    Results are computed and stored here. A metric that fails is computed again without the swings that it fails on, which
+    are found by cutting the table into ever smaller shares; failures has the keys, metric and error of each. A
+    metric that fails on more than `most` swings counts as failing as a whole, as one that can't be planned does.
+    """
+    keys, parts = list(seq.keys), _shared(pose, seq)
+    results, errors, failures = {}, {}, []
+    for name in only or list_metrics():
+        if name in skipped(p, only):
+            continue
+        try:
+            planned = _planned(name, parts, p)
+        except Exception as e:  # noqa: BLE001
+            errors[name] = f"{type(e).__name__}: {e}"
+            continue
+        try:
+            results[name] = _settled(planned)
+        except Exception as e:  # noqa: BLE001
+            try:
+                bad = _failing(name, parts, p, keys, fan, most)
+                ids = pose.sparkSession.createDataFrame([b[:-1] for b in bad], parts[0][0].select(*keys).schema)
+                good = [(rows.join(F.broadcast(ids), keys, "left_anti"), seq) for rows, seq in parts]
+                results[name] = _settled(_planned(name, good, p))
+                failures += [(*b[:-1], name, b[-1]) for b in bad]
+            except Exception:  # noqa: BLE001
+                errors[name] = _first_line(e)
+    schema = parts[0][0].select(*keys).schema.add("metric", "string").add("error", "string")
+    return results, errors, pose.sparkSession.createDataFrame(failures, schema)
+
+
 def by_dimension(pose: DataFrame, p: Params, seq: Sequence, metric: str) -> DataFrame:
     """Summary over swings with depth in 3D and over all others in 2D."""
-    is3 = three_dimensional(pose, seq)
+    pose = cut_lineage(pose)
+    is3 = cut_lineage(three_dimensional(pose, seq))
     out = None
     for dim, flag in (("3d", True), ("2d", False)):
         part = pose.join(is3.filter(F.col("is_3d") == flag).select(*seq.keys), list(seq.keys), "left_semi")
@@ -371,13 +460,26 @@ def by_dimension(pose: DataFrame, p: Params, seq: Sequence, metric: str) -> Data
 
 
 def summary_document(results: dict[str, MetricResult], keys: list[str], dimension: str, errors: dict[str, str] | None = None,
-                     skips: dict[str, str] | None = None) -> DataFrame:
-    """One JSON document per swing: the summaries, and for other metrics their error or why they were skipped."""
+                     skips: dict[str, str] | None = None, failures: DataFrame | None = None) -> DataFrame:
+    """One JSON document per swing: the summaries, and for other metrics their error or why they were skipped.
+
+    With `failures` (keys, metric, error) of `run_guarded`, a metric that failed on a swing shows its error there, beside
+    the summaries of the other metrics; fields that don't apply are null.
+    """
     parts = None
     for name, r in results.items():
         s = r.summary.select(*keys, F.struct(*[c for c in r.summary.columns if c not in keys]).alias(name))
         parts = s if parts is None else parts.join(s, keys, "full_outer")
-    entries = [F.struct(F.col(n).alias("summary")).alias(n) for n in results]
+    if failures is not None:
+        failed = failures.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("metric", "error"))).alias("_failed"))
+        parts = parts.join(failed, keys, "full_outer")
+
+    def entry(name: str) -> Column:
+        if failures is None:
+            return F.struct(F.col(name).alias("summary"))
+        return F.struct(F.col(name).alias("summary"), F.try_element_at("_failed", F.lit(name)).alias("error"))
+
+    entries = [entry(n).alias(n) for n in results]
     entries += [F.struct(F.lit(text).alias("error")).alias(n) for n, text in (errors or {}).items()]
     entries += [F.struct(F.lit(True).alias("skipped"), F.lit(why).alias("reason")).alias(n) for n, why in (skips or {}).items()]
     doc = F.struct(F.col(keys[0]).cast("string").alias("job_id"), F.lit(dimension).alias("dimension"), F.struct(*entries).alias("metrics"))

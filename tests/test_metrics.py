@@ -83,3 +83,44 @@ def test_sequences_of_one_frame(spark):
                                "swing_id int, frame int, person_idx int, joint_idx int, X3 double, Y3 double, Z3 double")
     for name in ("com_speed", "com_shift", "head_speed", "swing_speed", "xfactor"):
         assert M.get_metric(name)(df, Params(), Sequence(longest=1)).summary.count() == 1
+
+
+def test_all_metrics_read_a_gathered_pose_once(pose):
+    """Six summaries over a pose that lies by swing: no shuffle but for those that regroup."""
+    results, errors = M.run_all(pose, Params(), Sequence(longest=100))
+    assert not errors and set(results) == set(M.list_metrics())
+    plans = [r.summary._jdf.queryExecution().executedPlan().toString() for r in results.values()]
+    assert sum(plan.count("Exchange hashpartitioning") for plan in plans) < 8
+    alone = M.com_shift(pose, Params(), Sequence(longest=100)).summary.orderBy("swing_id").collect()
+    assert results["com_shift"].summary.orderBy("swing_id").collect() == alone
+
+
+@pytest.mark.parametrize("seq", [Sequence(longest=100), Sequence(block=30), Sequence(block=50, longest=100)])
+def test_failures_stay_with_their_swings(spark, sf, seq):
+    def picky(rows, p, s):
+        bad = F.when(F.col("swing_id").isin(3, 8), F.raise_error(F.lit("no such pose")).cast("int")).otherwise(1)
+        out = rows.select("swing_id", "frame").distinct()
+        return M.MetricResult(out.groupBy("swing_id").agg(F.sum(bad).alias("n")), out)
+
+    def hopeless(rows, p, s):
+        return M.MetricResult(rows.select("swing_id").distinct().withColumn("n", F.raise_error(F.lit("never")).cast("int")), rows.select("swing_id", "frame"))
+
+    M.register_metric("picky", picky)
+    M.register_metric("hopeless", hopeless)
+    M.register_metric("unplanned", lambda *_: 1 / 0)
+    few = mask_missing(fx.pose(spark, sf)).filter("swing_id < 12")
+    try:
+        results, errors, failures = M.run_guarded(few, Params(dimension="2d"), seq, ["picky", "com_speed", "unplanned", "hopeless"], most=4)
+    finally:
+        for name in ("picky", "hopeless", "unplanned"):
+            del M.REGISTRY[name]
+    assert set(results) == {"picky", "com_speed"} and "ZeroDivisionError" in errors["unplanned"] and "never" in errors["hopeless"]
+    assert sorted((r.swing_id, r.metric, "no such pose" in r.error) for r in failures.collect()) == [(3, "picky", True), (8, "picky", True)]
+    ids = {r.swing_id for r in few.select("swing_id").distinct().collect()}
+    assert {r.swing_id for r in results["picky"].summary.collect()} == ids - {3, 8}
+    assert {r.swing_id for r in results["com_speed"].summary.collect()} == ids
+    import json
+    docs = {r.swing_id: json.loads(r.document)["metrics"] for r in M.summary_document(results, ["swing_id"], "2d", errors, failures=failures).collect()}
+    assert "no such pose" in docs[3]["picky"]["error"] and docs[3]["picky"]["summary"] is None and docs[3]["com_speed"]["summary"]["unit"] == "px/s"
+    other = min(ids - {3, 8})
+    assert docs[other]["picky"]["error"] is None and docs[other]["picky"]["summary"]["n"] > 0 and "never" in docs[other]["hopeless"]["error"]
