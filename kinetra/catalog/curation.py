@@ -681,8 +681,15 @@ def _(spark, sf):
 @query("srt1_natural_sort", """WITH s AS (SELECT DISTINCT source FROM documents) SELECT source, row_number() OVER (ORDER BY regexp_replace(source, '[0-9]+', ''), CAST(regexp_extract(source, '([0-9]+)', 1) AS INT)) - 1 AS place FROM s""")
 def _(spark, sf):
     d = fx.table(spark, sf, "documents").select("source").distinct()
-    key = sets.natural_key(F.col("source"))
-    return number_rows(d.withColumn("k", key), [], [F.col("k"), F.col("source")], F.col("k")[0]["text"], "place").select("source", "place")
+    return sets.number_in_order(d, [sets.natural_key(F.col("source")), F.col("source")]).select("source", "place")
+
+
+@query("srt1_one_common_prefix", """WITH p AS (SELECT doc_id, 'scan_' || CAST(n_chars AS VARCHAR) || '_take' || CAST(doc_id AS VARCHAR) AS name, n_chars FROM documents)
+SELECT name, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS place FROM p""")
+def _(spark, sf):
+    """Names that share their text and differ in two numbers."""
+    d = fx.table(spark, sf, "documents").select(F.concat(F.lit("scan_"), "n_chars", F.lit("_take"), "doc_id").alias("name"))
+    return sets.number_in_order(d, [sets.natural_key(F.col("name")), F.col("name")])
 
 
 @query("srt4_preview", "SELECT doc_id, quality FROM labels ORDER BY doc_id LIMIT 25")

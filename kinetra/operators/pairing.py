@@ -70,11 +70,11 @@ def match_depth_frames(frames: DataFrame, maps: DataFrame) -> DataFrame:
     exact = stems.filter(F.col("stem").rlike(r"^(\d{6}|[1-9]\d{6,})$")).select("swing_id", F.col("stem").alias("_padded"), F.col("name").alias("exact"))
     out = frames.withColumns({"_padded": F.format_string("%06d", "frame"), "_s": F.col("frame").cast("string")})
     out = out.join(exact, ["swing_id", "_padded"], "left").drop("_padded")
-    # Numbers a name contains, as join keys: every digit substring without a leading zero.
-    digits = F.sequence(F.lit(1), F.greatest(F.length("stem"), F.lit(1)))
-    subs = F.flatten(F.transform(digits, lambda i: F.transform(digits, lambda n: F.substring("stem", i, n))))
-    nums = F.array_distinct(F.filter(subs, lambda s: s.rlike(r"^(0|[1-9]\d*)$")))
-    inside = stems.select("swing_id", "name", F.explode(nums).alias("_s")).groupBy("swing_id", "_s").agg(F.min("name").alias("inside"))
+    # Numbers that name no map are looked for inside the names.
+    open_ = out.filter(F.col("exact").isNull()).select("swing_id", F.col("_s").alias("short"))
+    pairs = containing(open_, stems.select("swing_id", F.col("stem").alias("long")), ["swing_id"])
+    inside = pairs.join(stems.select("swing_id", F.col("stem").alias("long"), "name"), ["swing_id", "long"]) \
+        .groupBy("swing_id", F.col("short").alias("_s")).agg(F.min("name").alias("inside"))
     out = out.join(inside, ["swing_id", "_s"], "left").drop("_s")
     place = maps.select("swing_id", F.col("position").alias("frame"), F.col("name").alias("place"))
     out = out.join(place, ["swing_id", "frame"], "left")
@@ -143,26 +143,51 @@ def depth_patch_maps(points: DataFrame, maps: DataFrame, keys: list[str], radius
     return joints.join(maps.select(*keys, "content"), keys).mapInPandas(read, schema)
 
 
+#: Length of the pieces that containment is looked up by; shorter texts are looked up whole.
+GRAM = 8
+
+
+def _grams(text: Column, length: Column) -> Column:
+    """Distinct pieces of a text of one length."""
+    starts = F.when((length > 0) & (F.length(text) >= length), F.sequence(F.lit(1), F.length(text) - length + 1))
+    return F.coalesce(F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, length))), F.array().cast("array<string>"))
+
+
+def containing(short: DataFrame, long: DataFrame, keys: list[str], gram: int = GRAM) -> DataFrame:
+    """(keys.., short, long) for each distinct short text that a distinct long one of the same keys contains.
+
+    short(keys.., short); long(keys.., long). Long texts are indexed by their pieces of `gram` characters, and of the
+    lengths of shorter texts, so the index grows with their characters. A short text is looked up by its rarest piece alone, and the
+    few long texts that have it are then searched for the whole. Empty and missing texts are contained nowhere.
+    """
+    short = short.select(*keys, "short").filter(F.length("short") > 0).distinct()
+    long = long.select(*keys, "long").filter(F.length("long") > 0).distinct()
+    # The lengths in use are at most `gram` numbers and reach all rows as one value.
+    lengths = short.agg(F.collect_set(F.least(F.length("short"), F.lit(gram)))).scalar()
+    index = long.withColumn("_n", lengths).select(
+        *keys, "long", F.explode(F.flatten(F.transform("_n", lambda n: _grams(F.col("long"), n)))).alias("_gram"))
+    wanted = short.select(*keys, "short", F.explode(_grams(F.col("short"), F.least(F.length("short"), F.lit(gram)))).alias("_gram"))
+    index = index.join(wanted.select(*keys, "_gram").distinct(), [*keys, "_gram"], "left_semi")
+    seen = index.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_seen"))
+    # A piece that no long text has rules the short one out.
+    found = wanted.join(seen, [*keys, "_gram"], "left").groupBy(*keys, "short").agg(
+        F.min(F.struct(F.coalesce("_seen", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_rarest"))
+    found = found.filter(F.col("_rarest.n") > 0).select(*keys, "short", F.col("_rarest.gram").alias("_gram"))
+    return found.join(index, [*keys, "_gram"]).filter(F.contains("long", "short")).select(*keys, "short", "long")
+
+
 def match_predictions(annotations: DataFrame, predictions: DataFrame) -> DataFrame:
     """Prediction of each annotation id: equal id, else the first (by seq) whose id contains it.
 
-    Containment is an equality join on the substrings of prediction ids that are as long as an
-    unmatched id. annotations(id, ..); predictions(id, seq, pred).
+    annotations(id, ..); predictions(id, seq, pred).
     """
-    p = predictions.groupBy("id").agg(F.min_by("pred", "seq").alias("_eq"), F.lit(True).alias("_hit"))
-    out = annotations.join(p, "id", "left")
-    open_ids = out.filter(F.col("_hit").isNull()).select("id").distinct()
-    # The lengths of open ids, a set of small numbers, reach all rows as one value.
-    lengths = open_ids.agg(F.collect_set(F.length("id"))).scalar()
-
-    def pieces(n: Column) -> Column:
-        starts = F.when((n > 0) & (F.length("id") >= n), F.sequence(F.lit(1), F.length("id") - (n - 1)))
-        return F.coalesce(F.transform(starts, lambda i: F.substring("id", i, n)), F.array().cast("array<string>"))
-
-    keyed = predictions.withColumn("_n", lengths).select(F.explode(F.array_distinct(F.flatten(F.transform("_n", pieces)))).alias("_sub"), "seq", "pred")
-    inside = keyed.groupBy("_sub").agg(F.min_by("pred", "seq").alias("_in")).join(open_ids.withColumnRenamed("id", "_sub"), "_sub", "left_semi")
-    out = out.join(inside.withColumnRenamed("_sub", "id"), "id", "left")
-    return out.withColumn("pred", F.when(F.col("_hit"), F.col("_eq")).otherwise(F.col("_in"))).drop("_eq", "_hit", "_in")
+    p = predictions.groupBy("id").agg(F.min(F.struct("seq", "pred")).alias("_first"))
+    out = annotations.join(p.withColumn("_hit", F.lit(True)), "id", "left")
+    open_ids = out.filter(F.col("_hit").isNull()).select(F.col("id").alias("short"))
+    pairs = containing(open_ids, p.select(F.col("id").alias("long")), [])
+    inside = pairs.join(p.withColumnRenamed("id", "long"), "long").groupBy(F.col("short").alias("id")).agg(F.min("_first").alias("_in"))
+    out = out.join(inside, "id", "left")
+    return out.withColumn("pred", F.when(F.col("_hit"), F.col("_first.pred")).otherwise(F.col("_in.pred"))).drop("_first", "_hit", "_in")
 
 
 def match_by_position(annotations: DataFrame, predictions: DataFrame, position: str = "seq") -> DataFrame:

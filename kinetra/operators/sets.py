@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from kinetra.operators.sequence import cut_lineage
 
 
 def split_overlap(rows: DataFrame, id_: str = "id", split: str = "split") -> DataFrame:
@@ -59,8 +61,34 @@ def one_per_joint(pose: DataFrame, order: str, axes: tuple[str, ...] = ("X3", "Y
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key that compares digit runs as numbers: array of (text, number) pieces."""
+    """Sort key that compares digit runs as numbers of any length: array of (text, digits, number) pieces.
+
+    A number is its count of digits without leading zeros and then the digits; a piece without one comes before those with.
+    """
     pieces = F.regexp_extract_all(name, F.lit(r"(\D*)(\d*)"), F.lit(0))
-    return F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.struct(
-        F.lower(F.regexp_extract(p, r"^(\D*)", 1)).alias("text"),
-        F.coalesce(F.regexp_extract(p, r"(\d+)$", 1).try_cast("decimal(38,0)"), F.lit(-1).cast("decimal(38,0)")).alias("number")))
+
+    def key(p: Column) -> Column:
+        run = F.regexp_extract(p, r"(\d+)$", 1)
+        number = F.regexp_replace(run, "^0+", "")
+        return F.struct(F.lower(F.regexp_extract(p, r"^(\D*)", 1)).alias("text"),
+                        F.when(run == "", -1).otherwise(F.length(number)).alias("digits"), number.alias("number"))
+
+    return F.transform(F.filter(pieces, lambda p: p != ""), key)
+
+
+def number_in_order(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """0-based place of each row in a total order, for keys of any shape; equal keys are numbered in any order.
+
+    Spark samples the whole key for splitters and sorts each range by itself; a range's rows then start after the rows of the
+    ranges before it. The ranges are settled once, so a task that runs again finds the same ones.
+    """
+    kept = df.columns
+    keys = [f"_sort_{i}" for i in range(len(order))]
+    ranged = df.select("*", *[c.alias(k) for c, k in zip(order, keys)])
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(ranged.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(*kept, F.spark_partition_id().alias("_range"),
+                                                                                             F.monotonically_increasing_id().alias("_at")))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
+    starts = sizes.select("_range", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(starts), "_range").select(*kept, (F.col("_at") - F.col("_first") + F.col("_before")).alias(name))

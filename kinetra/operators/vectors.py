@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,16 +29,24 @@ def reduce_clips(emb: DataFrame, keys: list[str], how: str = "mean", vec: str =
     if how == "flatten":
         rows = emb.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(clip, vec))).alias("_r"))
         return rows.select(*keys, F.flatten(F.transform("_r", lambda r: r[vec])).alias(vec))
-    # One row per clip is moved; positions are reduced where the clips of an id have met.
-    met = emb.groupBy(*keys).agg(F.collect_list(vec).alias("_r"))
-    width = F.array_max(F.transform("_r", lambda r: F.size(r)))
-
-    def at(i: Column) -> Column:
-        there = F.filter(F.transform("_r", lambda r: F.get(r, i).cast("double")), lambda x: x.isNotNull() & ~F.isnan(x))
-        total = F.aggregate(there, F.lit(0.0), lambda a, x: a + x)
-        return F.array_max(there) if how == "max" else F.when(F.size(there) > 0, total / F.size(there))
-
-    return met.select(*keys, F.transform(F.when(width > 0, F.sequence(F.lit(0), width - 1)), at).alias(vec))
+    # Spark's vector aggregates fold each task's clips into one buffer of an id before the exchange, however many it has.
+    # A position without a value counts nothing: it adds 0 to sums and counts, and is below everything for the maximum.
+    width = emb.agg(F.max(F.size(vec))).scalar()
+    there = F.transform(vec, lambda x: x.isNotNull() & ~F.isnan(x))
+
+    def full(values: Column, filler: float) -> Column:
+        return array_to_vector(F.concat(values, F.array_repeat(F.lit(filler), F.greatest(width, F.lit(0)) - F.size(vec))))
+
+    def numbers(filler: float) -> Column:
+        return F.transform(vec, lambda x: F.when(x.isNotNull() & ~F.isnan(x), x.cast("double")).otherwise(F.lit(filler)))
+
+    counts = full(F.transform(there, lambda t: t.cast("double")), 0.0)
+    folded = Summarizer.max(full(numbers(-float("inf")), -float("inf"))) if how == "max" else Summarizer.sum(full(numbers(0.0), 0.0))
+    met = emb.withColumn(vec, F.coalesce(vec, F.array().cast(dict(emb.dtypes)[vec]))).groupBy(*keys).agg(
+        Summarizer.sum(counts).alias("_n"), folded.alias("_v"), F.max(F.size(vec)).alias("_size"))
+    value = F.zip_with(vector_to_array("_v"), vector_to_array("_n"), lambda v, n: F.when(n > 0, v if how == "max" else v / n))
+    # As wide as the widest clip of the id: what only wider ids have is cut off again.
+    return met.select(*keys, F.slice(value, F.lit(1), F.col("_size")).alias(vec))
 
 
 def concat_features(a: DataFrame, b: DataFrame, id_: str = "id", vec: str = "vec") -> DataFrame:
