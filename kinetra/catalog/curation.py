@@ -359,6 +359,29 @@ def _(spark, sf):
     return P.depth_patch(pts, pix, ["swing_id", "frame"], 2, 1920, 1080).select("swing_id", "frame", "joint_idx", r6("depth").alias("depth"))
 
 
+_SIDE = 8
+
+
+@query("jn8_depth_tiles", """WITH $CLEAN, p AS (SELECT swing_id, frame, joint_idx, event_id, CAST(round_even(x, 0) AS INT) + dx AS px, CAST(round_even(y, 0) AS INT) + dy AS py
+ FROM clean, (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy) WHERE x IS NOT NULL AND y IS NOT NULL)
+SELECT swing_id, frame, joint_idx, r6(quantile_cont(2 + ((event_id * 31 + px * 7 + py * 3) % 13) / CAST(10 AS DOUBLE), 0.5)) AS depth FROM p
+WHERE px >= 0 AND py >= 0 AND (event_id + px + py) % 6 <> 0 GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    """All joints on depth maps that hold the tiles around them."""
+    from kinetra.catalog.motion import masked
+    pts = masked(spark, sf).select("swing_id", "frame", "joint_idx", "event_id", "x", "y")
+    near = P.touched_tiles(pts, 2, _SIDE).filter("tx >= 0 and ty >= 0").select("swing_id", "frame", "event_id", "tx", "ty").distinct()
+    px, py = (F.col(t) * _SIDE for t in ("tx", "ty"))
+
+    def depth(i):
+        e, x, y = F.col("event_id"), px + i % _SIDE, py + F.floor(i / _SIDE)
+        return F.when((e + x + y) % 6 == 0, F.lit(0.0)).otherwise(2 + ((e * 31 + x * 7 + y * 3) % 13) / F.lit(10.0))
+
+    tiles = near.select("swing_id", "frame", "tx", "ty", F.transform(F.sequence(F.lit(0), F.lit(_SIDE * _SIDE - 1)), depth).alias("cells"))
+    found = P.depth_patch_tiles(pts, tiles, ["swing_id", "frame"], 2, _SIDE)
+    return found.select("swing_id", "frame", "joint_idx", r6("depth").alias("depth"))
+
+
 # ---- joins -------------------------------------------------------------------------------------
 
 @query("jn3_with_media", "WITH $FILES SELECT stem FROM files WHERE event_id % 4 <> 0")

@@ -24,8 +24,8 @@ def masked(spark, sf) -> DataFrame:
 
 
 def series(spark, sf) -> tuple[DataFrame, Sequence]:
-    """The two wrists' image tracks with missing frames, as joint series."""
-    df = masked(spark, sf).filter(F.col("joint_idx").isin(9, 10))
+    """The joints' image tracks with missing frames, as joint series."""
+    df = masked(spark, sf)
     return (df.select("swing_id", "person_idx", "joint_idx", "frame", "x", "y"),
             fx.sequence(spark, sf, "swing_id", "person_idx", "joint_idx"))
 
@@ -242,7 +242,7 @@ def _(spark, sf):
 # ---- smoothing ---------------------------------------------------------------------------------
 
 def _series_sql(expr_x: str, cte: str = "") -> str:
-    return f"""WITH $CLEAN, s AS (SELECT swing_id, joint_idx, frame, x, y FROM clean WHERE joint_idx IN (9, 10)){cte}
+    return f"""WITH $CLEAN, s AS (SELECT swing_id, joint_idx, frame, x, y FROM clean){cte}
 SELECT swing_id, joint_idx, frame, {expr_x}"""
 
 
@@ -297,7 +297,7 @@ def _(spark, sf):
 
 
 
-@query("win5_ema", """WITH RECURSIVE $CLEAN, s AS (SELECT swing_id, joint_idx, frame, x FROM clean WHERE joint_idx IN (9, 10)),
+@query("win5_ema", """WITH RECURSIVE $CLEAN, s AS (SELECT swing_id, joint_idx, frame, x FROM clean),
 v AS (SELECT *, row_number() OVER w - 1 AS k, frame - lag(frame) OVER w AS gap FROM s WHERE x IS NOT NULL WINDOW w AS (PARTITION BY swing_id, joint_idx ORDER BY frame)),
 r AS (SELECT swing_id, joint_idx, frame, k, x AS y FROM v WHERE k = 0
       UNION ALL SELECT v.swing_id, v.joint_idx, v.frame, v.k, (pow(0.8, v.gap) * r.y + 0.2 * v.x) / (pow(0.8, v.gap) + 0.2)
@@ -309,18 +309,20 @@ def _(spark, sf):
     return out(S.ema(df, ["x"], 0.2, "decay", seq), "swing_id joint_idx frame", "x")
 
 
-@query("win5_ema_hold", """WITH RECURSIVE $CLEAN, s AS (SELECT swing_id, joint_idx, frame, x FROM clean WHERE joint_idx IN (9, 10)),
+@query("win5_ema_hold", """WITH RECURSIVE $CLEAN, s AS (SELECT swing_id, joint_idx, frame, x FROM clean),
 v AS (SELECT *, row_number() OVER (PARTITION BY swing_id, joint_idx ORDER BY frame) - 1 AS k FROM s WHERE x IS NOT NULL),
 r AS (SELECT swing_id, joint_idx, frame, k, x AS y FROM v WHERE k = 0
       UNION ALL SELECT v.swing_id, v.joint_idx, v.frame, v.k, 0.25 * v.x + 0.75 * r.y
       FROM r JOIN v ON v.swing_id = r.swing_id AND v.joint_idx = r.joint_idx AND v.k = r.k + 1)
 SELECT s.swing_id, s.joint_idx, s.frame, r6(coalesce(last_value(r.y IGNORE NULLS) OVER w, first_value(r.y IGNORE NULLS)
- OVER (PARTITION BY s.swing_id, s.joint_idx ORDER BY s.frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))) AS x
+ OVER (PARTITION BY s.swing_id, s.joint_idx ORDER BY s.frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) / pi()) AS x
 FROM s LEFT JOIN r ON r.swing_id = s.swing_id AND r.joint_idx = s.joint_idx AND r.frame = s.frame
 WINDOW w AS (PARTITION BY s.swing_id, s.joint_idx ORDER BY s.frame)""")
 def _(spark, sf):
+    # Quarters of quarters end at any decimal; as multiples of pi no value lies on a tie of the sixth.
     df, seq = series(spark, sf)
-    return out(S.ema(df, ["x"], 0.25, "hold", seq), "swing_id joint_idx frame", "x")
+    held = S.ema(df, ["x"], 0.25, "hold", seq)
+    return out(held.withColumn("x", F.col("x") / F.pi()), "swing_id joint_idx frame", "x")
 
 
 _EDGE = """,
@@ -351,7 +353,7 @@ def _gain(cut: str) -> str:
     return f"(1.0e0 / (1.0e0 + (1.0e0 / (6.283185307179586e0 * ({cut}))) / {_DT!r}))"
 
 
-@query("win8_one_euro_raw", f"""WITH RECURSIVE $CLEAN, s AS (SELECT swing_id, joint_idx, frame, x FROM clean WHERE joint_idx IN (9, 10)){_EDGE},
+@query("win8_one_euro_raw", f"""WITH RECURSIVE $CLEAN, s AS (SELECT swing_id, joint_idx, frame, x FROM clean){_EDGE},
 r AS (SELECT swing_id, joint_idx, frame, raw, x, x AS y, 0e0 AS dh FROM e WHERE frame = 0
       UNION ALL SELECT q.swing_id, q.joint_idx, q.frame, q.raw, q.x,
         {_gain('1.0e0 + 0.007e0 * abs(q.dh)')} * q.x + (1 - {_gain('1.0e0 + 0.007e0 * abs(q.dh)')}) * q.py, q.dh
@@ -363,7 +365,7 @@ def _(spark, sf):
     return out(S.one_euro(df, ["x"], 30.0, seq=seq), "swing_id joint_idx frame", "x")
 
 
-@query("win8_one_euro_filtered", f"""WITH RECURSIVE $CLEAN, s AS (SELECT swing_id, joint_idx, frame, x FROM clean WHERE joint_idx IN (9, 10)),
+@query("win8_one_euro_filtered", f"""WITH RECURSIVE $CLEAN, s AS (SELECT swing_id, joint_idx, frame, x FROM clean),
 v AS (SELECT *, row_number() OVER (PARTITION BY swing_id, joint_idx ORDER BY frame) - 1 AS k FROM s WHERE x IS NOT NULL),
 r AS (SELECT swing_id, joint_idx, frame, k, x AS y, 0e0 AS dh FROM v WHERE k = 0
       UNION ALL SELECT q.swing_id, q.joint_idx, q.frame, q.k,

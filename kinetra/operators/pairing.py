@@ -113,6 +113,38 @@ def depth_patch(points: DataFrame, depth: DataFrame, keys: list[str], radius: in
     return found.select(*keys, "joint_idx", middle.alias("depth"))
 
 
+def tile_of(c: Column, side: int) -> Column:
+    return F.floor(c / side).cast("int")
+
+
+def touched_tiles(points: DataFrame, radius: int, side: int) -> DataFrame:
+    """Points with a value, their rounded pixel (_x, _y), and one row for each tile that the square around it touches (tx, ty)."""
+    p = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")).withColumns(
+        {"_x": F.bround("x", 0).cast("int"), "_y": F.bround("y", 0).cast("int")})
+    for c, t in (("_x", "tx"), ("_y", "ty")):
+        p = p.withColumn(t, F.explode(F.sequence(tile_of(F.col(c) - radius, side), tile_of(F.col(c) + radius, side))))
+    return p
+
+
+def depth_patch_tiles(points: DataFrame, tiles: DataFrame, keys: list[str], radius: int = 2, side: int = 8) -> DataFrame:
+    """As `depth_patch`, on depth that is stored as tiles: a tile is one row, and no pixel becomes one.
+
+    points(keys.., joint_idx, x, y); tiles(keys.., tx, ty, cells): the tile's `side` rows of `side` values, one after the other. Points
+    travel to the tiles that their squares touch, four at most while a square is no wider than a tile; rows of the square are cut out of
+    the tile's array, and the pieces of a point meet for the median. Points without a positive depth give no row.
+    """
+    joined = touched_tiles(points, radius, side).join(tiles, [*keys, "tx", "ty"])
+    x0, x1 = (f(F.col("_x") + d - F.col("tx") * side, F.lit(e)) for f, d, e in ((F.greatest, -radius, 0), (F.least, radius, side - 1)))
+    y0, y1 = (f(F.col("_y") + d - F.col("ty") * side, F.lit(e)) for f, d, e in ((F.greatest, -radius, 0), (F.least, radius, side - 1)))
+    joined = joined.select(*keys, "joint_idx", "cells", x0.alias("_x0"), x1.alias("_x1"), F.sequence(y0, y1).alias("_rows"))
+    piece = F.flatten(F.transform("_rows", lambda r: F.slice("cells", r * side + F.col("_x0") + 1, F.col("_x1") - F.col("_x0") + 1)))
+    good = F.filter(piece, lambda d: d.isNotNull() & ~F.isnan(d) & (d > 0) & (d < float("inf")))
+    met = joined.select(*keys, "joint_idx", good.alias("_v")).groupBy(*keys, "joint_idx").agg(F.sort_array(F.flatten(F.collect_list("_v"))).alias("_v"))
+    n = F.size("_v")
+    middle = (F.get("_v", F.floor((n - 1) / 2).cast("int")) + F.get("_v", F.floor(n / 2).cast("int"))) / 2
+    return met.filter(n > 0).select(*keys, "joint_idx", middle.alias("depth"))
+
+
 def depth_patch_maps(points: DataFrame, maps: DataFrame, keys: list[str], radius: int = 2) -> DataFrame:
     """As `depth_patch`, read straight from stored maps: maps(keys.., content) holds one .npy each.
 

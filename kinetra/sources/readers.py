@@ -169,6 +169,24 @@ def depth_npy(spark: SparkSession, path: str) -> DataFrame:
     return depth_maps(spark, path).mapInPandas(parse, "swing_id string, frame int, py int, px int, depth double")
 
 
+def depth_tiles(spark: SparkSession, path: str, side: int = 8) -> DataFrame:
+    """(swing_id, frame, tx, ty, cells) of <swing>/%06d.npy maps: a row per tile of side x side values, NaN beyond the map's edge."""
+    def parse(batches):
+        import numpy as np
+        import pandas as pd
+        for pdf in batches:
+            for swing, frame, content in zip(pdf["swing_id"], pdf["frame"], pdf["content"]):
+                a = np.load(io.BytesIO(content)).astype("float64")
+                rows, cols = (-(-n // side) for n in a.shape)
+                full = np.full((rows * side, cols * side), np.nan)
+                full[:a.shape[0], :a.shape[1]] = a
+                tiles = full.reshape(rows, side, cols, side).swapaxes(1, 2).reshape(rows * cols, side * side)
+                ty, tx = np.indices((rows, cols))
+                yield pd.DataFrame({"swing_id": swing, "frame": frame, "tx": tx.ravel(), "ty": ty.ravel(), "cells": list(tiles)})
+
+    return depth_maps(spark, path).mapInPandas(parse, "swing_id string, frame int, tx int, ty int, cells array<double>")
+
+
 def depth_maps(spark: SparkSession, path: str) -> DataFrame:
     """(swing_id, frame, content) of <swing>/%06d.npy maps, contents unread."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(path)

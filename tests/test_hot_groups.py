@@ -67,3 +67,23 @@ def test_a_total_order_spreads_over_tasks(spark):
     ranged = df.repartitionByRange(8, sets.natural_key(F.col("n")), "n").groupBy(F.spark_partition_id()).count()
     assert ranged.agg(F.max("count")).first()[0] < 0.4 * len(names)
     assert sets.number_in_order(df.limit(0), [F.col("n")]).collect() == []
+
+
+@pytest.mark.parametrize("side", [5, 8, 64])
+def test_depth_tiles_agree_with_maps(spark, tmp_path, side):
+    from kinetra.sources import readers
+    rng = np.random.default_rng(2)
+    (tmp_path / "s1").mkdir()
+    for f in range(3):
+        a = rng.random((20, 30)) * 3
+        a[rng.random((20, 30)) < 0.3] = 0
+        a[0, 0], a[3, 3] = np.nan, np.inf
+        np.save(tmp_path / "s1" / f"{f:06d}.npy", a)
+    at = [(0, 0), (10.5, 7.5), (29, 19), (31, 5), (200, 5), (-1, -2), (-40, 3), (None, 4), (float("nan"), 4), (7, 8), (15.5, 16)]
+    pts = spark.createDataFrame([("s1", f, j, *map(lambda v: v if v is None else float(v), p)) for f in range(3) for j, p in enumerate(at)],
+                                "swing_id string, frame int, joint_idx int, x double, y double")
+    tiles = P.depth_patch_tiles(pts, readers.depth_tiles(spark, str(tmp_path), side), ["swing_id", "frame"], 2, side)
+    maps = P.depth_patch_maps(pts.filter("not isnan(x)"), readers.depth_maps(spark, str(tmp_path)), ["swing_id", "frame"])
+    a, b = (sorted(map(tuple, d.select("frame", "joint_idx", "depth").collect())) for d in (tiles, maps))
+    assert [r[:2] for r in a] == [r[:2] for r in b] and len(a) >= 18
+    np.testing.assert_allclose([r[2] for r in a], [r[2] for r in b])
