@@ -4,7 +4,7 @@ from kinetra.catalog import registry
 
 
 def _load() -> None:
-    from kinetra.catalog import curation, forms, live, motion, scoring, swing  # noqa: F401
+    from kinetra.catalog import curation, files, forms, live, motion, scoring, swing  # noqa: F401
 
 
 def queries():

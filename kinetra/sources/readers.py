@@ -155,8 +155,8 @@ def npy_vectors(spark: SparkSession, path: str) -> DataFrame:
     return files.select(stem(F.url_decode("path")).alias("id"), "content").mapInPandas(parse, "id string, vec array<float>")
 
 
-def depth_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(swing_id, frame, py, px, depth) of <swing>/%06d.npy maps, one map at a time."""
+def depth_values(maps: DataFrame) -> DataFrame:
+    """(swing_id, frame, py, px, depth) of stored maps (swing_id, frame, content), one map at a time."""
     def parse(batches):
         import numpy as np
         import pandas as pd
@@ -166,7 +166,12 @@ def depth_npy(spark: SparkSession, path: str) -> DataFrame:
                 py, px = np.indices(a.shape)
                 yield pd.DataFrame({"swing_id": swing, "frame": frame, "py": py.ravel(), "px": px.ravel(), "depth": a.ravel()})
 
-    return depth_maps(spark, path).mapInPandas(parse, "swing_id string, frame int, py int, px int, depth double")
+    return maps.mapInPandas(parse, "swing_id string, frame int, py int, px int, depth double")
+
+
+def depth_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(swing_id, frame, py, px, depth) of <swing>/%06d.npy maps."""
+    return depth_values(depth_maps(spark, path))
 
 
 def depth_tiles(spark: SparkSession, path: str, side: int = 8) -> DataFrame:
