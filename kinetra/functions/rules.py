@@ -64,6 +64,7 @@ def nearest_speed_group(mph: Column) -> Column:
 
 
 def speed_group_text(mph: Column) -> Column:
+    # The words of this sentence.
     g = nearest_speed_group(mph)
     word = F.when(g["diff"] >= 0, "빠름").otherwise("느림")
     return F.concat(F.lit("현재 추정 클럽 헤드 속도는 '"), g["name"], F.lit("' 평균 "), F.format_string("%.0f", g["ref"]),

@@ -182,7 +182,7 @@ def resolve_axes(columns: list[str], prefer_2d: bool = False) -> dict[str, dict[
     Every name is read once into joint, family and axis; a joint takes its best family that has x and y. The longest
     ending counts, so `Nose__x` is joint Nose.
     """
-    best = ["__x", "_x", "_X", "_X3D"] if prefer_2d else ["_X3D", "__x", "_X", "_x"]
+    best = ["_x", "__x", "_X", "_X3D"] if prefer_2d else ["_X3D", "__x", "_X", "_x"]
     read: dict[str, dict[str, dict[str, str]]] = defaultdict(lambda: defaultdict(dict))
     for name in columns:
         if m := _AXIS_NAME.fullmatch(name):

@@ -17,17 +17,19 @@ def usable_samples(
     three_class: bool = False, lower_classes_only: bool = False,
 ) -> DataFrame:
     """(swing_id, label, start, end, total_frames) of the samples that are kept: long enough after
-    trimming and with some coordinate."""
+    trimming and with some coordinate. Frames are counted: a sample with gaps is as long as it has frames."""
     rows = zero_non_finite(primary_person(pose))
     spans = static_trim(rows, seq, fps) if trim else rows.groupBy(*seq.keys).agg(F.lit(0).alias("start"), F.max("frame").alias("end"))
-    spans = spans.withColumn("total_frames", F.col("end") - F.col("start") + 1).filter(F.col("total_frames") > min_frames)
+    inside = rows.join(spans, list(seq.keys)).filter(F.col("frame").between(F.col("start"), F.col("end")))
+    # Per frame first, so that neither step gathers a swing's rows.
+    frames = inside.groupBy(*seq.keys, "frame").agg(F.bool_or((F.col("x") != 0) | (F.col("y") != 0)).alias("_some"))
+    found = frames.groupBy(*seq.keys).agg(F.count(F.lit(1)).cast("int").alias("total_frames"), F.bool_or("_some").alias("_some"))
+    spans = spans.join(found.filter((F.col("total_frames") > min_frames) & F.col("_some")).drop("_some"), list(seq.keys))
     if lower_classes_only:
         labels = labels.filter(~F.col("label").isin(3, 4))
     if three_class:
         labels = labels.withColumn("label", to_three(F.col("label")))
-    inside = rows.join(spans, list(seq.keys)).filter(F.col("frame").between(F.col("start"), F.col("end")))
-    some = inside.groupBy(*seq.keys).agg(F.bool_or((F.col("x") != 0) | (F.col("y") != 0)).alias("_some")).filter("_some").drop("_some")
-    return spans.join(some, list(seq.keys), "left_semi").join(labels, list(seq.keys))
+    return spans.join(labels, list(seq.keys))
 
 
 def split_samples(samples: DataFrame, val_ratio: float = 0.1, test_mode: bool = False, order: Order | None = None) -> DataFrame:

@@ -87,3 +87,22 @@ def test_depth_tiles_agree_with_maps(spark, tmp_path, side):
     a, b = (sorted(map(tuple, d.select("frame", "joint_idx", "depth").collect())) for d in (tiles, maps))
     assert [r[:2] for r in a] == [r[:2] for r in b] and len(a) >= 18
     np.testing.assert_allclose([r[2] for r in a], [r[2] for r in b])
+
+
+def test_a_sample_with_gaps_counts_its_frames(spark):
+    from kinetra.operators.sequence import Sequence
+    from kinetra.plans.training import usable_samples
+    rows = [(s, f, 0, j, float(f), 1.0, 0.5) for s, frames in ((1, range(60)), (2, range(0, 90, 3))) for f in frames for j in range(2)]
+    pose = spark.createDataFrame(rows, "swing_id int, frame int, person_idx int, joint_idx int, x double, y double, conf double")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "swing_id int, label int")
+    got = usable_samples(pose, labels, Sequence(longest=90), trim=False, min_frames=40)
+    assert [(r.swing_id, r.start, r.end, r.total_frames, r.label) for r in got.collect()] == [(1, 0, 59, 60, 0)]
+    got = usable_samples(pose, labels, Sequence(longest=90), trim=False, min_frames=29)
+    assert {(r.swing_id, r.total_frames) for r in got.collect()} == {(1, 60), (2, 30)}
+
+
+def test_plain_names_come_first_in_2d():
+    from kinetra.operators.reshape import resolve_axes
+    columns = ["Nose__x", "Nose__y", "Nose_x", "Nose_y", "LHip__x", "LHip__y"]
+    assert resolve_axes(columns, prefer_2d=True) == {"Nose": {"x": "Nose_x", "y": "Nose_y"}, "LHip": {"x": "LHip__x", "y": "LHip__y"}}
+    assert resolve_axes(columns)["Nose"] == {"x": "Nose__x", "y": "Nose__y"}
