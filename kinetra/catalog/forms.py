@@ -121,6 +121,28 @@ def _(spark, sf):
     return clean.select("swing_id", "frame", "Nose_x", "Nose_y", "Nose_c", "LWrist_y", "REye_c", F.lit(len(clean.columns) - 2).alias("n"))
 
 
+_ALL = ", ".join(f"{j}_px AS {j}_x, {j}_py AS {j}_y" for j in KP17)
+
+
+@query("prj2_all_joints", f"WITH $WIDE SELECT swing_id, frame, {_ALL} FROM wide")
+def _(spark, sf):
+    wide = reshape.tidy_to_wide(masked(spark, sf), axes="xy")
+    odd = wide.withColumnsRenamed({c: c.upper() if i % 2 else c.lower() for i, c in enumerate(wide.columns) if c not in ("swing_id", "frame")})
+    return odd.withColumnsRenamed(reshape.canonical_names(odd.columns)).select("swing_id", "frame", *[f"{j}_{a}" for j in KP17 for a in "xy"])
+
+
+@query("prj3_all_columns", f"WITH $WIDE SELECT swing_id, frame, {_ALL}, " + ", ".join(
+    f"CAST({i / 4 if i % 3 else 0} AS DOUBLE) AS {j}_c" for i, j in enumerate(KP17)) + " FROM wide")
+def _(spark, sf):
+    """Every joint under another spelling; a third of them has no confidence."""
+    wide = reshape.tidy_to_wide(masked(spark, sf), axes="xy")
+    x, y, c = ("{}__x", "{}_X", "{}_x"), ("{}_Y", "{}__y", "{}_y"), ("", "{}_conf", "{}_SCORE")
+    odd = wide.select("swing_id", "frame", *[F.col(f"{j}_{a}").cast("string").alias(form[i % 3].format(j.lower() if i % 2 else j))
+                                             for i, j in enumerate(KP17) for a, form in (("x", x), ("y", y))],
+                      *[F.lit(str(i / 4)).alias(c[i % 3].format(j)) for i, j in enumerate(KP17) if i % 3])
+    return reshape.sanitise(odd, ["swing_id", "frame"])
+
+
 @query("prj4_missing_columns", "WITH $FRAMES SELECT DISTINCT swing_id, name FROM frames, (VALUES ('LHip_x'), ('LHip_y'), ('LHip_c')) AS v(name)")
 def _(spark, sf):
     wide = reshape.tidy_to_wide(masked(spark, sf), [j for j in KP17 if j != "LHip"], "xyc")

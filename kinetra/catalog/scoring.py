@@ -36,6 +36,33 @@ def _(spark, sf):
     return assemble_embeddings(a.select("id"), b, a.filter(F.col("id").cast("int") % 2 == 0).select("id", "label")).select("id", "label")
 
 
+def _whole(spark, sf):
+    """Ids with labels, and ids with whole vectors."""
+    e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "label", F.col("embedding").alias("vec"))
+    return e.select("id", "label"), e.select("id", "vec")
+
+
+_VALUES = "unnest(range(0, len(embedding)))::INT AS pos, r6(unnest(embedding)::DOUBLE) AS x FROM embeddings"
+
+
+@query("jn1_aligned_vectors", f"SELECT vec_id::VARCHAR AS id, label, {_VALUES}")
+def _(spark, sf):
+    return elements(P.align_strict(*_whole(spark, sf)), "id label")
+
+
+@query("jn2_aligned_vectors", f"SELECT vec_id::VARCHAR AS id, label, {_VALUES} WHERE vec_id % 11 <> 0")
+def _(spark, sf):
+    a, b = _whole(spark, sf)
+    return elements(P.align_lenient(a, b.filter(F.col("id").cast("long") % 11 != 0)), "id label")
+
+
+@query("src6_assembled_vectors", f"SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id % 2 = 0 THEN label ELSE -1 END AS label, {_VALUES}")
+def _(spark, sf):
+    from kinetra.sources.readers import assemble_embeddings
+    a, b = _whole(spark, sf)
+    return elements(assemble_embeddings(a.select("id"), b, a.filter(F.col("id").cast("long") % 2 == 0)), "id label")
+
+
 @query("agg18_embedding_quality", "WITH $EMB_A, s AS (SELECT sqrt(list_sum(list_transform(vec, lambda x: x::DOUBLE * x::DOUBLE))) AS l FROM emb_a) SELECT count(*) AS n, CAST(0 AS BIGINT) AS with_nan, r6(avg(l)) AS norm_mean, r6(stddev_pop(l)) AS norm_std FROM s")
 def _(spark, sf):
     q = V.embedding_quality(fx.emb_a(spark, sf))
@@ -69,6 +96,16 @@ def _(spark, sf):
     return v.select("id", "pred", r6("prob_1").alias("prob_1"))
 
 
+_ALL = "(exp(s1) + exp(s2) + exp(s3) + exp(s4) + exp(s5))"
+
+
+@query("agg20_scores_of_all_classes", f"""WITH $PREDS, {_MEAN}
+SELECT id, CAST(list_position([s1, s2, s3, s4, s5], greatest(s1, s2, s3, s4, s5)) - 1 AS INT) AS pred, r6(exp(s2) / {_ALL}) AS prob_1 FROM pm""")
+def _(spark, sf):
+    v = E.video_scores(fx.preds(spark, sf), ["id"], classes=5)
+    return v.select("id", "pred", r6("prob_1").alias("prob_1"))
+
+
 @query("agg21_clip_vote", f"""WITH $PREDS, m AS (SELECT * REPLACE (CASE WHEN CAST(id AS INT) % 2 = 0 THEN scores END AS scores) FROM preds),
 {_MEAN.replace('FROM preds', 'FROM m')}, v AS (SELECT id, pred, count(*) AS n, min(clip) AS f FROM preds WHERE pred IS NOT NULL GROUP BY 1, 2), b AS (SELECT id, pred, row_number() OVER (PARTITION BY id ORDER BY n DESC, f) AS r FROM v)
 SELECT pm.id, CASE WHEN s1 IS NOT NULL THEN CAST(list_position([s1, s2, s3, s4, s5], greatest(s1, s2, s3, s4, s5)) - 1 AS INT) ELSE b.pred END AS pred FROM pm LEFT JOIN b ON b.id = pm.id AND r = 1""")

@@ -574,6 +574,15 @@ def _(spark, sf):
                       F.nullif(F.regexp_extract(at("dividing.error"), r"\[([A-Z_]+)", 1), F.lit("")).alias("failure"))
 
 
+@query("snk7_frame_document_values", "WITH $CLEAN" + _COM3 + " SELECT swing_id, CAST(frame AS INT) AS frame, r6(cx / pi()) AS com_x, r6(cy / pi()) AS com_y, r6(cz / pi()) AS com_z FROM c")
+def _(spark, sf):
+    """The frame documents read back: a number, or null, under each frame and column; as multiples of pi, so that no mean lies on a tie."""
+    docs = M.frame_documents({"com": M.com_speed(masked(spark, sf), P3, fx.sequence(spark, sf))}, ["swing_id"])
+    read = F.from_json("document", "map<string, struct<com_x: double, com_y: double, com_z: double>>")
+    rows = docs.select("swing_id", F.explode(read).alias("frame", "v"))
+    return rows.select("swing_id", F.col("frame").cast("int").alias("frame"), *[r6(F.col(f"v.com_{a}") / F.pi()).alias(f"com_{a}") for a in "xyz"])
+
+
 @query("snk7_frame_documents", """WITH $CLEAN""" + _COM3 + """ SELECT swing_id, 'com' AS metric, '{' || string_agg('"' || frame || '":{"known":' || CASE WHEN cx IS NULL THEN 'null' ELSE 'true' END || '}', ',' ORDER BY frame) || '}' AS document FROM c GROUP BY 1""")
 def _(spark, sf):
     r = M.com_speed(masked(spark, sf), P3, fx.sequence(spark, sf))
