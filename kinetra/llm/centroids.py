@@ -14,8 +14,8 @@ from kinetra.operators.sequence import cut_lineage
 
 #: Largest whole component: squared distances of 64 of them, either sign, fit a long.
 LARGEST = 1 << 27
-#: Rotated coordinates that are stored.
-LEADING = 16
+#: Share of the variance that the stored leading coordinates hold.
+HELD = 0.75
 #: Relative error that rounding may put into a bound.
 SLACK = 1e-9
 
@@ -39,8 +39,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, width)
 
 
-def rotation(whole: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and principal axes (columns, widest first) of all vectors.
+def rotation(whole: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, principal axes (columns, widest first) and variances along them, of all vectors.
 
     Each task sends sums and products of its vectors; Spark adds them up and `width` rows reach the driver. Rounding may turn the
     axes by a hair from run to run, which changes what is filtered and never what is found.
@@ -62,8 +62,14 @@ def rotation(whole: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     n = max(1.0, table[0, width + 1])
     mean = table[:, width] / n
     spread = table[:, :width] / n - np.outer(mean, mean)
-    axes = np.linalg.eigh((spread + spread.T) / 2)[1][:, ::-1]
-    return mean, axes
+    wide, axes = np.linalg.eigh((spread + spread.T) / 2)
+    return mean, axes[:, ::-1], np.maximum(wide[::-1], 0.0)
+
+
+def enough_axes(variances: np.ndarray, held: float) -> int:
+    """How many leading axes hold that share of the variance: few where vectors lie near a plane, most where they fill the space."""
+    upto = np.cumsum(variances)
+    return int(np.searchsorted(upto, held * upto[-1])) + 1 if upto[-1] > 0 else 1
 
 
 def rotated(values: np.ndarray, mean: np.ndarray, axes: np.ndarray, leading: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,19 +158,19 @@ def first_centroids(whole: DataFrame, k: int, seed: int) -> np.ndarray:
 
 
 def cluster_vectors(vectors: DataFrame, k: int = 40, rounds: int = 5, seed: int = 2, width: int = 64, scale: int = 256,
-                    leading: int = LEADING) -> tuple[DataFrame, np.ndarray]:
+                    held: float = HELD, leading: int | None = None) -> tuple[DataFrame, np.ndarray]:
     """(vec_id, cluster, distance of each kept vector of `vectors` (vec_id, embedding); the final centroids).
 
     Vectors are made whole by `whole_vectors` and stored once with their leading coordinates on the principal axes and the
-    norm of the rest. Each round assigns all of them, in parallel and without a shuffle of vectors: a task sends one row of
+    norm of the rest; `leading` coordinates, or as many as hold the share `held` of the variance. Each round assigns all of them, in parallel and without a shuffle of vectors: a task sends one row of
     exact sums for each centroid. A centroid with vectors moves to floor(sum / count) in each component, an empty one stays.
     Where `vectors` has fewer than k good ones, there are as many centroids as vectors.
 
     Repeated vectors count each; a null vec_id hashes as an empty one. Other columns are ignored. No vectors in, no rows out.
     """
-    leading = min(leading, width)
     whole = whole_vectors(vectors, width, scale)
-    mean, axes = rotation(whole, width)
+    mean, axes, variances = rotation(whole, width)
+    leading = min(width, enough_axes(variances, held) if leading is None else leading)
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

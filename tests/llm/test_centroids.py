@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from kinetra.llm.centroids import cluster_report, cluster_vectors, nearest, rotated, whole_vectors
+from kinetra.llm.centroids import cluster_report, cluster_vectors, enough_axes, nearest, rotated, whole_vectors
 
 SCHEMA = "vec_id long, embedding array<double>, cluster string"
 
@@ -72,6 +72,11 @@ def test_the_filter_spares_most_distances_and_loses_none():
     assert computed < every.size / 5
 
 
+def test_leading_axes_follow_the_variance():
+    assert enough_axes(np.array([8.0, 1.0, 1.0]), 0.75) == 1 and enough_axes(np.ones(64), 0.75) == 48
+    assert enough_axes(np.array([5.0, 5.0, 0.0]), 1.0) == 2 and enough_axes(np.zeros(4), 0.75) == 1
+
+
 def test_large_values_and_empty_tables(spark):
     rows = [(i, [1e300 if i % 2 else -1e300, float(i)], "") for i in range(6)]
     df = spark.createDataFrame(rows, SCHEMA)
