@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from kinetra.catalog.registry import query, r6
+from kinetra.catalog.registry import by_pi, query, r6
 from kinetra.functions import rules
 from kinetra.operators import clean, kinematics as K, reshape, smooth as S
 from kinetra.operators.sequence import Sequence
@@ -322,7 +322,7 @@ def _(spark, sf):
     # Quarters of quarters end at any decimal; as multiples of pi no value lies on a tie of the sixth.
     df, seq = series(spark, sf)
     held = S.ema(df, ["x"], 0.25, "hold", seq)
-    return out(held.withColumn("x", F.col("x") / F.pi()), "swing_id joint_idx frame", "x")
+    return held.select("swing_id", "joint_idx", "frame", by_pi("x").alias("x"))
 
 
 _EDGE = """,

@@ -19,6 +19,12 @@ def r6(c: Column | str) -> Column:
     return F.when(F.abs(c) < 5e-7, F.lit(0.0)).otherwise(F.round(c, 6))
 
 
+def by_pi(c: Column | str) -> Column:
+    """Six decimals of a multiple of pi. Means of short decimals lie on ties of any decimal, where the order of a sum decides the digit; their
+    multiples of pi lie on none."""
+    return r6((F.col(c) if isinstance(c, str) else c) / F.pi())
+
+
 def r9(c: Column | str) -> Column:
     """Nine decimals, for means whose exact values end at the seventh and so lie on ties of the sixth."""
     c = F.col(c) if isinstance(c, str) else c

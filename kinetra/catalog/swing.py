@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from kinetra.catalog.motion import masked, out
-from kinetra.catalog.registry import query, r6, r9
+from kinetra.catalog.registry import by_pi, query, r6, r9
 from kinetra.operators import clean, kinematics as K, reshape
 from kinetra.operators.smooth import median_then_mean
 from kinetra.plans import metrics as M
@@ -99,10 +99,10 @@ def _(spark, sf):
 
 
 @query("win1_com_speed_frames", "WITH $CLEAN" + _COM3 + _V3 + """
-SELECT swing_id, frame, r6(com_speed) AS com_speed, r6(cx) AS com_x, r6(cy) AS com_y, r6(cz) AS com_z FROM sp""")
+SELECT swing_id, frame, r6(com_speed / pi()) AS com_speed, r6(cx / pi()) AS com_x, r6(cy / pi()) AS com_y, r6(cz / pi()) AS com_z FROM sp""")
 def _(spark, sf):
     f = M.com_speed(masked(spark, sf), P3, fx.sequence(spark, sf)).frames
-    return out(f, "swing_id frame", "com_speed com_x com_y com_z")
+    return f.select("swing_id", "frame", *[by_pi(c).alias(c) for c in ("com_speed", "com_x", "com_y", "com_z")])
 
 
 @query("agg2_centre_of_mass_2d", """WITH $CLEAN SELECT swing_id, frame, r6(avg(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN x END)) AS com_x,
@@ -113,11 +113,11 @@ def _(spark, sf):
 
 
 @query("agg1_stance", """WITH $WIDE SELECT swing_id, r6(quantile_cont(abs(RAnkle_X - LAnkle_X), 0.5)) AS stance_width,
- r6(avg((RAnkle_X + LAnkle_X) / 2)) AS mean_mid FROM wide GROUP BY 1""")
+ r6(avg((RAnkle_X + LAnkle_X) / 2) / pi()) AS mean_mid FROM wide GROUP BY 1""")
 def _(spark, sf):
     w, seq = wide(spark, sf, ["LAnkle", "RAnkle"], "X")
     w = seq.attach(M._stance(w, "X3"), quantiles={"sw": (F.col("stance_inst"), 0.5)})
-    return seq.summarise(w, {"stance_width": r6(F.max("sw")), "mean_mid": r6(F.avg("stance_mid_x"))})
+    return seq.summarise(w, {"stance_width": r6(F.max("sw")), "mean_mid": by_pi(F.avg("stance_mid_x"))})
 
 
 _REL = """,
@@ -485,11 +485,11 @@ def _(spark, sf):
     return out(pose_boxes(fx.pose(spark, sf)), "swing_id frame", "x1 y1 x2 y2 cx")
 
 
-@query("agg34_coordinate_range", """WITH $CLEAN SELECT swing_id, r6(min(x)) AS min_x, r6(max(y)) AS max_y, r6(avg(x)) AS mean_x,
+@query("agg34_coordinate_range", """WITH $CLEAN SELECT swing_id, r6(min(x)) AS min_x, r6(max(y)) AS max_y, r6(avg(x) / pi()) AS mean_x,
  r6(1000 / sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2))) AS scale FROM clean GROUP BY 1""")
 def _(spark, sf):
     r = clean.coordinate_range(masked(spark, sf))
-    return r.select("swing_id", *[r6(c).alias(c) for c in ("min_x", "max_y", "mean_x")], r6(F.col("scale") * 1000).alias("scale"))
+    return r.select("swing_id", *[r6(c).alias(c) for c in ("min_x", "max_y")], by_pi("mean_x").alias("mean_x"), r6(F.col("scale") * 1000).alias("scale"))
 
 
 _HASHED = "(swing_id * 7919 + 31) % 10007"
@@ -580,7 +580,7 @@ def _(spark, sf):
     docs = M.frame_documents({"com": M.com_speed(masked(spark, sf), P3, fx.sequence(spark, sf))}, ["swing_id"])
     read = F.from_json("document", "map<string, struct<com_x: double, com_y: double, com_z: double>>")
     rows = docs.select("swing_id", F.explode(read).alias("frame", "v"))
-    return rows.select("swing_id", F.col("frame").cast("int").alias("frame"), *[r6(F.col(f"v.com_{a}") / F.pi()).alias(f"com_{a}") for a in "xyz"])
+    return rows.select("swing_id", F.col("frame").cast("int").alias("frame"), *[by_pi(f"v.com_{a}").alias(f"com_{a}") for a in "xyz"])
 
 
 @query("snk7_frame_documents", """WITH $CLEAN""" + _COM3 + """ SELECT swing_id, 'com' AS metric, '{' || string_agg('"' || frame || '":{"known":' || CASE WHEN cx IS NULL THEN 'null' ELSE 'true' END || '}', ',' ORDER BY frame) || '}' AS document FROM c GROUP BY 1""")
