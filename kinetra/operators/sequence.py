@@ -217,7 +217,7 @@ class Sequence:
         summary = laid.groupBy(*keys).agg(
             F.min(BLK).alias("_from"), F.max(BLK).alias("_to"), *[a.alias(n) for n, a in aggs.items()])
         if quantiles:
-            summary = summary.join(q.quantiles(laid, keys, quantiles), keys)
+            summary = summary.join(q.quantiles(laid, keys, quantiles, F.col(BLK)), keys)
         # The values are repeated once per block and joined on (keys, block): a hot key stays split.
         summary = summary.select("*", F.explode(F.sequence("_from", "_to")).alias(BLK)).drop("_from", "_to")
         return laid.join(summary, [*keys, BLK], "left")

@@ -222,13 +222,34 @@ def test_quantiles_hot_path(spark):
     rows = [(0, float(v)) for v in rng.normal(0, 1, 900)] + [(0, 0.5)] * 500 + [(1, float(v)) for v in rng.normal(0, 1, 11)] + [(2, None)]
     df = spark.createDataFrame(rows, "k int, v double")
     spec = {"a": (F.col("v"), 0.1), "m": (F.col("v"), 0.5), "z": (F.col("v"), 0.93)}
-    got = {r.k: r for r in quantiles(df, ["k"], spec, limit=0, buckets=8).collect()}
+    got = {r.k: r for r in quantiles(df, ["k"], spec, size=64).collect()}
     for k in (0, 1):
         x = [v for kk, v in rows if kk == k]
         np.testing.assert_allclose([got[k].a, got[k].m, got[k].z], np.quantile(x, [0.1, 0.5, 0.93]))
     assert got[2].m is None
 
 
+def test_quantiles_of_split_groups(spark):
+    """A hot group in parts, ties, values that are no numbers, and the ends: as over the whole group, the input read twice."""
+    rng = np.random.default_rng(3)
+    inf, nan = float("inf"), float("nan")
+    groups = {"hot": np.r_[rng.normal(0, 1, 20000), np.full(6000, 0.25)], "flat": np.full(3000, 7.0), "odd": np.r_[rng.integers(0, 5, 900), [-inf, inf]],
+              "two": np.array([1.0, 4.0]), "one": np.array([-3.5])}
+    rows = [(k, i % 9, float(v)) for k, x in groups.items() for i, v in enumerate(x)] + [("none", 0, None), ("hot", 4, None), ("hot", 11, None), ("nan", 1, 2.0), ("nan", 1, nan)]
+    df = spark.createDataFrame(rows, "k string, part int, v double").repartition(7)
+    shares = [0.0, 0.001, 0.25, 0.5, 0.99, 1.0]
+    spec = {f"q{i}": (F.col("v"), p) for i, p in enumerate(shares)}
+    for size in (64, 512):
+        found = quantiles(df, ["k"], spec, F.col("part"), size)
+        got = {r.k: list(r)[1:] for r in found.collect()}
+        for k, x in groups.items():
+            with np.errstate(invalid="ignore"):
+                np.testing.assert_allclose(got[k], np.quantile(x, shares), rtol=1e-12)
+        assert got["none"] == [None] * 6 and got["nan"][0] == 2.0 and np.isnan(got["nan"][5])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+    assert quantiles(df.limit(0), ["k"], spec).collect() == []
+
+
 def test_number_rows(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id"), F.xxhash64("id").alias("h"))
     out = number_rows(df, ["k"], [F.col("h")], F.shiftright("h", 60), "row", "n").toPandas()
