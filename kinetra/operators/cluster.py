@@ -1,9 +1,11 @@
 """Density clustering of points on a grid, for groups of any size.
 
 Cells have side eps / sqrt(2), so points of one cell are always neighbours: a cell with min_samples
-points is all core and needs no distances. Distances are taken only for points of smaller cells
-(fewer than min_samples each), which keeps the work linear in the points however they pile up.
-Two full cells are linked by comparing bounding boxes that are split until the answer is certain.
+points is all core and needs no distances. Distances are taken only between points of smaller cells
+(fewer than min_samples each), which keeps the work linear in the points however they pile up. Full
+cells are quad-trees of bounding boxes: two of them, or one and a point of a smaller cell, are compared
+by boxes that are split only where the answer is in doubt. Joins of points by cell go by a slice of the
+cell too, so a crowded cell is no single task.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinetra.operators.sequence import cut_lineage
 
+# Parts of a cell that points are joined by.
+SLICES = 64
 # Cells whose points can be within eps of a cell's points (corners of the 5 x 5 square cannot).
 NEAR = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if not (abs(i) == 2 and abs(j) == 2)]
 
@@ -39,7 +43,7 @@ def _reach2(a: str, b: str) -> Column:
 def _boxes(points: DataFrame, keys: list[str], side: float, level: int) -> DataFrame:
     """Bounding boxes of the points of each cell split 4^level ways per axis."""
     s = side / 4 ** level
-    box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
+    box = [F.count(F.lit(1)).alias("w"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
     return points.groupBy(*keys, "cx", "cy", F.floor(F.col("x") / s).alias("u"), F.floor(F.col("y") / s).alias("v")).agg(*box)
 
 
@@ -79,6 +83,36 @@ def _full_cell_links(core: DataFrame, keys: list[str], side: float, eps: float)
             .drop("apu", "apv", "bpu", "bpv")
 
 
+def _full_cells_near(small: DataFrame, full: DataFrame, keys: list[str], side: float, eps: float, enough: int) -> DataFrame:
+    """(keys, _id, qcx, qcy, cx, cy, _w): a point (qx, qy) of a small cell, a full cell in reach, how many of its points are within eps.
+
+    Boxes wholly within eps count as they are, those wholly beyond drop out, the others are split. What is left of a
+    cell isn't counted once the point is known to have `enough` neighbours and to reach the cell.
+    """
+    e2 = eps * eps
+    point = [*keys, "_id", "qcx", "qcy", "cx", "cy"]
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in NEAR])
+    q = small.withColumn("o", F.explode(near)).withColumns({"cx": F.col("qcx") + F.col("o.i"), "cy": F.col("qcy") + F.col("o.j")}).drop("o")
+    q = q.withColumns({"qx0": F.col("qx"), "qx1": F.col("qx"), "qy0": F.col("qy"), "qy1": F.col("qy")}).drop("qx", "qy")
+    ends = ["qx0", "qx1", "qy0", "qy1"]
+    named = lambda b: b.select(*[c for c in b.columns if c not in ("x0", "x1", "y0", "y1")], *[F.col(c).alias(f"b{c}") for c in ("x0", "x1", "y0", "y1")])
+    pairs = q.join(named(_boxes(full, keys, side, 0)), [*keys, "cx", "cy"])
+    sure, level = None, 0
+    while True:
+        pairs = cut_lineage(pairs.withColumns({"_near": _gap2("q", "b") <= e2, "_sure": _reach2("q", "b") <= e2}).filter("_near"))
+        found = pairs.filter("_sure").select(*point, "w")
+        sure = found if sure is None else sure.unionByName(found)
+        known = sure.groupBy(*keys, "_id").agg(F.sum("w").alias("_w")).filter(F.col("_w") >= enough)
+        met = sure.select(*keys, "_id", "cx", "cy").distinct().join(known, [*keys, "_id"], "left_semi")
+        open_ = pairs.filter(~F.col("_sure")).join(met, [*keys, "_id", "cx", "cy"], "left_anti")
+        if open_.isEmpty():
+            return cut_lineage(sure.groupBy(*point).agg(F.sum("w").alias("_w")))
+        level += 1
+        fine = named(_boxes(full, keys, side, level)).withColumns({"pu": F.floor(F.col("u") / 4), "pv": F.floor(F.col("v") / 4)})
+        parents = open_.select(*point, *ends, F.col("u").alias("pu"), F.col("v").alias("pv"))
+        pairs = parents.join(fine, [*keys, "cx", "cy", "pu", "pv"]).drop("pu", "pv")
+
+
 def _components(cells: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
     """Smallest cell of the component of each cell, by repeated minimum and pointer jumping."""
     node = F.struct("cx", "cy")
@@ -104,21 +138,28 @@ def dbscan(points: DataFrame, keys: list[str], id_: str, x: str, y: str, eps: fl
     side = eps / math.sqrt(2.0)
     p = points.select(*keys, F.col(id_).alias("_id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     p = p.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
-    sizes = p.groupBy(*keys, "cx", "cy").agg(F.count(F.lit(1)).alias("_n"))
-    p = cut_lineage(p.join(sizes, [*keys, "cx", "cy"]).withColumn("_full", F.col("_n") >= min_samples).drop("_n"))
-    # Distances of points in small cells to the distinct places around them.
-    places = p.groupBy(*keys, "cx", "cy", "x", "y", "_full").agg(F.count(F.lit(1)).alias("_w"))
+    p = p.withColumn("_slice", F.pmod(F.xxhash64("_id"), F.lit(SLICES)))
+    cell, slice_ = [*keys, "cx", "cy"], [*keys, "cx", "cy", "_slice"]
+    sizes = p.groupBy(*slice_).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = cut_lineage(sizes.select(*slice_, (F.sum("_n").over(Window.partitionBy(*cell)) >= min_samples).alias("_full")))
+    p = cut_lineage(p.join(sizes, slice_))
+    small, full = p.filter(~F.col("_full")), p.filter("_full")
+    here = small.select(*keys, "_id", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("cx").alias("qcx"), F.col("cy").alias("qcy"))
+    # Distances of points in small cells to the distinct places of small cells around them.
+    places = small.groupBy(*cell, "x", "y").agg(F.count(F.lit(1)).alias("_w"))
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in NEAR])
-    small = p.filter(~F.col("_full")).select(*keys, "_id", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("cx").alias("qcx"),
-                                            F.col("cy").alias("qcy"), F.explode(near).alias("o"))
-    small = small.withColumns({"cx": F.col("qcx") + F.col("o.i"), "cy": F.col("qcy") + F.col("o.j")}).drop("o")
+    around = here.withColumn("o", F.explode(near))
+    around = around.withColumns({"cx": F.col("qcx") + F.col("o.i"), "cy": F.col("qcy") + F.col("o.j")}).drop("o")
     d2 = (F.col("x") - F.col("qx")) ** 2 + (F.col("y") - F.col("qy")) ** 2
-    close = cut_lineage(small.join(places, [*keys, "cx", "cy"]).filter(d2 <= eps * eps))
-    lone = close.groupBy(*keys, "_id").agg(F.sum("_w").alias("_w")).filter(F.col("_w") >= min_samples).select(*keys, "_id", F.lit(True).alias("_c"))
+    close = cut_lineage(around.join(places, cell).filter(d2 <= eps * eps))
+    crowds = _full_cells_near(here, full, keys, side, eps, min_samples)
+    weights = close.select(*keys, "_id", "_w").unionByName(crowds.select(*keys, "_id", "_w"))
+    lone = weights.groupBy(*keys, "_id").agg(F.sum("_w").alias("_w")).filter(F.col("_w") >= min_samples).select(*keys, "_id", F.lit(True).alias("_c"))
     p = cut_lineage(p.join(lone, [*keys, "_id"], "left").withColumn("core", F.col("_full") | F.coalesce("_c", F.lit(False))).drop("_c"))
     core = p.filter("core")
-    core_places = core.select(*keys, "x", "y", F.lit(True).alias("_core")).distinct()
-    reach = close.join(core_places, [*keys, "x", "y"])
+    core_places = core.filter(~F.col("_full")).select(*cell, "x", "y").distinct()
+    meets = [*keys, "_id", "qcx", "qcy", "cx", "cy"]
+    reach = close.join(core_places, [*cell, "x", "y"]).select(*meets).unionByName(crowds.select(*meets))
     # Links of cells: from small cells by distance, between full cells by boxes.
     from_core = reach.join(core.select(*keys, "_id"), [*keys, "_id"], "left_semi")
     links = from_core.select(*keys, F.col("qcx").alias("acx"), F.col("qcy").alias("acy"), F.col("cx").alias("bcx"), F.col("cy").alias("bcy")).distinct()
@@ -132,7 +173,7 @@ def dbscan(points: DataFrame, keys: list[str], id_: str, x: str, y: str, eps: fl
     names = firsts.withColumn("cluster", number).drop("_first")
     labels = cut_lineage(roots.join(names, [*keys, "root"]).select(*keys, "cx", "cy", "cluster"))
     border = reach.join(labels, [*keys, "cx", "cy"]).groupBy(*keys, "_id").agg(F.min("cluster").alias("_b"))
-    out = p.join(labels, [*keys, "cx", "cy"], "left").join(border, [*keys, "_id"], "left")
+    out = p.join(sizes.drop("_full").join(labels, cell), slice_, "left").join(border, [*keys, "_id"], "left")
     return out.select(*keys, F.col("_id").alias(id_),
                       F.when(F.col("core"), F.col("cluster")).otherwise(F.coalesce("_b", F.lit(-1))).cast("int").alias("cluster"))
 

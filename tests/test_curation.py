@@ -78,6 +78,26 @@ def test_dbscan_equals_brute_force(spark):
         assert out[out.g == g].sort_values("id")["cluster"].tolist() == w.tolist()
 
 
+def test_dbscan_of_a_crowded_place(spark):
+    """Most points lie in a few cells, lone ones on circles around them at about eps: split boxes decide as distances do."""
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(0, 0.6, 2500), rng.normal(0, 0.6, 2500)
+    angle, far = rng.uniform(0, 2 * np.pi, 160), rng.uniform(5.0, 8.5, 160)
+    x, y = np.r_[x, far * np.cos(angle), [x[0] + 6.0, 40.0]], np.r_[y, far * np.sin(angle), [y[0], 40.0]]
+    want = brute(x, y, 6.0, 20)
+    df = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "g int, id long, x double, y double")
+    out = cluster.dbscan(df, ["g"], "id", "x", "y", 6.0, 20).toPandas()
+    assert out.sort_values("id")["cluster"].tolist() == want.tolist() and -1 in want
+    # No task takes the distances of a lone point to a whole crowd: what is compared are boxes, by far fewer than its places.
+    near = df.select("g", F.col("id").alias("_id"), "x", "y", F.floor(F.col("x") / 4).alias("cx"), F.floor(F.col("y") / 4).alias("cy"))
+    lone = near.filter("_id >= 2500").selectExpr("g", "_id", "x AS qx", "y AS qy", "cx AS qcx", "cy AS qcy")
+    met = cluster._full_cells_near(lone, near.filter("_id < 2500"), ["g"], 4.0, 4.0 * 2 ** 0.5, 10 ** 9).toPandas()
+    d2 = (x[2500:, None] - x[:2500]) ** 2 + (y[2500:, None] - y[:2500]) ** 2
+    within = (d2 <= (4.0 * 2 ** 0.5) ** 2).sum(axis=1)
+    got = met.groupby("_id")["_w"].sum()
+    assert {2500 + i: int(n) for i, n in enumerate(within) if n} == {int(k): int(v) for k, v in got.items()}
+
+
 def brute(x, y, eps, m):
     near = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= eps * eps
     core, lab, c = near.sum(1) >= m, -np.ones(len(x), int), 0
