@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinetra.catalog.registry import query, r6
-from kinetra.operators import evaluate as E, pairing as P, sample as SM, vectors as V
+from kinetra.operators import evaluate as E, neural, pairing as P, sample as SM, vectors as V
 from kinetra.sources import fixtures as fx
 
 
@@ -228,6 +228,12 @@ def halves(spark, sf, vec):
     return e.filter(~test), e.filter(test)
 
 
+def quarters(spark, sf):
+    e = fx.emb_a(spark, sf)
+    test = F.col("id").cast("int") % 4 == 0
+    return e.filter(~test), e.filter(test)
+
+
 @query("ml4_pca_2d")
 def _(spark, sf):
     e = fx.emb_a(spark, sf)
@@ -256,6 +262,13 @@ def _(spark, sf):
     return V.mlp_head(balanced, test, 32, 16).select("id", "label", "pred", r6("prob_1").alias("prob_1"))
 
 
+@query("ml7_weighted_head")
+def _(spark, sf):
+    """Ten labels as two classes of three to seven: weighted in the loss, not copied."""
+    train, test = (d.withColumn("label", (F.col("label") >= 3).cast("int")) for d in quarters(spark, sf))
+    return neural.apply_head(test, neural.fit_head(train, 32, 16)).select("id", "label", "pred", r6("prob_1").alias("prob_1"))
+
+
 @query("ml9_projection_table")
 def _(spark, sf):
     e = fx.emb_a(spark, sf)
