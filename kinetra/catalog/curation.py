@@ -219,8 +219,17 @@ def segments(spark, sf):
     return C.cut_segments(fx.cuts(spark, sf), Sequence(("video",), "seq", longest=n)), Sequence(("video",), "segment", longest=n + 1)
 
 
-@query("win30_merge_short_segments")
-def _(spark, sf):
+@query("win30_merge_short_segments", """WITH RECURSIVE $CUTS, p AS (SELECT video, seq, cut AS t, duration FROM cuts UNION ALL SELECT video, max(seq) + 1, max(duration), max(duration) FROM cuts GROUP BY 1),
+s AS (SELECT video, seq, coalesce(lag(t) OVER (PARTITION BY video ORDER BY seq), 0) AS a, least(t, duration) AS b FROM p),
+w(video, v) AS (SELECT video, list({'a': a, 'b': b} ORDER BY seq) FROM s WHERE b - a > 0.01 GROUP BY 1
+ UNION ALL SELECT video, list_transform(CASE WHEN len(o) > 1 AND o[-1].short THEN list_append(o[:-3], {'a': o[-2].a, 'b': o[-1].b, 'short': false}) ELSE o END, lambda x: {'a': x.a, 'b': x.b})
+ FROM (SELECT video, list_reduce(list_transform(v, lambda x: [{'a': x.a, 'b': x.b, 'short': x.b - x.a < 3}]),
+  lambda o, x: CASE WHEN o[-1].short THEN list_append(o[:-2], {'a': o[-1].a, 'b': x[1].b, 'short': false}) ELSE list_concat(o, x) END) AS o
+  FROM w WHERE len(v) > 1 AND len(list_filter(v, lambda x: x.b - x.a < 3)) > 0)),
+f AS (SELECT video, unnest(range(0, len(v))) AS segment, unnest(v) AS x FROM w WHERE len(v) <= 1 OR len(list_filter(v, lambda x: x.b - x.a < 3)) = 0)
+SELECT video, segment, r6(x.a) AS start, r6(x.b) AS "end" FROM f""")
+def _(spark, sf):
+    """In SQL, a pass walks the segments of a video; a short one takes in the next; a last one that is still short joins the one before."""
     s, seq = segments(spark, sf)
     return C.merge_short_segments(s, seq, 3.0).select("video", "segment", r6("start").alias("start"), r6("end").alias("end"))
 

@@ -165,7 +165,14 @@ def _(spark, sf):
 
 # ---- clusters and document forms ---------------------------------------------------------------
 
-@query("ml8_box_clusters")
+@query("ml8_box_clusters", """WITH RECURSIVE $BOXES, bc AS (SELECT video % 40 AS "group", x1, x2, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, row_number() OVER (ORDER BY video % 40, video, frame, x1, y1) - 1 AS id FROM boxes),
+near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM bc a JOIN bc b ON a."group" = b."group" AND abs(a.x - b.x) <= 100 AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 10000),
+core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY 1 HAVING count(*) >= 3),
+link AS MATERIALIZED (SELECT a, b FROM near SEMI JOIN core c ON c.id = near.a SEMI JOIN core d ON d.id = near.b),
+cc(id, root) USING KEY (id) AS (SELECT id, id FROM core UNION SELECT l.b, min(cc.root) FROM cc JOIN link l ON l.a = cc.id JOIN recurring.cc r ON r.id = l.b WHERE cc.root < r.root GROUP BY l.b),
+own AS (SELECT n.a AS id, min(cc.root) AS root FROM near n JOIN cc ON cc.id = n.b WHERE n.a NOT IN (SELECT id FROM core) GROUP BY 1 UNION ALL SELECT id, root FROM cc),
+num AS (SELECT root, row_number() OVER (PARTITION BY "group" ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM cc) JOIN bc ON bc.id = root)
+SELECT "group", CAST(cluster AS INT) AS cluster, count(*) AS boxes, r6(min(x1)) AS x1, r6(max(x2)) AS x2 FROM own JOIN num USING (root) JOIN bc USING (id) GROUP BY 1, 2""")
 def _(spark, sf):
     b = fx.boxes(spark, sf).select((F.col("video") % 40).alias("video"), "x1", "y1", "x2", "y2", "frame", "video", "person").toDF(
         "group", "x1", "y1", "x2", "y2", "frame", "video", "person")
