@@ -124,3 +124,25 @@ def test_failures_stay_with_their_swings(spark, sf, seq):
     assert "no such pose" in docs[3]["picky"]["error"] and docs[3]["picky"]["summary"] is None and docs[3]["com_speed"]["summary"]["unit"] == "px/s"
     other = min(ids - {3, 8})
     assert docs[other]["picky"]["error"] is None and docs[other]["picky"]["summary"]["n"] > 0 and "never" in docs[other]["hopeless"]["error"]
+
+
+def test_a_trial_reads_the_rows_of_its_own_share(spark, sf):
+    plans = []
+
+    def odd(rows, p, s):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        bad = F.when(F.col("swing_id") % 4 == 1, F.raise_error(F.lit("no such pose")).cast("int")).otherwise(1)
+        out = rows.select("swing_id", "frame").distinct()
+        return M.MetricResult(out.groupBy("swing_id").agg(F.sum(bad).alias("n")), out)
+
+    M.register_metric("odd", odd)
+    few = mask_missing(fx.pose(spark, sf)).filter("swing_id < 12")
+    try:
+        results, errors, failures = M.run_guarded(few, Params(dimension="2d"), Sequence(longest=200), ["odd"], fan=4)
+    finally:
+        del M.REGISTRY["odd"]
+    ids = {r.swing_id for r in few.select("swing_id").distinct().collect()}
+    assert not errors and {r.swing_id for r in failures.collect()} == {i for i in ids if i % 4 == 1} != set()
+    assert {r.swing_id for r in results["odd"].summary.collect()} == {i for i in ids if i % 4 != 1}
+    trials = [plan for plan in plans if "FileScan" in plan]
+    assert len(trials) > 4 and all("PartitionFilters: [isnotnull(_share" in plan for plan in trials)
