@@ -196,3 +196,16 @@ def test_ingest_resumes(spark, tmp_path):
     run()
     assert [r.video_path for r in spark.read.parquet(f"{tmp_path}/t").collect()] == ["a"]
     assert {r.video_path: r.status for r in spark.read.parquet(f"{tmp_path}/m").collect()} == {"a": "done", "b": "failed"}
+
+
+def test_one_file_each_is_written_by_many_tasks_in_order(spark, tmp_path):
+    from kinetra.catalog.files import FILES_A_TASK, _one_file_each
+    n = 3 * FILES_A_TASK
+    rows = spark.range(n).select((F.col("id") % 2).alias("by"), (n - F.col("id")).alias("at"), F.col("id").cast("string").alias("value"))
+    _one_file_each(rows, f"{tmp_path}/out", "by", "at", "text")
+    tasks = set()
+    for by in (0, 1):
+        files = sorted((tmp_path / "out" / f"by={by}").glob("*.txt"))
+        tasks |= {f.name[:10] for f in files}
+        assert [int(f.read_text()) for f in files] == [i for i in range(n - 1, -1, -1) if i % 2 == by]
+    assert len(tasks) >= 3
