@@ -351,7 +351,7 @@ pix AS (SELECT swing_id, frame, px, py, max(d) AS depth FROM (SELECT swing_id, f
 
 def depth_pixels(spark, sf):
     from kinetra.catalog.motion import masked
-    pts = masked(spark, sf).filter(F.col("joint_idx").isin(9, 10) & F.col("x").isNotNull())
+    pts = masked(spark, sf, by_frame=True).filter(F.col("joint_idx").isin(9, 10) & F.col("x").isNotNull())
     off = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in range(-3, 3) for b in range(-1, 3)])
     p = pts.select("swing_id", "frame", "event_id", "x", "y", F.inline(off))
     e, dx, dy = F.col("event_id"), F.col("dx"), F.col("dy")
@@ -378,15 +378,21 @@ WHERE px >= 0 AND py >= 0 AND (event_id + px + py) % 6 <> 0 GROUP BY 1, 2, 3""")
 def _(spark, sf):
     """All joints on depth maps that hold the tiles around them."""
     from kinetra.catalog.motion import masked
-    pts = masked(spark, sf).select("swing_id", "frame", "joint_idx", "event_id", "x", "y")
+    pts = masked(spark, sf, by_frame=True).select("swing_id", "frame", "joint_idx", "event_id", "x", "y")
     near = P.touched_tiles(pts, 2, _SIDE).filter("tx >= 0 and ty >= 0").select("swing_id", "frame", "event_id", "tx", "ty").distinct()
-    px, py = (F.col(t) * _SIDE for t in ("tx", "ty"))
+    # What a cell holds hangs on two remainders at the tile's corner, so the 624 different tiles are drawn once. Remainders
+    # of negative numbers are negative: sums that may cross zero inside a tile stand for themselves.
+    e, x, y = F.col("event_id"), F.col("tx") * _SIDE, F.col("ty") * _SIDE
+    a, b = F.pmod(e + x + y, F.lit(6)), e * 31 + x * 7 + y * 3
+    b = F.when(b >= 0, b % 13).when(b >= -78, b).otherwise(-79 - (-79 - b) % 13)
 
     def depth(i):
-        e, x, y = F.col("event_id"), px + i % _SIDE, py + F.floor(i / _SIDE)
-        return F.when((e + x + y) % 6 == 0, F.lit(0.0)).otherwise(2 + ((e * 31 + x * 7 + y * 3) % 13) / F.lit(10.0))
+        dx, dy = i % _SIDE, F.floor(i / _SIDE)
+        return F.when((F.col("_a") + dx + dy) % 6 == 0, F.lit(0.0)).otherwise(2 + ((F.col("_b") + dx * 7 + dy * 3) % 13) / F.lit(10.0))
 
-    tiles = near.select("swing_id", "frame", "tx", "ty", F.transform(F.sequence(F.lit(0), F.lit(_SIDE * _SIDE - 1)), depth).alias("cells"))
+    drawn = spark.range(6 * 104).select((F.col("id") % 6).alias("_a"), (F.floor(F.col("id") / 6) - 91).alias("_b"))
+    drawn = drawn.select("_a", "_b", F.transform(F.sequence(F.lit(0), F.lit(_SIDE * _SIDE - 1)), depth).alias("cells"))
+    tiles = near.select("swing_id", "frame", "tx", "ty", a.alias("_a"), b.alias("_b")).join(F.broadcast(drawn), ["_a", "_b"]).drop("_a", "_b")
     found = P.depth_patch_tiles(pts, tiles, ["swing_id", "frame"], 2, _SIDE)
     return found.select("swing_id", "frame", "joint_idx", r6("depth").alias("depth"))
 

@@ -86,27 +86,23 @@ def match_depth_frames(frames: DataFrame, maps: DataFrame) -> DataFrame:
 
 def depth_patch(points: DataFrame, depth: DataFrame, keys: list[str], radius: int = 2,
                 width: int | None = None, height: int | None = None) -> DataFrame:
-    """Median positive depth in a square around each rounded point, by an equality join on pixels.
+    """Median positive depth in a square around each rounded point, by a join on the keys.
 
-    points(keys.., joint_idx, x, y); depth(keys.., px, py, depth).
+    points(keys.., joint_idx, x, y); depth(keys.., px, py, depth). The few points of a frame are held and its pixels go by them in any
+    order, so pixels that are partitioned by the keys already are neither shuffled nor sorted.
     """
-    # A square touches at most four tiles of its own size: points meet pixels by tile.
-    tile = 2 * radius + 1
     p = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
         *keys, "joint_idx", F.bround("x", 0).cast("int").alias("_x"), F.bround("y", 0).cast("int").alias("_y"))
-    for c, t in (("_x", "_tx"), ("_y", "_ty")):
-        p = p.withColumn(t, F.explode(F.sequence(F.floor((F.col(c) - radius) / tile), F.floor((F.col(c) + radius) / tile))))
     d = F.col("depth")
     inside = (F.col("px") >= 0) & (F.col("py") >= 0)
     if width:
         inside = inside & (F.col("px") < width)
     if height:
         inside = inside & (F.col("py") < height)
-    good = depth.filter(inside & d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf")) & (d > 0)).select(
-        *keys, "px", "py", "depth", F.floor(F.col("px") / tile).alias("_tx"), F.floor(F.col("py") / tile).alias("_ty"))
+    good = depth.filter(inside & d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf")) & (d > 0)).select(*keys, "px", "py", "depth")
     near = (F.abs(F.col("px") - F.col("_x")) <= radius) & (F.abs(F.col("py") - F.col("_y")) <= radius)
     # At most the pixels of one square per group: sorting the short list beats a percentile buffer.
-    found = p.join(good, [*keys, "_tx", "_ty"]).filter(near).groupBy(*keys, "joint_idx").agg(
+    found = good.join(p.hint("shuffle_hash"), keys).filter(near).groupBy(*keys, "joint_idx").agg(
         F.sort_array(F.collect_list("depth")).alias("_v"))
     n = F.size("_v")
     middle = (F.get("_v", F.floor((n - 1) / 2).cast("int")) + F.get("_v", F.floor(n / 2).cast("int"))) / 2
@@ -117,10 +113,16 @@ def tile_of(c: Column, side: int) -> Column:
     return F.floor(c / side).cast("int")
 
 
+def _pixels(points: DataFrame) -> DataFrame:
+    """Points with a value and their rounded pixel (_x, _y)."""
+    at = F.struct(*[F.when(~F.isnan(c), F.bround(c, 0).cast("int")).alias(f"_{c}") for c in ("x", "y")])
+    # As the row of a generator, the pixel is computed once: a filter on x and y would be moved down and repeat what they are made of.
+    return points.select("*", F.inline(F.array(at))).filter("_x IS NOT NULL AND _y IS NOT NULL")
+
+
 def touched_tiles(points: DataFrame, radius: int, side: int) -> DataFrame:
     """Points with a value, their rounded pixel (_x, _y), and one row for each tile that the square around it touches (tx, ty)."""
-    p = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")).withColumns(
-        {"_x": F.bround("x", 0).cast("int"), "_y": F.bround("y", 0).cast("int")})
+    p = _pixels(points)
     for c, t in (("_x", "tx"), ("_y", "ty")):
         p = p.withColumn(t, F.explode(F.sequence(tile_of(F.col(c) - radius, side), tile_of(F.col(c) + radius, side))))
     return p
@@ -129,11 +131,16 @@ def touched_tiles(points: DataFrame, radius: int, side: int) -> DataFrame:
 def depth_patch_tiles(points: DataFrame, tiles: DataFrame, keys: list[str], radius: int = 2, side: int = 8) -> DataFrame:
     """As `depth_patch`, on depth that is stored as tiles: a tile is one row, and no pixel becomes one.
 
-    points(keys.., joint_idx, x, y); tiles(keys.., tx, ty, cells): the tile's `side` rows of `side` values, one after the other. Points
-    travel to the tiles that their squares touch, four at most while a square is no wider than a tile; rows of the square are cut out of
-    the tile's array, and the pieces of a point meet for the median. Points without a positive depth give no row.
+    points(keys.., joint_idx, x, y); tiles(keys.., tx, ty, cells): the tile's `side` rows of `side` values, one after the other. The few points
+    of a frame are held and its tiles go by them in any order, so tiles that are partitioned by the keys already are neither shuffled nor
+    sorted; rows of the square are cut out of the tile's array, and the pieces of a point meet for the median. Points without a
+    positive depth give no row.
     """
-    joined = touched_tiles(points, radius, side).join(tiles, [*keys, "tx", "ty"])
+    p = _pixels(points).select(*keys, "joint_idx", "_x", "_y")
+    touch = F.lit(True)
+    for t, c in (("tx", "_x"), ("ty", "_y")):
+        touch = touch & F.col(t).between(tile_of(F.col(c) - radius, side), tile_of(F.col(c) + radius, side))
+    joined = tiles.join(p.hint("shuffle_hash"), keys).filter(touch)
     x0, x1 = (f(F.col("_x") + d - F.col("tx") * side, F.lit(e)) for f, d, e in ((F.greatest, -radius, 0), (F.least, radius, side - 1)))
     y0, y1 = (f(F.col("_y") + d - F.col("ty") * side, F.lit(e)) for f, d, e in ((F.greatest, -radius, 0), (F.least, radius, side - 1)))
     joined = joined.select(*keys, "joint_idx", "cells", x0.alias("_x0"), x1.alias("_x1"), F.sequence(y0, y1).alias("_rows"))
