@@ -711,8 +711,9 @@ def _(spark, sf):
 
 @query("set6_one_row_per_joint", """WITH $POSE SELECT swing_id, frame, joint_idx, r6(X3) AS x FROM pose WHERE X3 IS NOT NULL""")
 def _(spark, sf):
-    p = fx.pose(spark, sf).withColumn("seq", F.col("event_id"))
-    twice = p.unionByName(p.withColumns({"seq": F.col("event_id") + 1000000000, "X3": F.col("X3") + 5}))
+    p = fx.pose(spark, sf, by_frame=True)
+    rows = [(F.col("event_id"), F.col("X3")), (F.col("event_id") + 1000000000, F.col("X3") + 5)]
+    twice = p.select(*[c for c in p.columns if c != "X3"], F.inline(F.array(*[F.struct(s.alias("seq"), x.alias("X3")) for s, x in rows])))
     return sets.one_per_joint(twice, "seq").select("swing_id", "frame", "joint_idx", r6("X3").alias("x"))
 
 

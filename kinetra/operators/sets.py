@@ -52,8 +52,12 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
 
 
 def one_per_joint(pose: DataFrame, order: str, axes: tuple[str, ...] = ("X3", "Y3", "Z3")) -> DataFrame:
-    """The first row of each (frame, person, joint), without non-finite joints."""
-    rows = first_by(pose, ["swing_id", "frame", "person_idx", "joint_idx"], order)
+    """The first row of each (frame, person, joint), without non-finite joints.
+
+    A minimum per column, not one of whole rows: numbers are held in place and need no sort, and columns that nobody reads go.
+    """
+    keys = ["swing_id", "frame", "person_idx", "joint_idx"]
+    rows = pose.groupBy(*keys).agg(*[F.min_by(c, order).alias(c) for c in pose.columns if c not in keys])
     ok = F.lit(True)
     for a in axes:
         ok = ok & F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(a) != float("inf"))

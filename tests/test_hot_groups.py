@@ -89,6 +89,33 @@ def test_depth_tiles_agree_with_maps(spark, tmp_path, side):
     np.testing.assert_allclose([r[2] for r in a], [r[2] for r in b])
 
 
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_depth_of_dealt_frames_is_not_moved(spark):
+    keys = ["swing_id", "frame"]
+    cells = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i.cast("double"))
+    frames = spark.range(40).select((F.col("id") % 4).alias("swing_id"), F.floor(F.col("id") / 4).cast("int").alias("frame")).repartition(5, *keys)
+    pts = frames.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(2))).alias("joint_idx")).withColumns(
+        {"x": F.when(F.col("joint_idx") < 2, F.col("joint_idx") * 4.0 + 2), "y": F.lit(3.0)})
+    tiles = frames.select(*keys, F.explode(F.array(F.lit(0), F.lit(1))).alias("tx"), F.lit(0).alias("ty"), cells.alias("cells"))
+    pixels = tiles.select(*keys, "tx", F.posexplode("cells").alias("i", "depth")).select(
+        *keys, (F.col("tx") * 8 + F.col("i") % 8).alias("px"), F.floor(F.col("i") / 8).cast("int").alias("py"), "depth")
+    for found in (P.depth_patch_tiles(pts, tiles, keys), P.depth_patch(pts, pixels, keys)):
+        assert exchanges(found) == 2
+        rows = found.collect()
+        assert len(rows) == 80 and {(r.joint_idx, r.depth) for r in rows} == {(0, 26.0), (1, 29.0)}
+
+
+def test_one_row_per_joint_holds_plain_buffers(spark):
+    rows = [(1, 0, 0, j, seq, float(seq + j), 1.0, None if j == 2 and seq == 5 else 1.0) for j in range(3) for seq in (9, 5, 7)] + [(1, 1, 0, 0, None, 1.0, 1.0, 1.0)]
+    pose = spark.createDataFrame(rows, "swing_id int, frame int, person_idx int, joint_idx int, seq long, X3 double, Y3 double, Z3 double")
+    found = sets.one_per_joint(pose.repartition(3, "swing_id", "frame"), "seq")
+    assert found.columns == pose.columns and exchanges(found) == 1 and "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 0, 0, 5, 5.0, 1.0, 1.0), (1, 0, 0, 1, 5, 6.0, 1.0, 1.0)]
+
+
 def test_a_sample_with_gaps_counts_its_frames(spark):
     from kinetra.operators.sequence import Sequence
     from kinetra.plans.training import usable_samples
