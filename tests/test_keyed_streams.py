@@ -1,6 +1,7 @@
 """Streams with state that Spark keeps, and the ledger of an ingest."""
 
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -64,6 +65,40 @@ def test_an_idle_series_is_forgotten_and_starts_afresh(spark, tmp_path):
     assert {r.k for r in keyed.states(spark, str(tmp_path)).collect()} == {"c"}
 
 
+def test_series_that_share_a_bucket_end_by_themselves(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "BUCKETS", 1)
+    test_an_idle_series_is_forgotten_and_starts_afresh(spark, tmp_path)
+
+
+def test_columns_come_through_as_they_were(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "BUCKETS", 1)
+    schema = "k long, ts timestamp, n int, x double, big long, f float, list array<int>, at timestamp_ntz, day date, cost decimal(9,2), flag boolean"
+    nan, late = float("nan"), datetime(2300, 1, 1, 0, 0, 0, 1)
+    rest = ((1 << 62) + 1, 0.1, [1, None], late, late.date(), Decimal("1.20"), True)
+    rows = [(None, T0, 1, 1.0, *rest), (None, T0, None, 2.0, *[None] * 7), (1, T0, 3, nan, None, nan, [], None, None, None, False), (1, None, 4, None, *rest),
+            (2, T0, 5, None, *rest), (0, T0, 6, 7.0, *rest)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    keyed.start(spark, keyed.keyed_filter(stream, ["k"], ["ts", "n"], "x", alpha=0.5), str(tmp_path)).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/rows")
+    was = spark.read.parquet(f"{tmp_path}/in/1")
+    assert got.dtypes[:len(was.columns)] == was.dtypes
+    assert sorted(map(str, got.select(*was.columns).collect())) == sorted(map(str, was.collect()))
+    # Nulls come first in the order of a series, and series by the keys 0 and null are two.
+    assert {(r.k, r.n): (r.filtered, r.frames) for r in got.collect()} == {
+        (None, None): (2.0, 1), (None, 1): (1.5, 2), (1, 4): (None, 1), (1, 3): (None, 2), (2, 5): (None, 1), (0, 6): (7.0, 1)}
+
+
+def test_slices_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(run, "FILE_ROWS", 10)
+    monkeypatch.setattr(run, "scratch", lambda spark: str(tmp_path / "staged"))
+    rows = spark.createDataFrame([(float(v),) for v in [*np.linspace(0, 1, 97), 5, 6, 8]], "v double")
+    stream, seen = run.staged(rows, 4, "v", spark.createDataFrame([(99.0,)], "v double")), []
+    stream.writeStream.foreachBatch(lambda df, epoch: seen.append(sorted(r.v for r in df.collect()))).trigger(availableNow=True).start().awaitTermination()
+    assert [len(list((tmp_path / "staged" / f"slice={k}").glob("*.parquet"))) for k in range(5)] == [3] * 5
+    assert len(seen[0]) == 97 and seen[1:] == [[], [5.0], [6.0, 8.0], [99.0]]
+
+
 def test_bad_options_are_refused(spark):
     stream = spark.readStream.schema(SCHEMA).parquet("/root/testdata/sf0.001")
     with pytest.raises(ValueError, match="median"):
