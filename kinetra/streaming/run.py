@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinetra.operators.sequence import shared_folder
 
+#: Rows of a file of a staged table.
+FILE_ROWS = 1 << 18
+
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared one that the cluster names."""
@@ -36,17 +39,24 @@ def run_complete(spark: SparkSession, stream: DataFrame) -> DataFrame:
 def staged(df: DataFrame, slices: int, by: str, closing: DataFrame | None = None) -> DataFrame:
     """`df` as a stream of `slices` micro-batches that follow the range of `by`, a time or a number, written to a folder of their own.
 
-    `closing` rows, far behind in time, make one more: they move the watermark past everything that waits.
+    Every slice has the same number of files, which grows with the table, so that tasks share its writing; a sparse one is filled up with
+    empty files. `closing` rows, far behind in time, make one more batch: they move the watermark past everything that waits.
     """
     spark, folder = df.sparkSession, scratch(df.sparkSession)
-    low, high = df.agg(F.min(by), F.max(by)).first()
+    low, high, rows = df.agg(F.min(by), F.max(by), F.count(by)).first()
+    files = max(1, -(-rows // (slices * FILE_ROWS)))
+
+    def write(part: DataFrame, k: int) -> None:
+        part.repartition(files).write.parquet(f"{folder}/slice={k}")
+        for _ in range(files - len(spark.read.parquet(f"{folder}/slice={k}").inputFiles())):
+            df.limit(0).coalesce(1).write.mode("append").parquet(f"{folder}/slice={k}")
+
     for k in range(slices if low is not None else 0):
         a, b = (low + (high - low) * i / slices for i in (k, k + 1))
-        part = df.filter((F.col(by) >= F.lit(a)) & (F.col(by) < F.lit(b)) if k < slices - 1 else F.col(by) >= F.lit(a))
-        part.coalesce(1).write.parquet(f"{folder}/slice={k}")
+        write(df.filter((F.col(by) >= F.lit(a)) & (F.col(by) < F.lit(b)) if k < slices - 1 else F.col(by) >= F.lit(a)), k)
     if low is None or closing is not None:
-        (df.limit(0) if closing is None else closing).coalesce(1).write.parquet(f"{folder}/slice={slices}")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+        write(df.limit(0) if closing is None else closing, slices)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(folder)
 
 
 def run_append(spark: SparkSession, stream: DataFrame) -> DataFrame:
