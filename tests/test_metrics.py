@@ -146,3 +146,29 @@ def test_a_trial_reads_the_rows_of_its_own_share(spark, sf):
     assert {r.swing_id for r in results["odd"].summary.collect()} == {i for i in ids if i % 4 != 1}
     trials = [plan for plan in plans if "FileScan" in plan]
     assert len(trials) > 4 and all("PartitionFilters: [isnotnull(_share" in plan for plan in trials)
+
+
+@pytest.mark.parametrize("regroups", [False, True])
+def test_many_swings_are_told_apart_by_the_tasks_of_one_plan(spark, regroups):
+    """Each share in doubt used to be planned and run by itself, dozens for three failing swings."""
+    plans = []
+
+    def odd(rows, p, s):
+        plans.append(rows)
+        bad = F.when(F.col("swing_id") % 40 == 7, F.raise_error(F.lit("no such pose")).cast("int")).otherwise(1)
+        out = rows.select("swing_id", "frame").distinct()
+        if regroups:
+            out = out.repartition(3, "frame")
+        # One swing fails in its summary, the others in their frames.
+        early = out.groupBy("swing_id").agg(F.sum(F.when(F.col("swing_id") < 40, bad).otherwise(1)).alias("n"))
+        return M.MetricResult(early, out.withColumn("one", bad))
+
+    pose = spark.range(360).select((F.col("id") % 120).alias("swing_id"), F.floor(F.col("id") / 120).cast("int").alias("frame"))
+    M.register_metric("odd", odd)
+    try:
+        results, errors, failures = M.run_guarded(pose, Params(dimension="2d"), Sequence(longest=3), ["odd"])
+    finally:
+        del M.REGISTRY["odd"]
+    assert not errors and sorted((r.swing_id, "no such pose" in r.error) for r in failures.collect()) == [(7, True), (47, True), (87, True)]
+    assert {r.swing_id for r in results["odd"].summary.collect()} == set(range(120)) - {7, 47, 87}
+    assert (len(plans) > 30) == regroups
